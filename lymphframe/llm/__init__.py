@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lymphframe.llm import simhash
+from lymphframe.llm import packing, simhash, suffix_dedup, topk
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (simhash.op2_simhash_near_dedup,)}
+    found = (simhash.op2_simhash_near_dedup, suffix_dedup.op3_suffix_array_dedup, packing.op5_best_fit_packing, topk.op10_exact_top_k)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_exact_top_k": topk.ORACLE}
