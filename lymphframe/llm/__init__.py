@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
-from lymphframe.llm import packing, simhash, suffix_dedup, topk
+from lymphframe.llm import packing, pii, quality_classifier, quality_rules, sentencepiece_codec, simhash, suffix_dedup, token_counts, topk, toxicity
 
 
 def queries() -> dict:
-    found = (simhash.op2_simhash_near_dedup, suffix_dedup.op3_suffix_array_dedup, packing.op5_best_fit_packing, topk.op10_exact_top_k)
+    found = (
+        sentencepiece_codec.op1_sentencepiece,
+        simhash.op2_simhash_near_dedup,
+        suffix_dedup.op3_suffix_array_dedup,
+        toxicity.op4_toxicity,
+        packing.op5_best_fit_packing,
+        quality_rules.op6_quality_rules,
+        pii.op7_pii,
+        token_counts.op8_token_counts,
+        quality_classifier.op9_quality_classifier,
+        topk.op10_exact_top_k,
+    )
     return {f.__name__: f for f in found}
 
 

@@ -44,19 +44,32 @@ def held_out(doc_id: str, divisor: int, remainder: int):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % divisor == remainder, F.lit(False))
 
 
-def labelled(documents: DataFrame, labels: DataFrame, label: str, divisor: int, remainder: int, bound: int) -> DataFrame:
-    """(id, text, y): at most `bound` labelled documents outside the held-out fold.
+def label_sample(labels: DataFrame, label: str, bound: int, divisor: int = 0, remainder: int = 0) -> DataFrame:
+    """(id, y): at most `bound` labelled ids outside the held-out fold (all, if divisor is 0).
 
     The sample is taken in order of a hash of the id, so it is the same on every run and never
-    larger than the bound, however large the tables; label rows without a 0 or 1 and ids with
-    several different labels are left out.
+    larger than the bound, however large the tables; labels other than 0 and 1 and ids with several
+    different labels are left out.
     """
     y = labels.select(F.col("doc_id").alias("id"), F.col(label).alias("y")).where(F.col("y").isin(0, 1) & F.col("id").isNotNull())
-    y = y.where(~held_out("id", divisor, remainder)).groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z").select("id", "y")
-    y = y.orderBy(F.xxhash64("id"), "id").limit(bound)
+    if divisor:
+        y = y.where(~held_out("id", divisor, remainder))
+    y = y.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z").select("id", "y")
+    return y.orderBy(F.xxhash64("id"), "id").limit(bound)
+
+
+def labelled(documents: DataFrame, labels: DataFrame, label: str, bound: int, divisor: int, remainder: int) -> DataFrame:
+    """(id, text, y): the whole texts of label_sample(); of several rows with one id, the least text."""
+    y = label_sample(labels, label, bound, divisor, remainder)
     d = documents.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     # y has a proven bound: `bound` rows of two numbers
-    return d.join(F.broadcast(y), "id").select("id", "text", "y")
+    return d.join(F.broadcast(y), "id").groupBy("id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
+
+
+def sigmoid(x):
+    import numpy as np
+
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
 def crc(data: bytes) -> int:

@@ -181,5 +181,16 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The same columns, one row of each group of near-duplicates: that of the least id, once.
+
+    Rows without an id can't be named as kept or dropped, so they stay.
+    """
+    found = near_duplicates(documents.select(id_col, text_col), id_col, text_col)
+    keepers = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
+    named = documents.join(keepers, id_col, "left_semi").dropDuplicates([id_col])
+    return named.unionByName(documents.where(F.col(id_col).isNull()))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

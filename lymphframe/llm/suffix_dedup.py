@@ -452,5 +452,32 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     return joined.mapInArrow(run, f"id {kind}, n_bytes long, n_removed long, n_spans long, {last}").withColumnRenamed("id", id_col)
 
 
+def strip_repeats(documents: DataFrame, text_col: str = "text", chars_col: str = "n_chars", hot: int = HOT) -> DataFrame:
+    """The same rows and columns, repeated strings cut out of the text (to whole letters), the column of its length set anew."""
+    # the text alone tells what goes, so rows of one text share a key, two hashes of 64 bits
+    keyed = documents.withColumns({"__doc": F.xxhash64(F.lit(1), F.col(text_col)), "__tx": F.xxhash64(text_col)})
+    source = keyed.where(F.col(text_col).isNotNull()).select(F.col("__doc").alias("doc"), F.col("__tx").alias("tx"), F.col(text_col).alias("text"))
+    found = repeated_runs(source, hot).select(F.col("doc").alias("__doc"), F.col("tx").alias("__tx"), F.col("found").alias("__found"))
+    joined = keyed.join(found, ["__doc", "__tx"], "left").select(*documents.columns, "__found")
+    names = documents.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                b = whole.slice(at, 512)
+                columns = dict(zip(names, b.columns))
+                texts = columns[text_col].to_pylist()
+                for i, f in enumerate(b.column(len(names)).to_pylist()):
+                    if f:
+                        data = texts[i].encode("utf-8", "surrogatepass")
+                        texts[i] = _kept(data, _whole_letters(data, covered(len(data), [(r["s"], r["spans"]) for r in f]))).decode("utf-8", "replace")
+                columns[text_col] = pa.array(texts, type=columns[text_col].type)
+                if chars_col in columns:
+                    columns[chars_col] = pa.array([None if t is None else len(t) for t in texts], type=columns[chars_col].type)
+                yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
+
+    return joined.mapInArrow(run, documents.schema)
+
+
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
