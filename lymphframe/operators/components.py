@@ -13,6 +13,11 @@ def _digest(df: DataFrame) -> tuple:
     return row[0], row[1]
 
 
+def _named(state: DataFrame) -> DataFrame:
+    roots = state.select(F.col("parent").alias("node"), F.col("parent").alias("root")).distinct()
+    return state.select("node", F.col("parent").alias("root")).union(roots)
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 64) -> DataFrame:
     """(node, root) for every node on an edge, root the least node reachable.
 
@@ -26,7 +31,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     state = stage(e.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("parent")).distinct(), "edges")
     before = _digest(state)
     if before[0] == 0:
-        return state.select("node", F.col("parent").alias("root"))
+        return _named(state)
     for _ in range(max_rounds):
         both = state.select(F.col("node").alias("u"), F.col("parent").alias("v")).union(state.select("parent", "node"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -38,6 +43,6 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         unstage(state)
         state = new
         if after == before:
-            return state.select("node", F.col("parent").alias("root"))
+            return _named(state)
         before = after
     raise RuntimeError("connected components did not settle")

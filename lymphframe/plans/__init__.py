@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lymphframe.plans import aggregates, functions  # noqa: F401
+from lymphframe.plans import aggregates, functions, groups  # noqa: F401
 from lymphframe.plans.registry import ORACLES, QUERIES
 
 
