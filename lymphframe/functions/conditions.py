@@ -32,6 +32,8 @@ def parse_linear(text: str) -> tuple[list[tuple[float, str]], str, float]:
             raise ValueError(f"not a linear condition: {text}")
         terms.append(((-1 if t.group(1) == "-" else 1) * float(t.group(2) or 1), t.group(3) or t.group(4)))
         at = t.end()
+    if not terms:
+        raise ValueError(f"not a linear condition: {text}")
     try:
         return terms, _COMPARE[sign], float(bound)
     except ValueError:
