@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lymphframe.functions.sequence import hamming
 from lymphframe.operators.components import connected_components
 
 
@@ -30,6 +31,27 @@ def similar_pairs(items: DataFrame, id_col: str, block: list[str], near: Column)
     return a.join(b, cond & near).select(F.col(f"a.{id_col}").alias("src"), F.col(f"b.{id_col}").alias("dst"))
 
 
+def hamming_pairs(items: DataFrame, id_col: str, seq_col: str, most: int) -> DataFrame:
+    """(src, dst, distance): pairs of equal-length sequences that differ at `most` places at most; each pair once.
+
+    Two such sequences agree on one of most + 1 stretches, so the join is on (length, stretch, its
+    letters) and blocks shrink with the length of a stretch; candidates are then compared. Meant for
+    high identities; with as many differences as letters it falls back to blocks of one length.
+    """
+    n = F.length(seq_col)
+    bounds = lambda k: F.floor(n * k / (most + 1)).cast("int")
+    stretch = F.transform(F.sequence(F.lit(0), F.lit(most)), lambda k: F.struct(k.alias("k"), F.substr(F.col(seq_col), bounds(k) + 1, bounds(k + 1) - bounds(k)).alias("t")))
+    keyed = items.select(F.col(id_col).alias("id"), F.col(seq_col).alias("seq"), n.alias("n"), F.explode(stretch).alias("e")).select("id", "seq", "n", "e.k", "e.t")
+    a, b = (keyed.select("n", "k", "t", F.col("id").alias(f"id_{x}"), F.col("seq").alias(f"seq_{x}")) for x in "ab")
+    near = a.join(b, ["n", "k", "t"]).where("id_a < id_b").withColumn("distance", hamming(F.col("seq_a"), F.col("seq_b"))).where(F.col("distance") <= most)
+    return near.select(F.col("id_a").alias("src"), F.col("id_b").alias("dst"), F.col("distance").cast("long").alias("distance")).distinct()
+
+
+def refined_groups(clonotypes: DataFrame, id_col: str, keys: list[Column]) -> DataFrame:
+    """(id, group_key): the partition that all conditions refine together; their order doesn't matter."""
+    return clonotypes.select(F.col(id_col).alias("id"), F.concat_ws("|", *keys).alias("group_key"))
+
+
 def similarity_classes(items: DataFrame, id_col: str, block: list[str], near: Column) -> DataFrame:
     """(id, root): transitive closure of similar_pairs; an item without a partner is its own root."""
     found = connected_components(similar_pairs(items, id_col, block, near))

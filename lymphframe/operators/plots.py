@@ -52,3 +52,74 @@ def ticks(low: float, high: float, most: int = 6) -> list[float]:
         step = {1: 2, 2: 5, 5: 10}[round(step / 10 ** math.floor(math.log10(step) + 1e-9))] * 10 ** math.floor(math.log10(step) + 1e-9)
     first = math.ceil(low / step - 1e-9)
     return [round(k * step, 12) for k in range(first, math.floor(high / step + 1e-9) + 1)]
+
+
+def pack_circles(radii: list[float], seed: int = 0, blocked: list[tuple[float, float]] | None = None, quarter: bool = False) -> list[tuple[float, float]]:
+    """Centres of circles that don't overlap, largest first, each at the least radius found by random directions.
+
+    blocked: a polygon that no centre may lie in; quarter: only places with x, y >= 0.
+    """
+    import random
+
+    rng = random.Random(seed)
+    order = sorted(range(len(radii)), key=lambda i: (-radii[i], i))
+    placed: list[tuple[float, float, float]] = []
+    out = [(0.0, 0.0)] * len(radii)
+    for i in order:
+        r, best = radii[i], None
+        for _ in range(40):
+            turn = rng.random() * (math.pi / 2 if quarter else 2 * math.pi)
+            u, v = math.cos(turn), math.sin(turn)
+            # along this direction a placed circle blocks an interval of distances
+            spans = []
+            for x, y, q in placed:
+                along, off = x * u + y * v, abs(x * v - y * u)
+                reach = q + r
+                if off < reach:
+                    half = math.sqrt(reach * reach - off * off)
+                    spans.append((along - half, along + half))
+            at = r if quarter else 0.0
+            for a, b in sorted(spans):
+                if a < at < b:
+                    at = b
+            while blocked and inside(blocked, at * u, at * v):
+                at += r
+            if any(a < at < b for a, b in spans):
+                continue
+            if best is None or at < best[0]:
+                best = (at, at * u, at * v)
+        if best is None:  # far out nothing is in the way
+            far = max((math.hypot(x, y) + q for x, y, q in placed), default=0.0) + r
+            best = (far, far, 0.0)
+        out[i] = best[1:]
+        placed.append((*best[1:], r))
+    return out
+
+
+def turbo(k: int) -> str:
+    """Colour k of 0..255 on a rainbow from blue over green to red, as #rrggbb."""
+    t = min(255, max(0, k)) / 255
+    part = lambda c: round(255 * max(0.0, min(1.0, 1.5 - abs(4 * t - c))))
+    return f"#{part(3):02x}{part(2):02x}{part(1):02x}"
+
+
+def palette_distance(a: str, b: str) -> float:
+    """Distance of two #rrggbb colours in CIELAB."""
+
+    def lab(c: str) -> tuple[float, float, float]:
+        v = [int(c[k : k + 2], 16) / 255 for k in (1, 3, 5)]
+        v = [x / 12.92 if x <= 0.04045 else ((x + 0.055) / 1.055) ** 2.4 for x in v]
+        # fixed values: sRGB to XYZ under D65
+        xyz = [sum(m * x for m, x in zip(row, v)) / w for row, w in zip(((0.4124, 0.3576, 0.1805), (0.2126, 0.7152, 0.0722), (0.0193, 0.1192, 0.9505)), (0.95047, 1.0, 1.08883))]
+        f = [x ** (1 / 3) if x > 216 / 24389 else (24389 / 27 * x + 16) / 116 for x in xyz]
+        return 116 * f[1] - 16, 500 * (f[0] - f[1]), 200 * (f[1] - f[2])
+
+    return math.dist(lab(a), lab(b))
+
+
+def svg(circles: list[tuple[float, float, float, str]], size: int = 400) -> str:
+    """An SVG of filled circles (x, y, radius, colour), scaled to fit."""
+    far = max((max(abs(x), abs(y)) + r for x, y, r, _ in circles), default=1.0)
+    k = size / 2 / far
+    body = "".join(f'<circle cx="{size / 2 + x * k:.2f}" cy="{size / 2 - y * k:.2f}" r="{r * k:.2f}" fill="{c}"/>' for x, y, r, c in circles)
+    return f'<svg xmlns="http://www.w3.org/2000/svg" width="{size}" height="{size}">{body}</svg>'
