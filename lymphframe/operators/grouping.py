@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lymphframe.functions.sequence import hamming
 from lymphframe.operators.components import connected_components
+from lymphframe.session import stage
 
 
 def keyed_groups(clonotypes: DataFrame, id_col: str, key: Column, size: Column, empty_alone: bool = True) -> DataFrame:
@@ -85,5 +86,16 @@ def nearest_groups(items: DataFrame, centres: DataFrame, id_col: str, block: lis
 
 
 def ordinals(groups: DataFrame) -> DataFrame:
-    """Group ordinals from 1, largest first, ties by key; only group rows, not members, are ordered in one place."""
-    return groups.withColumn("group_id", F.row_number().over(Window.orderBy(F.desc("n"), "group_key")).cast("long"))
+    """groups with group_id, its place from 1 by n, largest first, ties by group_key.
+
+    Rows are sorted by ranges, numbered within each range and written once; the ranges' sizes, a row
+    a partition, then give each its first number. No task holds more than its range.
+    """
+    number = F.monotonically_increasing_id()  # the partition's number above 33 bits of the row's
+    rows = stage(groups.orderBy(F.desc("n"), "group_key").withColumn("__row", number), "ordered")
+    part, row = F.shiftright("__row", 33), F.col("__row").bitwiseAND(F.lit((1 << 33) - 1))
+    rows = rows.select(*groups.columns, part.alias("__part"), row.alias("__row"))
+    sizes = rows.groupBy("__part").agg(F.count("*").alias("c"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.broadcast(sizes.select("__part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("first")))
+    return rows.join(first, "__part").select(*groups.columns, (F.col("first") + F.col("__row") + 1).alias("group_id"))

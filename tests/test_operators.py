@@ -202,3 +202,12 @@ def test_grouping_order_does_not_matter(spark):
     a = G.similarity_classes(spark.createDataFrame(rows, "id long, s string"), "id", [], G.ratio_near(0.6, "s"))
     b = G.similarity_classes(spark.createDataFrame(rows[::-1], "id long, s string"), "id", [], G.ratio_near(0.6, "s"))
     assert {tuple(r) for r in a.collect()} == {tuple(r) for r in b.collect()}
+
+
+def test_ordinals_over_many_ranges(spark):
+    rows = [(f"k{k:04d}", (k * 7) % 13) for k in range(500)]
+    df = spark.createDataFrame(rows, "group_key string, n int").repartition(7)
+    got = [(r.group_key, r.n) for r in G.ordinals(df).orderBy("group_id").collect()]
+    assert got == sorted(rows, key=lambda r: (-r[1], r[0]))
+    assert [r.group_id for r in G.ordinals(df).orderBy("group_id").collect()] == list(range(1, 501))
+    assert G.ordinals(df.limit(0)).count() == 0
