@@ -122,10 +122,10 @@ def f19(spark, d):
     return referenced(spark, d).select("name", S.differences(F.substring("seq", 1, 15), F.substring("r", 1, 12)).alias("cdiff"))
 
 
-@query("f20_coordinates", W + M.CHAIN + " SELECT cell, ix, length(name) AS vjlen, length(v_name) AS ulen, length(name) - length(j_name) AS d_start, (length(name) - length(j_name)) % 3 AS d_frame FROM chain WHERE ix = 1")
+@query("f20_coordinates", W + M.CHAIN + " SELECT cell, ix, length(name) AS vjlen, length(v_name) AS ulen, length(name) - length(j_name) AS d_start, (length(name) - length(j_name)) % 3 AS d_frame FROM chain")
 def f20(spark, d):
     n = lambda c: F.length(c).cast("long")
-    return M.chains(spark, d).where("ix = 1").select("cell", "ix", n("name").alias("vjlen"), n("v_name").alias("ulen"), (n("name") - n("j_name")).alias("d_start"), ((n("name") - n("j_name")) % 3).alias("d_frame"))
+    return M.chains(spark, d).select("cell", "ix", n("name").alias("vjlen"), n("v_name").alias("ulen"), (n("name") - n("j_name")).alias("d_start"), ((n("name") - n("j_name")) % 3).alias("d_frame"))
 
 
 @query("f21_segment_names", "SELECT DISTINCT p_brand AS v_name, dense_rank() OVER (ORDER BY p_brand) AS v_id FROM part")

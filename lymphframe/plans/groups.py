@@ -9,6 +9,7 @@ from lymphframe.functions import conditions as C
 from lymphframe.functions import sequence as S
 from lymphframe.operators import grouping as G
 from lymphframe.operators.components import connected_components
+from lymphframe.operators.neighbors import nearest, within
 from lymphframe.plans.functions import AA, amino
 from lymphframe.plans.registry import query
 from lymphframe.session import table
@@ -35,10 +36,9 @@ def keyed(name, value_sql, value, only_heavy, names=True, empty_alone=True):
     query(name, sql)(f)
 
 
-@query("g00_each_alone", W + M.SIGNATURE + " SELECT cell AS group_key, nchains AS n, row_number() OVER (ORDER BY nchains DESC, cell) AS group_id FROM sig ORDER BY group_id LIMIT 50")
+@query("g00_each_alone", W + M.SIGNATURE + " SELECT cell AS group_key, nchains AS n, row_number() OVER (ORDER BY nchains DESC, cell) AS group_id FROM sig")
 def g00(spark, d):
-    """A top-50 report."""
-    return G.ordinals(M.signatures(spark, d).select(F.col("cell").alias("group_key"), F.col("nchains").alias("n")).orderBy(F.desc("n"), "group_key").limit(50))
+    return G.ordinals(M.signatures(spark, d).select(F.col("cell").alias("group_key"), F.col("nchains").alias("n")))
 
 
 keyed("g01_vj_refname", "v_name || j_name", lambda: F.concat("v_name", "j_name"), False)
@@ -169,14 +169,15 @@ def j11(spark, d):
     return pair_counts(spark, d, ["donor", "nchains"], "exact")
 
 
-@query("j12_doublet_triples", W + M.PLAIN + """, k AS (SELECT cell, list_sort(list(DISTINCT part)) AS p FROM plain WHERE heavy GROUP BY cell HAVING count(DISTINCT part) = 2), s AS (SELECT cell, min(part) AS part FROM plain WHERE heavy GROUP BY cell HAVING count(DISTINCT part) = 1)
-  SELECT k.cell AS p0, a.cell AS p1, b.cell AS p2 FROM k JOIN s a ON k.p[1] = a.part JOIN s b ON k.p[2] = b.part""")
+@query("j12_doublet_triples", W + M.PLAIN + """, h AS (SELECT cell, list_sort(list(DISTINCT part)) AS p FROM plain WHERE heavy GROUP BY cell), k AS (SELECT p[1] AS x, p[2] AS y, count(*) AS n0 FROM h WHERE len(p) = 2 GROUP BY ALL), s AS (SELECT p[1] AS part, count(*) AS n FROM h WHERE len(p) = 1 GROUP BY ALL)
+  SELECT x, y, n0, a.n AS n1, b.n AS n2 FROM k JOIN s a ON x = a.part JOIN s b ON y = b.part""")
 def j12(spark, d):
-    """A cell that shares one sequence with a second cell and another with a third, which share none."""
+    """Signatures of two sequences, each of which another signature has alone, with the cells of all three; the two share none."""
     h = M.chains_plain(spark, d).where("heavy").groupBy("cell").agg(F.sort_array(F.collect_set("part")).alias("p"))
-    k = h.where(F.size("p") == 2).select(F.col("cell").alias("p0"), F.get("p", F.lit(0)).alias("x"), F.get("p", F.lit(1)).alias("y"))
-    s = h.where(F.size("p") == 1).select("cell", F.get("p", F.lit(0)).alias("part"))
-    return k.join(s.select(F.col("cell").alias("p1"), F.col("part").alias("x")), "x").join(s.select(F.col("cell").alias("p2"), F.col("part").alias("y")), "y").select("p0", "p1", "p2")
+    sets = h.where(F.size("p") <= 2).groupBy("p").agg(F.count("*").alias("n"))
+    k = sets.where(F.size("p") == 2).select(F.get("p", F.lit(0)).alias("x"), F.get("p", F.lit(1)).alias("y"), F.col("n").alias("n0"))
+    s = sets.where(F.size("p") == 1).select(F.get("p", F.lit(0)).alias("part"), "n")
+    return k.join(s.select(F.col("part").alias("x"), F.col("n").alias("n1")), "x").join(s.select(F.col("part").alias("y"), F.col("n").alias("n2")), "y").select("x", "y", "n0", "n1", "n2")
 
 
 @query("j13_cross_donor_duplicates", W + M.MEMBER + " SELECT exact, count(DISTINCT donor) AS donors FROM mem WHERE nchains >= 3 GROUP BY exact HAVING count(DISTINCT donor) > 1")
@@ -257,28 +258,25 @@ def w04(spark, d):
 
 similar("w05_hamming_groups", ITEMS, "a.len = b.len AND hamming(a.seq, b.seq) <= 66", named, ["len"], lambda: S.hamming(F.col("a.seq"), F.col("b.seq")) <= 66)
 
-VECTORS = "v AS (SELECT vec_id AS cell, label % 2 = 0 AS vdj, list_transform(embedding, lambda x: CAST(floor(1000 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE vec_id % 5 = 0 OR vec_id % 5 = 1), p AS (SELECT a.cell AS a, b.cell AS b, b.vdj, CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda t: (t[1] - t[2]) * (t[1] - t[2]))) AS BIGINT) AS dist FROM v a JOIN v b ON a.cell % 5 = 0 AND b.cell % 5 = 1)"
+VECTORS = "v AS (SELECT vec_id AS cell, label % 2 = 0 AS vdj, list_transform(embedding, lambda x: CAST(floor(1000 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings), p AS (SELECT a.cell AS a, b.cell AS b, b.vdj, CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda t: (t[1] - t[2]) * (t[1] - t[2]))) AS BIGINT) AS dist FROM v a JOIN v b ON a.vdj)"
 
 
-def distances(spark, d):
-    """Squared distances of every fifth vector, the stated query set, to the next ones."""
+def vectors(spark, d):
+    """Every cell's vector in thousandths; the query set is the cells that the receptor data calls."""
     x = F.transform(F.col("embedding").cast("array<double>"), lambda e: F.floor(1000 * e))
-    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("cell"), (F.col("label") % 2 == 0).alias("vdj"), x.alias("v"))
-    a, b = v.where("cell % 5 = 0").select(F.col("cell").alias("a"), F.col("v").alias("x")), v.where("cell % 5 = 1").select(F.col("cell").alias("b"), "vdj", F.col("v").alias("y"))
-    dist = F.aggregate(F.zip_with("x", "y", lambda p, q: (p - q) * (p - q)), F.lit(0).cast("long"), lambda s, t: s + t)
-    return a.join(b, F.lit(True)).select("a", "b", "vdj", dist.alias("dist"))
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), x.alias("v"), (F.col("label") % 2 == 0).alias("mark"))
 
 
-@query("w06_credibility", W + VECTORS + ", r AS (SELECT a, vdj, row_number() OVER (PARTITION BY a ORDER BY dist, b) AS k FROM p) SELECT a AS cell, CAST(count(*) FILTER (vdj) AS DOUBLE) * 100 / count(*) AS cred FROM r WHERE k <= 20 GROUP BY a")
+@query("w06_credibility", W + VECTORS + ", r AS (SELECT a, vdj, row_number() OVER (PARTITION BY a ORDER BY dist, b) AS k FROM p WHERE a <> b) SELECT a AS cell, CAST(count(*) FILTER (vdj) AS DOUBLE) * 100 / count(*) AS cred FROM r WHERE k <= 20 GROUP BY a")
 def w06(spark, d):
-    r = distances(spark, d).withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy("dist", "b"))).where("k <= 20")
-    return r.groupBy(F.col("a").alias("cell")).agg((F.count_if("vdj").cast("double") * 100 / F.count("*")).alias("cred"))
+    r = nearest(vectors(spark, d), "mark", 20)
+    return r.groupBy(F.col("query").alias("cell")).agg((F.count_if("mark").cast("double") * 100 / F.count("*")).alias("cred"))
 
 
 @query("w07_within_radius", W + VECTORS + " SELECT a AS cell, count(*) FILTER (dist <= 1000000) AS npe, CAST(count(*) FILTER (dist <= 1000000 AND vdj) AS DOUBLE) * 100 / nullif(count(*) FILTER (dist <= 1000000), 0) AS ppe FROM p GROUP BY a")
 def w07(spark, d):
-    near = F.col("dist") <= 1000000
-    return distances(spark, d).groupBy(F.col("a").alias("cell")).agg(F.count_if(near).alias("npe"), F.try_divide(F.count_if(near & F.col("vdj")).cast("double") * 100, F.count_if(near).cast("double")).alias("ppe"))
+    r = within(vectors(spark, d), "mark", 1000000)
+    return r.select(F.col("query").alias("cell"), F.col("n").alias("npe"), F.try_divide(F.col("marked").cast("double") * 100, F.col("n").cast("double")).alias("ppe"))
 
 
 # --- scan ---

@@ -141,15 +141,15 @@ def fate(spark, d):
     return K.drop(kept, f, kept.where("umi < 20"), "UMI")[1]
 
 
-@query("r01_donor_alleles", W + M.CELL + ", " + M.CHAIN + """, c AS (SELECT DISTINCT cell.donor, chain.v_name, chain.name FROM chain JOIN cell USING (cell)), y AS (SELECT donor, v_name, i AS pos, substr(name, i, 1) AS base FROM c, unnest(range(1, 5)) t(i)), z AS (SELECT donor, v_name, pos, base, count(*) AS n FROM y GROUP BY ALL), x AS (SELECT *, sum(n) OVER (PARTITION BY donor, v_name, pos) AS total FROM z),
-  m AS (SELECT v_name, min(name) AS m FROM chain GROUP BY v_name), r AS (SELECT v_name, i AS pos, substr(m, i, 1) AS ref FROM m, unnest(range(1, 5)) t(i)) SELECT donor, v_name, pos, base, n FROM x JOIN r USING (v_name, pos) WHERE base <> ref AND n >= 4 AND 4 * n >= total""")
+@query("r01_donor_alleles", W + M.CELL + ", " + M.CHAIN + """, c AS (SELECT DISTINCT cell.donor, chain.v_name, chain.name FROM chain JOIN cell USING (cell)), y AS (SELECT donor, v_name, i AS pos, substr(name, i, 1) AS base FROM c, unnest(range(1, 40)) t(i) WHERE i <= length(name)), z AS (SELECT donor, v_name, pos, base, count(*) AS n FROM y GROUP BY ALL), x AS (SELECT *, sum(n) OVER (PARTITION BY donor, v_name, pos) AS total FROM z),
+  m AS (SELECT v_name, min(name) AS m FROM chain GROUP BY v_name), r AS (SELECT v_name, i AS pos, substr(m, i, 1) AS ref FROM m, unnest(range(1, 40)) t(i) WHERE i <= length(m)) SELECT donor, v_name, pos, base, n FROM x JOIN r USING (v_name, pos) WHERE base <> ref AND n >= 4 AND 4 * n >= total""")
 def r01(spark, d):
     """Bases other than the reference's that at least 4 and a quarter of a donor's distinct sequences show."""
     part = table(spark, d, "part").select(F.col("p_partkey").alias("part"), F.col("p_brand").alias("v_name"), F.col("p_name").alias("name"))
     chains = M.chains_plain(spark, d).select("cell", "part").join(part, "part")
     c = chains.join(M.cells(spark, d).select("cell", "donor"), "cell").select("donor", "v_name", "name").distinct()
-    letters = lambda c: F.posexplode(F.split(F.substring(c, 1, 4), "")).alias("p", "base")
+    letters = lambda c: F.posexplode(F.split(c, "")).alias("p", "base")
     x = c.select("donor", "v_name", letters("name")).where("base <> ''").groupBy("donor", "v_name", "p", "base").agg(F.count("*").alias("n"))
     x = x.withColumn("total", F.sum("n").over(Window.partitionBy("donor", "v_name", "p")))
-    r = chains.groupBy("v_name").agg(F.min("name").alias("m")).select("v_name", letters("m")).withColumnRenamed("base", "ref")
+    r = chains.groupBy("v_name").agg(F.min("name").alias("m")).select("v_name", letters("m")).withColumnRenamed("base", "ref").where("ref <> ''")
     return x.join(r, ["v_name", "p"]).where("base <> ref AND n >= 4 AND 4 * n >= total").select("donor", "v_name", (F.col("p") + 1).cast("long").alias("pos"), "base", "n")
