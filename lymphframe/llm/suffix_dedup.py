@@ -129,10 +129,10 @@ _PIECES = "key long, h long, th long, off int, w long, n int, text binary"
 
 
 def _piece_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cut the wanted runs out of their texts; runs of split keys come in finer runs."""
+    """Cut the wanted runs out of their texts, the last two columns; runs of split keys come in finer runs."""
     for b in batches:
         out: list[tuple] = []
-        for text, wanted in zip(b.column(0).cast(pa.binary()), b.column(1)):
+        for text, wanted in zip(b.column(b.num_columns - 2).cast(pa.binary()), b.column(b.num_columns - 1)):
             buf = text.as_py()
             for r in wanted.as_py():
                 s, n = r["s"], r["n"]
@@ -402,17 +402,21 @@ def _whole_letters(data: bytes, gone: list[tuple[int, int]]) -> list[tuple[int,
     return out
 
 
-def repeated_runs(documents: DataFrame, hot: int = HOT) -> DataFrame:
-    """(doc, tx, found): for texts with repeated windows, run starts and the repeated starts in each run."""
-    source = documents.select("doc", "tx", "text")
+def repeated_runs(documents: DataFrame, doc: str, tx: str, text: str, hot: int = HOT) -> DataFrame:
+    """(doc, tx, found): for texts with repeated windows, run starts and the repeated starts in each run.
+
+    The caller joins the same frame by the same keys once more. As no column is left out here, the
+    shuffle of the texts for both joins is one.
+    """
+    source = documents.select(F.col(doc).alias("doc"), F.col(tx).alias("tx"), F.col(text).alias("text"))
     anchors = stage(source.where(F.octet_length("text") >= LENGTH).mapInArrow(_anchor_task, _ANCHORS), "anchors")
     often = anchors.groupBy("h").agg(F.sum("c").alias("c")).where("c > 1").select("h", (F.col("c") > hot).alias("hot"))
     occ = stage(anchors.drop("c").join(often, "h"), "occurrences")
     unstage(anchors)
     distinct = occ.groupBy("h", "th", "hot").agg(F.count("*").alias("w"), F.min(F.struct("doc", "tx", "s", "n")).alias("r"))
-    wanted = distinct.groupBy(F.col("r.doc").alias("doc"), F.col("r.tx").alias("tx")).agg(F.collect_list(F.struct("h", "th", "w", "hot", F.col("r.s").alias("s"), F.col("r.n").alias("n"))).alias("wanted"))
-    once = source.join(wanted, ["doc", "tx"]).select("doc", "tx", "text", "wanted")
-    pieces = once.select("text", "wanted").mapInArrow(_piece_task, _PIECES)
+    wanted = distinct.groupBy(F.col("r.doc").alias(doc), F.col("r.tx").alias(tx)).agg(F.collect_list(F.struct("h", "th", "w", "hot", F.col("r.s").alias("s"), F.col("r.n").alias("n"))).alias("__wanted"))
+    rest = [c for c in documents.columns if c not in (doc, tx, text)]
+    pieces = documents.join(wanted, [doc, tx]).select(*rest, text, "__wanted").mapInArrow(_piece_task, _PIECES)
     verdict = pieces.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(_shard_task, "h long, th long, spans array<int>")
     hit = occ.select("doc", "tx", "h", "th", "s").join(verdict, ["h", "th"])
     return hit.groupBy("doc", "tx").agg(F.collect_set(F.struct("s", "spans")).alias("found"))
@@ -429,7 +433,7 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     source = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     source = source.select("id", F.xxhash64("id").alias("doc"), F.xxhash64("text").alias("tx"), "text")
-    found = repeated_runs(source, hot)
+    found = repeated_runs(source, "doc", "tx", "text", hot)
     joined = source.join(found, ["doc", "tx"], "left").select("id", "text", "found")
     kind = documents.schema[id_col].dataType.simpleString()
     last = "kept string" if keep_text else "kept_sha256 string"
@@ -456,8 +460,7 @@ def strip_repeats(documents: DataFrame, text_col: str = "text", chars_col: str =
     """The same rows and columns, repeated strings cut out of the text (to whole letters), the column of its length set anew."""
     # the text alone tells what goes, so rows of one text share a key, two hashes of 64 bits
     keyed = documents.withColumns({"__doc": F.xxhash64(F.lit(1), F.col(text_col)), "__tx": F.xxhash64(text_col)})
-    source = keyed.where(F.col(text_col).isNotNull()).select(F.col("__doc").alias("doc"), F.col("__tx").alias("tx"), F.col(text_col).alias("text"))
-    found = repeated_runs(source, hot).select(F.col("doc").alias("__doc"), F.col("tx").alias("__tx"), F.col("found").alias("__found"))
+    found = repeated_runs(keyed, "__doc", "__tx", text_col, hot).select(F.col("doc").alias("__doc"), F.col("tx").alias("__tx"), F.col("found").alias("__found"))
     joined = keyed.join(found, ["__doc", "__tx"], "left").select(*documents.columns, "__found")
     names = documents.columns
 
