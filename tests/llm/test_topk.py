@@ -45,3 +45,9 @@ def test_bounds_drop_no_winner():
     for a in range(20):
         kth = np.sort(full[a])[-10]
         assert set(j[i == a]) == set(np.flatnonzero(full[a] >= kth))
+
+
+def test_repeated_ids_count_once(spark):
+    rows = [(0, [1.0, 0.5]), (1, [0.5, 0.5]), (1, [0.5, 0.5]), (2, [0.25, 0.0]), (2, [-1.0, 0.0])]
+    got = [(r["rank"], r.vec_id, r.score) for r in T.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).orderBy("rank").collect()]
+    assert got == [(1, 1, 64 * 32 + 32 * 32), (2, 2, -64 * 64)]
