@@ -211,3 +211,31 @@ def test_ordinals_over_many_ranges(spark):
     assert got == sorted(rows, key=lambda r: (-r[1], r[0]))
     assert [r.group_id for r in G.ordinals(df).orderBy("group_id").collect()] == list(range(1, 501))
     assert G.ordinals(df.limit(0)).count() == 0
+
+
+def test_scan_needs_both_sets(spark):
+    from lymphframe.operators.scan import feature_scan
+
+    counts = spark.createDataFrame([(1, "f", 4), (2, "f", 1), (2, "g", 3)], "cell int, feature string, count int")
+    cells = spark.createDataFrame([(1,), (2,), (3,), (4,)], "cell int")
+    got = {tuple(r) for r in feature_scan(counts, cells, F.col("cell") < 3, F.col("cell") >= 3, F.lit(True)).collect()}
+    assert got == {("f", 2.5, 0.0, None), ("g", 1.5, 0.0, None)}
+    for test, control in ((F.col("cell") > 9, F.col("cell") < 3), (F.col("cell") < 3, F.col("cell") > 9)):
+        with pytest.raises(ValueError):
+            feature_scan(counts, cells, test, control, F.lit(True))
+
+
+@pytest.mark.parametrize("k", [3, 50])
+def test_neighbours_against_brute_force(spark, k):
+    from lymphframe.operators.neighbors import nearest, within
+
+    rng = np.random.default_rng(k)
+    v = rng.integers(-5, 6, (300, 3))
+    rows = [(i, [int(x) for x in v[i]], i % 4 == 0) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, v array<long>, mark boolean")
+    d = ((v[:, None] - v[None, :]) ** 2).sum(2)
+    want = {(q, c) for q in range(0, 300, 4) for _, c in sorted((d[q, c], c) for c in range(300) if c != q)[:k]}
+    assert {(r.query, r.id) for r in nearest(df, "mark", k).collect()} == want
+    got = {r.query: (r.n, r.marked) for r in within(df, "mark", 9).collect()}
+    assert got == {q: (int((d[q] <= 9).sum()), int((d[q, ::4] <= 9).sum())) for q in range(0, 300, 4)}
+    assert nearest(df.limit(0), "mark", k).count() == 0
