@@ -26,7 +26,7 @@ from lymphframe.session import stage, table, unstage
 
 LENGTH, CORE, FINE = 200, 64, 160
 #: Bytes of a shard (ranks must fit 21 bits), windows of a run, occurrences from which a key is split.
-SHARD, RUN, HOT = 1_000_000, 1024, 20_000
+SHARD, RUN, HOT = 1_000_000, 1024, 1_000
 _STEP = 1 << 16
 
 
