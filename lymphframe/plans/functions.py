@@ -348,9 +348,14 @@ def p22(spark, d):
   k AS (SELECT clono FROM mem GROUP BY clono HAVING avg(CAST(umi AS DOUBLE)) >= 50)
   SELECT clono, exact, row_number() OVER (PARTITION BY clono ORDER BY n DESC, exact) AS exact_subclonotype_id, n, u, r_mean, donors FROM g WHERE clono IN (SELECT clono FROM k)""")
 def flagship(spark, d):
-    """Signature grouping, clonotype-level condition, lead variables and ordinals."""
-    m = M.members(spark, d)
-    kept = m.groupBy("clono").agg(C.linear("umi >= 50", m.columns, F.avg).alias("ok")).where("ok").select("clono")
-    g = m.groupBy("clono", "exact").agg(F.count("*").alias("n"), rounded_median(F.col("umi")).alias("u"), half_up(F.sum("reads") / F.count("reads")).alias("r_mean"), distinct_list(F.col("donor")).alias("donors"))
-    w = Window.partitionBy("clono").orderBy(F.desc("n"), "exact")
-    return g.join(kept, "clono", "left_semi").select("clono", "exact", F.row_number().over(w).cast("long").alias("exact_subclonotype_id"), "n", "u", "r_mean", "donors")
+    """Signature grouping, clonotype-level condition, lead variables and ordinals.
+
+    The clonotype's mean comes from the signatures' sums, so cells are read and dealt once.
+    """
+    g = M.members(spark, d).groupBy("clono", "exact").agg(
+        F.count("*").alias("n"), rounded_median(F.col("umi")).alias("u"), half_up(F.sum("reads") / F.count("reads")).alias("r_mean"), distinct_list(F.col("donor")).alias("donors"), F.sum("umi").alias("umis"),
+    )
+    w = Window.partitionBy("clono")
+    g = g.withColumn("umi_mean", F.sum("umis").over(w) / F.sum("n").over(w)).withColumn("place", F.row_number().over(w.orderBy(F.desc("n"), "exact")).cast("long"))
+    kept = g.where(C.linear("umi_mean >= 50", g.columns))
+    return kept.select("clono", "exact", F.col("place").alias("exact_subclonotype_id"), "n", "u", "r_mean", "donors")
