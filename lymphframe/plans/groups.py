@@ -9,7 +9,7 @@ from lymphframe.functions import conditions as C
 from lymphframe.functions import sequence as S
 from lymphframe.operators import grouping as G
 from lymphframe.operators.components import connected_components
-from lymphframe.operators.neighbors import nearest, within
+from lymphframe.operators.neighbors import marked_among_nearest, nearest, within
 from lymphframe.plans.functions import AA, amino
 from lymphframe.plans.registry import query
 from lymphframe.session import table
@@ -273,6 +273,13 @@ def w06(spark, d):
     return r.groupBy(F.col("query").alias("cell")).agg((F.count_if("mark").cast("double") * 100 / F.count("*")).alias("cred"))
 
 
+@query("w06_credibility_n_nearest", W + VECTORS + ", n AS (SELECT count(*) AS n FROM v WHERE vdj AND v IS NOT NULL), r AS (SELECT a, vdj, row_number() OVER (PARTITION BY a ORDER BY dist, b) AS k FROM p WHERE dist IS NOT NULL) SELECT a AS cell, CAST(count(*) FILTER (vdj) AS DOUBLE) * 100 / any_value(n) AS cred FROM r, n WHERE k <= n GROUP BY a")
+def w06n(spark, d):
+    """The reference's rule: as many neighbours as there are called cells, the cell itself among them."""
+    r = marked_among_nearest(vectors(spark, d))
+    return r.select(F.col("query").alias("cell"), F.try_divide(F.col("marked").cast("double") * 100, F.col("n").cast("double")).alias("cred"))
+
+
 @query("w07_within_radius", W + VECTORS + " SELECT a AS cell, count(*) FILTER (dist <= 1000000) AS npe, CAST(count(*) FILTER (dist <= 1000000 AND vdj) AS DOUBLE) * 100 / nullif(count(*) FILTER (dist <= 1000000), 0) AS ppe FROM p GROUP BY a")
 def w07(spark, d):
     r = within(vectors(spark, d), "mark", 1000000)

@@ -239,3 +239,21 @@ def test_neighbours_against_brute_force(spark, k):
     got = {r.query: (r.n, r.marked) for r in within(df, "mark", 9).collect()}
     assert got == {q: (int((d[q] <= 9).sum()), int((d[q, ::4] <= 9).sum())) for q in range(0, 300, 4)}
     assert nearest(df.limit(0), "mark", k).count() == 0
+
+
+@pytest.mark.parametrize("span", [3, 400])
+def test_marked_among_nearest(spark, span):
+    """n grows with the marks, far beyond 20; narrow values tie across the n-th place, ids reach both ends of a long."""
+    from lymphframe.operators.neighbors import marked_among_nearest
+
+    rng = np.random.default_rng(span)
+    v = rng.integers(-span, span + 1, (300, 3))
+    ids = [-(2**63), *range(-100, 198), 2**63 - 1]
+    mark = rng.random(300) < 0.4
+    rows = [(ids[i], [int(x) for x in v[i]], bool(mark[i])) for i in range(300)]
+    df = spark.createDataFrame(rows + [(1000, None, True)], "id long, v array<long>, mark boolean")
+    d, n = ((v[:, None] - v[None, :]) ** 2).sum(2), int(mark.sum())
+    want = {ids[q]: (n, sum(bool(mark[c]) for _, c in sorted((d[q, c], c) for c in range(300))[:n])) for q in range(300) if mark[q]}
+    got = marked_among_nearest(df).collect()
+    assert {r.query: (r.n, r.marked) for r in got} == want and len(got) == n
+    assert marked_among_nearest(df.limit(0)).count() == 0 and marked_among_nearest(df.where("NOT mark")).count() == 0
