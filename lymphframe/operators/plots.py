@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -58,41 +60,60 @@ def pack_circles(radii: list[float], seed: int = 0, blocked: list[tuple[float, f
     """Centres of circles that don't overlap, largest first, each at the least radius found by random directions.
 
     blocked: a polygon that no centre may lie in; quarter: only places with x, y >= 0.
+    Placed circles are held by the sectors they can block, so a direction reads one sector.
     """
     import random
 
     rng = random.Random(seed)
     order = sorted(range(len(radii)), key=lambda i: (-radii[i], i))
-    placed: list[tuple[float, float, float]] = []
-    out = [(0.0, 0.0)] * len(radii)
-    for i in order:
+    n, sectors = len(radii), max(16, min(4096, len(radii)))
+    x, y, q = np.zeros(n), np.zeros(n), np.zeros(n)
+    held: list[list[int]] = [[] for _ in range(sectors)]
+    far = 0.0
+    out = [(0.0, 0.0)] * n
+    for count, i in enumerate(order):
         r, best = radii[i], None
-        for _ in range(40):
-            turn = rng.random() * (math.pi / 2 if quarter else 2 * math.pi)
-            u, v = math.cos(turn), math.sin(turn)
-            # along this direction a placed circle blocks an interval of distances
-            spans = []
-            for x, y, q in placed:
-                along, off = x * u + y * v, abs(x * v - y * u)
-                reach = q + r
-                if off < reach:
-                    half = math.sqrt(reach * reach - off * off)
-                    spans.append((along - half, along + half))
+        turns = [rng.random() * (math.pi / 2 if quarter else 2 * math.pi) for _ in range(40)]
+        near = [held[min(sectors - 1, int(t / (2 * math.pi) * sectors))] for t in turns]
+        k = np.fromiter(chain.from_iterable(near), np.int64)
+        way = np.repeat(np.arange(40), [len(c) for c in near])
+        u, v = np.array([math.cos(t) for t in turns]), np.array([math.sin(t) for t in turns])
+        # along a direction a placed circle blocks an interval of distances
+        off, reach = np.abs(x[k] * v[way] - y[k] * u[way]), q[k] + r
+        hit = off < reach
+        k, way, off, reach = k[hit], way[hit], off[hit], reach[hit]
+        along, half = x[k] * u[way] + y[k] * v[way], np.sqrt(reach * reach - off * off)
+        low, high = along - half, along + half
+        by = np.lexsort((low, way))
+        low, high, edge = low[by], high[by], np.searchsorted(way[by], np.arange(41))
+        for t in range(40):
+            a, b = low[edge[t] : edge[t + 1]], high[edge[t] : edge[t + 1]]
             at = r if quarter else 0.0
-            for a, b in sorted(spans):
-                if a < at < b:
-                    at = b
-            while blocked and inside(blocked, at * u, at * v):
+            if len(a):
+                upto = np.maximum(np.maximum.accumulate(b), at)
+                free = np.flatnonzero(np.append(a, np.inf) >= np.append(at, upto))[0]
+                at = float(upto[free - 1]) if free else at
+            while blocked and inside(blocked, at * u[t], at * v[t]):
                 at += r
-            if any(a < at < b for a, b in spans):
+            if ((a < at) & (at < b)).any():
                 continue
             if best is None or at < best[0]:
-                best = (at, at * u, at * v)
+                best = (at, float(at * u[t]), float(at * v[t]))
         if best is None:  # far out nothing is in the way
-            far = max((math.hypot(x, y) + q for x, y, q in placed), default=0.0) + r
-            best = (far, far, 0.0)
+            best = (far + r, far + r, 0.0)
         out[i] = best[1:]
-        placed.append((*best[1:], r))
+        x[count], y[count], q[count] = *best[1:], r
+        d = math.hypot(*best[1:])
+        far = max(far, d + r)
+        # circles to come are no larger, so this one blocks directions within asin(2 r / d) of its own
+        if d <= 2 * r:
+            for s in held:
+                s.append(count)
+        else:
+            turn, wide = math.atan2(best[2], best[1]), math.asin(2 * r / d)
+            first, last = (math.floor((turn + w) / (2 * math.pi) * sectors + e) for w, e in ((-wide, -1e-6), (wide, 1e-6)))
+            for s in range(first, min(last, first + sectors - 1) + 1):
+                held[s % sectors].append(count)
     return out
 
 

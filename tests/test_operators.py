@@ -257,3 +257,52 @@ def test_marked_among_nearest(spark, span):
     got = marked_among_nearest(df).collect()
     assert {r.query: (r.n, r.marked) for r in got} == want and len(got) == n
     assert marked_among_nearest(df.limit(0)).count() == 0 and marked_among_nearest(df.where("NOT mark")).count() == 0
+
+
+def plain_packing(radii, seed, quarter):
+    """Every placed circle against every direction, without an index."""
+    import random
+
+    rng, placed, out = random.Random(seed), [], [(0.0, 0.0)] * len(radii)
+    for i in sorted(range(len(radii)), key=lambda i: (-radii[i], i)):
+        r, best = radii[i], None
+        for _ in range(40):
+            turn = rng.random() * (math.pi / 2 if quarter else 2 * math.pi)
+            u, v = math.cos(turn), math.sin(turn)
+            spans = []
+            for x, y, q in placed:
+                along, off, reach = x * u + y * v, abs(x * v - y * u), q + r
+                if off < reach:
+                    half = math.sqrt(reach * reach - off * off)
+                    spans.append((along - half, along + half))
+            at = r if quarter else 0.0
+            for a, b in sorted(spans):
+                at = b if a < at < b else at
+            if not any(a < at < b for a, b in spans) and (best is None or at < best[0]):
+                best = (at, at * u, at * v)
+        out[i] = best[1:]
+        placed.append((*best[1:], r))
+    return out
+
+
+@pytest.mark.parametrize("quarter", [False, True])
+def test_indexed_packing_places_as_before(quarter):
+    from lymphframe.operators.plots import pack_circles
+
+    radii = [float(r) ** 0.5 for r in np.random.default_rng(3).zipf(1.8, 150).clip(1, 900)]
+    assert np.allclose(pack_circles(radii, 5, quarter=quarter), plain_packing(radii, 5, quarter), atol=1e-9)
+    assert pack_circles([]) == []
+
+
+def test_every_cluster_gets_a_circle(spark):
+    from lymphframe import plans
+    from lymphframe.sources import mapped as M
+
+    d = "/root/testdata/sf0.001"
+    got = plans.queries()["v03_circle_packing"](spark, d).collect()
+    want = {r.exact: r["count"] ** 0.5 for r in M.signatures(spark, d).groupBy("exact").count().collect()}
+    assert len(want) > 40 and {r.exact: r.radius for r in got} == want and len(got) == len(want)
+    x, y, q = (np.array([r[c] for r in got]) for c in ("x", "y", "radius"))
+    gap = np.hypot(x[:, None] - x, y[:, None] - y) - q[:, None] - q
+    np.fill_diagonal(gap, 0)
+    assert gap.min() > -1e-6
