@@ -101,6 +101,15 @@ def g22(spark, d):
     return connected_components(e)
 
 
+@query("g22_link_components")
+def g22_links(spark, d):
+    """Components of all customer-order and order-part links; most nodes meet in one giant component."""
+    node = lambda kind, key: F.concat(F.lit(kind), F.col(key).cast("string"))
+    placed = table(spark, d, "orders").select(node("o", "o_orderkey").alias("src"), node("c", "o_custkey").alias("dst"))
+    holds = table(spark, d, "lineitem").select(node("o", "l_orderkey").alias("src"), node("p", "l_partkey").alias("dst"))
+    return connected_components(placed.union(holds))
+
+
 @query("g23_group_stats", W + M.MEMBER + ", g AS (SELECT exact, count(*) AS n, CAST(sum(nchains) AS BIGINT) AS c FROM mem GROUP BY exact) SELECT n AS group_size, count(*) AS groups FROM g GROUP BY n")
 def g23(spark, d):
     return M.members(spark, d).groupBy("exact").agg(F.count("*").alias("group_size")).groupBy("group_size").agg(F.count("*").alias("groups"))

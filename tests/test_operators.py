@@ -306,3 +306,18 @@ def test_every_cluster_gets_a_circle(spark):
     gap = np.hypot(x[:, None] - x, y[:, None] - y) - q[:, None] - q
     np.fill_diagonal(gap, 0)
     assert gap.min() > -1e-6
+
+
+def test_link_components_take_every_row(spark, tmp_path):
+    from lymphframe import plans
+
+    rng = np.random.default_rng(6)
+    orders = [(o, int(c)) for o, c in enumerate(rng.integers(0, 150, 200))] + [(900, 901), (902, None)]
+    lines = [(int(o), int(p)) for o, p in rng.integers(0, 150, (260, 2))] + [(900, 950), (903, 951)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    edges = [(f"o{o}", f"c{c}") for o, c in orders if c is not None] + [(f"o{o}", f"p{p}") for o, p in lines]
+    got = plans.queries()["g22_link_components"](spark, str(tmp_path)).collect()
+    want = brute_components(edges)
+    assert {r.node: r.root for r in got} == want and len(got) == len(want)
+    assert max(list(want.values()).count(r) for r in set(want.values())) > len(want) / 2
