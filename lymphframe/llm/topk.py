@@ -4,8 +4,8 @@ Each component of the candidates is a list sorted by value; a query reads it fro
 own component is positive and from the bottom where it is negative. After each stretch of all lists
 a candidate has a lower bound (what was read of it, plus the far ends of the lists not yet read) and
 an upper bound (plus the values at which those lists stand); a candidate whose upper bound is under
-the k-th lower bound can't qualify. Reading stops when only qualified candidates are left or the
-remaining lists are short, and the survivors' scores are completed. Queries and candidates come in
+the k-th lower bound can't qualify. Reading goes on, to the end of the lists if need be, until few
+candidates are left, and the survivors' scores alone are completed. Queries and candidates come in
 blocks, and stretches are read for all queries of a block at once as matrix products.
 """
 
@@ -22,7 +22,7 @@ from lymphframe.session import table
 
 K, SCALE, EVERY = 20, 64, 20
 #: Rows of a candidate block and a query block, and the shares of each list read before bounds are compared.
-CANDIDATES, QUERIES, STRETCHES = 2048, 4096, (0.25, 0.5)
+CANDIDATES, QUERIES, STRETCHES = 2048, 4096, (0.25, 0.5, 0.75, 0.9, 1.0)
 
 
 def read_lists(q: np.ndarray, v: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -53,23 +53,16 @@ def read_lists(q: np.ndarray, v: np.ndarray, own: np.ndarray, k: int) -> tuple[n
             alive &= upper >= bar[:, None]
         if alive.sum() <= 4 * n * want:
             break
-    # resolve: the rest of the lists, for survivors alone where they are few
-    left = alive.sum()
-    if left * 8 < n * m:
-        i, j = np.nonzero(alive)
-        score = np.concatenate([np.einsum("ij,ij->i", q[i[s : s + 65536]], v[j[s : s + 65536]]) for s in range(0, len(i), 65536)] or [np.zeros(0)])
-        order = np.lexsort((-score, i))
-        i, j, score = i[order], j[order], score[order]
-        place = np.arange(len(i)) - np.searchsorted(i, i)
-        kth = np.full(n, -np.inf)
-        kth[i[place == want - 1]] = score[place == want - 1]
-        keep = score >= kth[i]
-        return i[keep], j[keep], score[keep].astype(np.int64)
-    score = q @ v.T
-    score[~alive] = -np.inf
-    bar = np.partition(score, m - want, axis=1)[:, m - want]
-    i, j = np.nonzero((score >= bar[:, None]) & np.isfinite(score))
-    return i, j, score[i, j].astype(np.int64)
+    # resolve: the rest of the lists, for survivors alone
+    i, j = np.nonzero(alive)
+    score = np.concatenate([np.einsum("ij,ij->i", q[i[s : s + 65536]], v[j[s : s + 65536]]) for s in range(0, len(i), 65536)] or [np.zeros(0)])
+    order = np.lexsort((-score, i))
+    i, j, score = i[order], j[order], score[order]
+    place = np.arange(len(i)) - np.searchsorted(i, i)
+    kth = np.full(n, -np.inf)
+    kth[i[place == want - 1]] = score[place == want - 1]
+    keep = score >= kth[i]
+    return i[keep], j[keep], score[keep].astype(np.int64)
 
 
 def _block(query: pa.Table, candidate: pa.Table, k: int) -> pa.Table:

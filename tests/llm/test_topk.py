@@ -51,3 +51,17 @@ def test_repeated_ids_count_once(spark):
     rows = [(0, [1.0, 0.5]), (1, [0.5, 0.5]), (1, [0.5, 0.5]), (2, [0.25, 0.0]), (2, [-1.0, 0.0])]
     got = [(r["rank"], r.vec_id, r.score) for r in T.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).orderBy("rank").collect()]
     assert got == [(1, 1, 64 * 32 + 32 * 32), (2, 2, -64 * 64)]
+
+
+def test_reading_goes_on_until_few_are_left(monkeypatch):
+    """Where half of the lists prunes nothing, scores are still completed for survivors alone."""
+    rng = np.random.default_rng(4)
+    v = np.floor(rng.normal(0, 64, (400, 64)))
+    done, plain = [], np.einsum
+    monkeypatch.setattr(T.np, "einsum", lambda f, a, b: done.append(len(a)) or plain(f, a, b))
+    i, j, s = T.read_lists(v[::20].copy(), v, np.arange(0, 400, 20), 10)
+    full = v[::20] @ v.T
+    full[np.arange(20), np.arange(0, 400, 20)] = -np.inf
+    want = full >= np.sort(full, axis=1)[:, -10:-9]
+    assert set(zip(i, j)) == set(zip(*np.nonzero(want))) and (s == full[i, j]).all()
+    assert 0 < sum(done) * 8 < 20 * 400
