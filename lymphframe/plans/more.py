@@ -117,7 +117,7 @@ def v07(spark, d):
 
 @query("v08_palette")
 def v08(spark, d):
-    return spark.createDataFrame([(k, P.turbo(k)) for k in range(0, 256, 5)], "shade int, colour string")
+    return spark.createDataFrame([(k, P.turbo(k)) for k in range(256)], "shade int, colour string")
 
 
 @query("f36_region_starts", W + AA + ", c AS (SELECT name, aa, regexp_extract(aa, '[A-Z]C[A-Z]{2}[ASTVFG]') AS hit FROM aa) SELECT name, CASE WHEN hit <> '' THEN position(hit IN aa) - 1 + 5 END AS cdr1 FROM c")

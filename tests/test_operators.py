@@ -321,3 +321,10 @@ def test_link_components_take_every_row(spark, tmp_path):
     want = brute_components(edges)
     assert {r.node: r.root for r in got} == want and len(got) == len(want)
     assert max(list(want.values()).count(r) for r in set(want.values())) > len(want) / 2
+
+
+def test_palette_has_every_shade(spark):
+    from lymphframe import plans
+
+    got = plans.queries()["v08_palette"](spark, "/root/testdata/sf0.001").collect()
+    assert {r.shade: r.colour for r in got} == {k: P.turbo(k) for k in range(256)} and len(got) == 256
