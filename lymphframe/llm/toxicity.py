@@ -2,11 +2,12 @@
 
 Words map to classes: insult, threat, target, negation, reported speech, other. Insults come from a
 seed list and from the labels: words, and stems with any ending, that occur in toxic documents and
-hardly elsewhere. Five small transducers, one a class, each pass other classes on and mark what they
-find; their composition is one machine that reads a clause's classes and ends in a pattern: which of
-the five were met and in what relation. A clause without insult or threat scores nothing. Each
-pattern's weight, and how fast repeated matches add up, are fitted to the labels, so a negated or
-reported insult counts as much as the labels say and no isolated word decides.
+hardly elsewhere. Transducers, one a relation, pass other classes on and put out an arc when they
+meet what they look for: an insult or a threat (a head), a target within reach of a head on either
+side, a negation or a verb of reporting that a head follows within reach. Their composition is one
+machine that reads a clause's classes; the clause's weight is the sum of its arcs' weights, not
+under 0. Arc weights start from set values and move as far as the labels tell: a target always adds
+to a head, a negation and a report always take away from it. A clause without a head weighs nothing.
 """
 
 from __future__ import annotations
@@ -34,82 +35,102 @@ TARGET = "you your yours yourself he she they them him her people all du dich ih
 NEGATION = "not no never none without nicht kein keine nie ne pas jamais nunca ningún sin".split()
 REPORT = "said says say told called quoted wrote reported claims sagte sagt dit disait dijo dice".split()
 OTHER_, INSULT_, THREAT_, TARGET_, NEGATION_, REPORT_ = range(6)
-#: Words after which a negation, a report or a target no longer bears on a match.
+#: Words over which a negation, a report or a target bears on a head.
 REACH = 4
+#: Arcs that transducers put out, what they weigh before labels speak, and where labels may move them.
+ARC_INSULT, ARC_THREAT, ARC_AT_INSULT, ARC_AT_THREAT, ARC_NEGATION, ARC_REPORT = range(6)
+PRIOR = np.array([1.5, 0.2, 1.0, 2.5, -1.2, -0.6])
+LEAST, MOST = np.array([0.1, 0.0, 0.3, 1.0, -6.0, -6.0]), np.array([6.0, 1.0, 6.0, 6.0, -0.5, -0.3])
+SLOPE, BIAS = 2.4, -2.4
 
 _SPACES = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _CLAUSE = re.compile(r"[.!?;:\n]+")
 
 
 class Transducer:
-    """Deterministic weighted machine over word classes: arcs[state][symbol] = (next state, weight)."""
+    """Deterministic machine over word classes: arcs[state][symbol] = (next state, arcs put out)."""
 
-    def __init__(self, arcs: list[list[tuple[int, float]]], final: list[int]):
-        self.arcs, self.final = arcs, final
+    def __init__(self, arcs: list[list[tuple[int, tuple[int, ...]]]]):
+        self.arcs = arcs
 
     def compose(self, other: "Transducer") -> "Transducer":
-        """Run both on one input: states are pairs, weights add up, final marks join as bit sets."""
-        start = (0, 0)
-        number, arcs, final, todo = {start: 0}, [], [], [start]
+        """Run both on one input: states are pairs, what they put out joins."""
+        number, arcs, todo = {(0, 0): 0}, [], [(0, 0)]
         for a, b in todo:
             row = []
-            for s in range(6):
-                (x, v), (y, w) = self.arcs[a][s], other.arcs[b][s]
+            for (x, v), (y, w) in zip(self.arcs[a], other.arcs[b]):
                 if (x, y) not in number:
                     number[x, y] = len(number)
                     todo.append((x, y))
                 row.append((number[x, y], v + w))
             arcs.append(row)
-            final.append(self.final[a] | other.final[b])
-        return Transducer(arcs, final)
+        return Transducer(arcs)
 
-    def run(self, symbols) -> tuple[int, float]:
-        state, weight = 0, 0.0
+    def run(self, symbols) -> tuple[int, ...]:
+        """How often each arc is put out."""
+        state, out = 0, [0] * len(PRIOR)
         for s in symbols:
-            state, w = self.arcs[state][s]
-            weight += w
-        return self.final[state], weight
+            state, found = self.arcs[state][s]
+            for k in found:
+                out[k] += 1
+        return tuple(out)
 
 
-def seen(symbol: int, mark: int, weight: float = 0.0) -> Transducer:
-    """Marks a clause in which the class occurs; each occurrence has the weight."""
-    return Transducer([[(1, weight) if s == symbol else (0, 0.0) for s in range(6)], [(1, weight if s == symbol else 0.0) for s in range(6)]], [0, mark])
+def seen(symbol: int, arc: int) -> Transducer:
+    """Each word of the class puts out the arc."""
+    return Transducer([[(0, (arc,) if s == symbol else ()) for s in range(6)]])
 
 
-def governed(symbol: int, mark: int, reach: int = REACH) -> Transducer:
-    """Marks a clause in which the class precedes an insult or a threat by at most `reach` words."""
-    last = reach + 1  # states: 0 far from it, k words since it, last: matched
-    arcs = []
-    for state in range(last + 1):
-        row = []
-        for s in range(6):
-            if state == last:
-                row.append((last, 0.0))
-            elif s in (INSULT_, THREAT_) and 0 < state:
-                row.append((last, 0.0))
-            elif s == symbol:
-                row.append((1, 0.0))
-            else:
-                row.append((0 if state in (0, reach) else state + 1, 0.0))
-        arcs.append(row)
-    return Transducer(arcs, [0] * last + [mark])
+def governed(symbol: int, arc: int, reach: int = REACH) -> Transducer:
+    """Puts out the arc once, when a head follows the class by at most `reach` words."""
+    done = reach + 1  # states: 0 far from it, k - 1 words since it, done: found
+    rows = []
+    for state in range(done):
+        far = (state + 1 if 0 < state < reach else 0, ())
+        rows.append([(1, ()) if s == symbol else (done, (arc,)) if s in (INSULT_, THREAT_) and state else far for s in range(6)])
+    return Transducer([*rows, [(done, ())] * 6])
 
 
-#: Marks of a composed clause; the pattern of a clause is their sum.
-MARK_INSULT, MARK_THREAT, MARK_TARGET, MARK_NEGATION, MARK_REPORT = 1, 2, 4, 8, 16
+def aimed(head: int, arc: int, reach: int = REACH) -> Transducer:
+    """Puts out the arc once, when a target and the head lie at most `reach` words apart, in either order.
+
+    A target before a verb of reporting is the speaker and not aimed at.
+    """
+    place: dict = {(0, 0): 0}  # (words since a target, words since a head); 0: out of reach
+    rows: list = []
+    done = -1
+    todo = [(0, 0)]
+    for t, h in todo:
+        row = []
+        for s in range(6):
+            if (s == head and t) or (s == TARGET_ and h):
+                row.append((done, (arc,)))
+                continue
+            t2 = 1 if s == TARGET_ else 0 if s == REPORT_ or not 0 < t < reach else t + 1
+            h2 = 1 if s == head else h + 1 if 0 < h < reach else 0
+            if (t2, h2) not in place:
+                place[t2, h2] = len(place)
+                todo.append((t2, h2))
+            row.append((place[t2, h2], ()))
+        rows.append(row)
+    last = len(rows)
+    return Transducer([[(last if x == done else x, v) for x, v in row] for row in rows] + [[(last, ())] * 6])
 
 
 def grammar() -> Transducer:
-    machine = seen(INSULT_, MARK_INSULT, 1.0).compose(seen(THREAT_, MARK_THREAT, 1.0))
-    for part in (seen(TARGET_, MARK_TARGET), governed(NEGATION_, MARK_NEGATION), governed(REPORT_, MARK_REPORT)):
+    machine = seen(INSULT_, ARC_INSULT)
+    for part in (seen(THREAT_, ARC_THREAT), aimed(INSULT_, ARC_AT_INSULT), aimed(THREAT_, ARC_AT_THREAT), governed(NEGATION_, ARC_NEGATION), governed(REPORT_, ARC_REPORT)):
         machine = machine.compose(part)
     return machine
 
 
 class Lexicon(dict):
-    """Class of a word given as bytes; stems stand for every word that begins with them."""
+    """Class of a word given as bytes; stems stand for every word that begins with them.
+
+    Words are remembered up to LIMIT of at most WORD bytes each, so the memory has a bound.
+    """
 
-    LIMIT = 300_000
+    LIMIT, WORD = 200_000, 64
 
     def __init__(self, insults: list[str], stems: list[str]):
         super().__init__()
@@ -118,52 +139,81 @@ class Lexicon(dict):
         self.lengths = sorted({len(s) for s in self.stems})
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > self.LIMIT:
-            self.clear()
         k = self.fixed.get(word, OTHER_)
         if k == OTHER_ and any(word[:n] in self.stems for n in self.lengths):
             k = INSULT_
-        self[word] = k
+        if len(word) <= self.WORD:
+            if len(self) > self.LIMIT:
+                self.clear()
+            self[word] = k
         return k
 
 
-def features(text: str | None, lexicon: Lexicon, machine: Transducer) -> dict[int, float]:
-    """Weight of the matched clauses by pattern; empty for a text without insult or threat."""
+def features(text: str | None, lexicon: Lexicon, machine: Transducer) -> dict[tuple[int, ...], int]:
+    """Clauses with a head, counted by the arcs they put out; empty for a text without one."""
     words = (text or "").encode("utf-8", "replace").translate(_SPACES).split()
     if not any(lexicon[w] in (INSULT_, THREAT_) for w in set(words)):
         return {}
     out: Counter = Counter()
     for clause in _CLAUSE.split(text):
-        pattern, weight = machine.run([lexicon[w] for w in clause.encode("utf-8", "replace").translate(_SPACES).split()])
-        if pattern & (MARK_INSULT | MARK_THREAT):
-            out[pattern] += weight
+        symbols = [lexicon[w] for w in clause.encode("utf-8", "replace").translate(_SPACES).split()]
+        if INSULT_ in symbols or THREAT_ in symbols:
+            out[machine.run(symbols)] += 1
     return out
 
 
+def families(texts: list[str], hashes: int = 6) -> list[int]:
+    """A number for each of the (boundedly many) sample texts, equal for copies and near copies.
+
+    Texts that share one of `hashes` least values of differently mixed hashes of their 3-word
+    shingles are joined.
+    """
+    parent = list(range(len(texts)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    mix = np.random.default_rng(1).integers(1, 2**63, hashes, np.uint64) * np.uint64(2) + np.uint64(1)
+    first: dict = {}
+    known = {b"": 0}
+    for i, text in enumerate(texts):
+        w = (text or "").encode("utf-8", "replace").translate(_SPACES).split()
+        known.update((x, xxhash.xxh3_64_intdigest(x)) for x in w if x not in known)
+        h = np.fromiter(map(known.__getitem__, w or [b""]), np.uint64)
+        with np.errstate(over="ignore"):
+            if len(h) > 2:
+                h = (h[:-2] * mix[0] + h[1:-1]) * mix[1] + h[2:]
+            for k, m in enumerate(mix):
+                x = h * m
+                j = root(first.setdefault((k, int((x ^ (x >> np.uint64(32))).min())), i))
+                parent[root(i)] = j
+    return [root(i) for i in range(len(texts))]
+
+
 def learn_lexicon(rows: list[tuple[str, int]], chance: float = 1e-7) -> tuple[list[str], list[str]]:
-    """Insult words and stems (3 to 8 letters): those that stay with toxic documents more than chance allows.
+    """Insult words and stems (4 to 8 letters): those that stay with toxic documents more than chance allows.
 
-    A word or stem counts once for all documents of one signature, the least hash of a document's
-    words, so that copies don't count as evidence. It is taken if at least 9 in 10 of its documents
-    are toxic and a binomial tail at the toxic share, at most `chance`, says that this is no accident.
+    A word or stem counts once for all documents of one family (see families()), so that copies
+    don't count as evidence. It is taken if at least 9 in 10 of its families are toxic and a
+    binomial tail at the toxic share, at most `chance`, says that this is no accident.
     """
 
-    def found_in(text: str) -> tuple[int, set[str], set[tuple[str, str]]]:
+    def found_in(text: str) -> set[tuple[str, str]]:
         words = {w.decode("utf-8", "replace") for w in (text or "").encode("utf-8", "replace").translate(_SPACES).split()}
-        sign = min(map(xxhash.xxh3_64_intdigest, words), default=0)
-        return sign, words, {("w", w) for w in words if len(w) >= 3} | {("s", w[:k]) for w in words for k in range(3, min(9, len(w) + 1))}
+        return {("w", w) for w in words if len(w) >= 3} | {("s", w[:k]) for w in words for k in range(4, min(9, len(w) + 1))}
 
     often: Counter = Counter()  # a count alone first: only what is in three toxic documents is looked at closely
     for text, y in rows:
         if y:
-            often.update(found_in(text)[2])
+            often.update(found_in(text))
     held: dict[tuple[str, str], tuple[set, set]] = {f: (set(), set()) for f, k in often.items() if k >= 3}
     del often
     signs: tuple[set, set] = (set(), set())
-    for text, y in rows:
-        sign, words, found = found_in(text)
+    for (text, y), sign in zip(rows, families([t for t, _ in rows])):
         signs[y].add(sign)
-        for f in found & held.keys():
+        for f in found_in(text) & held.keys():
             held[f][y].add(sign)
     share = min(0.5, max(0.02, len(signs[1]) / max(1, len(signs[0] | signs[1]))))
 
@@ -183,34 +233,40 @@ def learn_lexicon(rows: list[tuple[str, int]], chance: float = 1e-7) -> tuple[li
             stem = longer[0]  # as long as it takes in the same documents
         if full > 1.2 * len(held.get(("w", stem), ((), ()))[1]):
             stems.add(stem)
-    return words, sorted(s for s in stems if not any(s[:k] in stems for k in range(3, len(s))))
+    return words, sorted(s for s in stems if not any(s[:k] in stems for k in range(4, len(s))))
+
+
+def evidence(f: dict[tuple[int, ...], int], arcs: np.ndarray) -> float:
+    """Weight of a text's clauses; a clause weighs the sum of its arcs, not under 0."""
+    return sum(n * max(0.0, float(np.dot(c, arcs))) for c, n in f.items())
 
 
-def fit(rows: list[tuple[dict[int, float], int]], steps: int = 400, ridge: float = 1e-3) -> dict:
-    """Weights of patterns by logistic regression on log(1 + weight of the pattern's clauses).
+def fit(rows: list[tuple[dict[tuple[int, ...], int], int]], steps: int = 600, hold: float = 0.25) -> dict:
+    """Arc weights, slope and bias: log odds are bias + slope * log(1 + evidence).
 
-    A shared weight for all matches backs patterns that are rare in the sample.
+    Starts at the set values and is held to them by a normal prior of precision `hold`, so an arc
+    that the labels don't show keeps its weight; each step is cut back to LEAST and MOST.
     """
-    patterns = sorted({p for f, _ in rows for p in f})
-    x = np.array([[math.log1p(f.get(p, 0)) for p in patterns] + [math.log1p(sum(f.values())), 1.0] for f, _ in rows]).reshape(len(rows), len(patterns) + 2)
+    w = np.r_[PRIOR, SLOPE, BIAS]
+    start, low, high = w.copy(), np.r_[LEAST, 0.5, -8.0], np.r_[MOST, 8.0, 2.0]
     y = np.array([v for _, v in rows], float)
-    w = np.zeros(x.shape[1])
-    w[-2:] = 4.0, -2.0  # without labels, matches alone speak
-    if len(rows) and 0 < y.sum() < len(y):
-        for _ in range(steps):
-            p = sigmoid(x @ w)
-            slope = x.T @ (p - y) / len(y) + ridge * np.r_[w[:-1], 0]
-            curve = (x * (p * (1 - p) + 1e-4)[:, None]).T @ x / len(y) + ridge * np.eye(len(w))
-            move = np.linalg.solve(curve, slope)
-            w -= np.clip(move, -1, 1)
-            if np.abs(move).max() < 1e-6:
-                break
-    return {"patterns": dict(zip(patterns, w[:-2].tolist())), "match": float(w[-2]), "bias": float(w[-1])}
-
-
-def probability(f: dict[int, float], model: dict) -> float:
-    z = model["bias"] + model["match"] * math.log1p(sum(f.values())) + sum(model["patterns"].get(p, 0.0) * math.log1p(v) for p, v in f.items())
-    return float(sigmoid(z))
+    if len(y) and 0 < y.sum() < len(y):
+        kinds = sorted({c for f, _ in rows for c in f})
+        arcs = np.array(kinds, float).reshape(-1, len(PRIOR))
+        n = np.array([[f.get(c, 0) for c in kinds] for f, _ in rows], float).reshape(len(y), -1)
+        mean, square = np.zeros_like(w), np.zeros_like(w)
+        for t in range(1, steps + 1):
+            weight = arcs @ w[:-2]
+            e = n @ np.maximum(weight, 0)
+            off = (sigmoid(w[-1] + w[-2] * np.log1p(e)) - y) / len(y)
+            slope = np.r_[((off * w[-2] / (1 + e)) @ n * (weight > 0)) @ arcs, off @ np.log1p(e), off.sum()] + hold / len(y) * np.r_[w[:-1] - start[:-1], 0]
+            mean, square = 0.9 * mean + 0.1 * slope, 0.99 * square + 0.01 * slope**2
+            w = np.clip(w - 0.05 * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.99**t)) + 1e-9), low, high)
+    return {"arcs": w[:-2].tolist(), "slope": float(w[-2]), "bias": float(w[-1])}
+
+
+def probability(f: dict[tuple[int, ...], int], model: dict) -> float:
+    return float(sigmoid(model["bias"] + model["slope"] * math.log1p(evidence(f, np.array(model["arcs"])))))
 
 
 def train(documents: DataFrame, labels: DataFrame, bound: int = SAMPLE, divisor: int = DIVISOR, remainder: int = REMAINDER) -> dict:

@@ -2,25 +2,62 @@ from __future__ import annotations
 
 import zlib
 
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
 from lymphframe.llm import toxicity as T
 
 SF = "/root/testdata/sf0.01"
 
 
-def test_grammar_patterns():
+def read(symbols, reach=T.REACH):
+    """What the composed machine puts out, read off the word places instead."""
+    at = lambda *kinds: [i for i, s in enumerate(symbols) if s in kinds]
+    heads = at(T.INSULT_, T.THREAT_)
+
+    def aimed(head):
+        # a verb of reporting cuts a target off from what follows it; the nearest of both counts
+        return any(
+            abs(t - h) <= reach and not (t < h and T.REPORT_ in symbols[t:h]) for t in at(T.TARGET_) for h in at(head)
+        )
+
+    governs = lambda kind: any(0 < h - g <= reach for g in at(kind) for h in heads)
+    return len(at(T.INSULT_)), len(at(T.THREAT_)), int(aimed(T.INSULT_)), int(aimed(T.THREAT_)), int(governs(T.NEGATION_)), int(governs(T.REPORT_))
+
+
+@given(st.lists(st.integers(0, 5), max_size=14))
+@settings(max_examples=600, deadline=None)
+def test_composed_machine_reads_as_its_rules_say(symbols):
+    assert T.grammar().run(symbols) == read(symbols)
+
+
+def test_grammar_arcs():
     lexicon, machine = T.Lexicon(T.INSULT, ["zork"]), T.grammar()
     f = lambda t: dict(T.features(t, lexicon, machine))
     assert f("a quiet day") == {} and f(None) == {} and f("") == {}
-    assert f("You idiot! Nice day.") == {T.MARK_INSULT | T.MARK_TARGET: 1.0}
-    assert f("not an idiot") == {T.MARK_INSULT | T.MARK_NEGATION: 1.0}
-    assert f("not at once, as far as seen, an idiot") == {T.MARK_INSULT: 1.0}
-    assert f("he said idiot") == {T.MARK_INSULT | T.MARK_TARGET | T.MARK_REPORT: 1.0}
-    assert f("ZORKable. kill him") == {T.MARK_INSULT: 1.0, T.MARK_THREAT | T.MARK_TARGET: 1.0}
+    assert f("You idiot! Nice day.") == {(1, 0, 1, 0, 0, 0): 1}
+    assert f("not an idiot") == {(1, 0, 0, 0, 1, 0): 1}
+    assert f("not at once, as far as seen, an idiot") == {(1, 0, 0, 0, 0, 0): 1}
+    assert f("he said idiot") == {(1, 0, 0, 0, 0, 1): 1}
+    assert f("ZORKable. kill him") == {(1, 0, 0, 0, 0, 0): 1, (0, 1, 0, 1, 0, 0): 1}
+
+
+@pytest.mark.parametrize("rows", [0, 300])
+def test_relations_order_the_scores(rows):
+    """With and without labels, however one-sided: direct over plain over reported and negated, threats at somebody over others."""
+    lexicon, machine = T.Lexicon(T.INSULT, []), T.grammar()
+    learned = [(T.features("a word idiot more words" if k % 3 else "a quiet day", lexicon, machine), int(k % 3 > 0)) for k in range(rows)]
+    model = T.fit(learned)
+    p = lambda t: T.probability(T.features(t, lexicon, machine), model)
+    assert p("You idiot") > p("idiot") > p("he said idiot") and p("idiot") > p("not an idiot")
+    assert p("I will kill you") > p("kill the process and burn the disc") < 0.5 <= p("You idiot")
+    assert p("you are no idiot") < p("you are an idiot")
 
 
-def test_composition_adds_weights():
-    m = T.seen(T.INSULT_, 1, 2.0).compose(T.seen(T.THREAT_, 2, 3.0))
-    assert m.run([0, 1, 2, 1]) == (3, 7.0) and m.run([]) == (0, 0.0)
+def test_cache_is_bounded():
+    lexicon = T.Lexicon([], ["z" * 70])
+    assert lexicon[b"z" * 1_000_000] == T.INSULT_ and lexicon[b"y" * 1_000_000] == T.OTHER_ and not len(lexicon)
 
 
 def test_lexicon_ignores_copies_and_chance():
@@ -40,6 +77,16 @@ def test_held_out_accuracy_and_contract(spark):
     assert sum(p == t for p, t in held) / len(held) >= 0.95
 
 
+def test_held_out_accuracy_and_recall_over_a_word_list(spark):
+    """At 0.1, on the held-out fold: over what a rule of one seed word reaches (0.9709, recall 0.763)."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    y = {r.doc_id: r.toxic for r in labels.collect()}
+    got = [(r.predicted, y[r.doc_id]) for r in T.toxicity(docs.join(labels.select("doc_id"), "doc_id", "left_semi"), labels).where("held_out").collect()]
+    assert sum(p == t for p, t in got) / len(got) > 0.975
+    assert sum(p for p, t in got if t) / sum(t for _, t in got) > 0.85
+
+
 def test_edge_rows(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "You idiot."), (3, "You idiot."), (None, "fine"), (5, "ok " * 50000)], "doc_id long, text string").selectExpr("*", "'x' AS score")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
