@@ -1,9 +1,9 @@
 """Best-fit packing of tokenised documents by exact-complement hashing.
 
 Only lengths matter for a plan, and there are at most `capacity` of them, so the plan is made from
-the histogram of lengths: for each length the gap it leaves is looked up among single lengths, sums
-of two and sums of three that are still available, and as many such combinations are consumed as
-the counts allow; what remains is packed best-fit decreasing, equal lengths at a time. A step uses
+the histogram of lengths: for each length the gap it leaves is looked up among single lengths, in an
+index of sums of two, and among sums of three (one more length and the index), and as many of such
+combinations are consumed as the counts of what is still available allow; what remains is packed best-fit decreasing, equal lengths at a time. A step uses
 up a length or a group of bins, so the plan's size is bounded by the capacity and not by the corpus.
 Each piece then finds its place from its rank among the pieces of its length.
 """
@@ -32,19 +32,25 @@ _encoders: dict = {}
 
 
 def encoder(path: str):
-    """Byte-level BPE of a tokenizers file; texts of special tokens are ordinary text.
+    """text -> ids: byte-level BPE of a tokenizers file, added tokens in a text being those tokens.
 
     The file lists its pieces in order of merging, so ids are ranks; the ids equal those of the
-    tokenizers library, several times as fast.
+    tokenizers library with the file as loaded, several times as fast. Added tokens that strip
+    spaces or want whole words aren't known here and are refused.
     """
     if path not in _encoders:
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
+            found = json.load(f)
+        vocab, added = found["model"]["vocab"], found.get("added_tokens", [])
+        if any(a["single_word"] or a["lstrip"] or a["rstrip"] for a in added):
+            raise ValueError("added tokens must stand for themselves alone")
         letter = {chr(b): b for b in PLAIN} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in PLAIN)}
-        ranks = {bytes(letter[c] for c in piece): i for piece, i in vocab.items() if all(c in letter for c in piece) and not piece.startswith("<|")}
-        _encoders[path] = tiktoken.Encoding("bytes", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+        special = {a["content"]: a["id"] for a in added}
+        ranks = {bytes(letter[c] for c in piece): i for piece, i in vocab.items() if piece not in special and all(c in letter for c in piece)}
+        encoding = tiktoken.Encoding("bytes", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special)
+        _encoders[path] = lambda text: encoding.encode(text, allowed_special="all", disallowed_special=())
     return _encoders[path]
 
 
@@ -60,16 +66,39 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return [(0, first), *((s, capacity) for s in range(first, n, capacity))]
 
 
+class Pairs:
+    """Available lengths by the sum of two: pairs (a, b), a <= b, of one sum lie side by side."""
+
+    def __init__(self, counts: np.ndarray):
+        have = np.flatnonzero(counts)
+        have = have[have > 0]
+        a, b = np.meshgrid(have, have, indexing="ij")
+        keep = (a <= b) & (a + b < len(counts))
+        self.a, self.b = a[keep], b[keep]
+        order = np.argsort(self.a + self.b, kind="stable")
+        self.a, self.b = self.a[order], self.b[order]
+        self.first = np.searchsorted(self.a + self.b, np.arange(len(counts) + 1))
+
+    def find(self, total: int, counts: np.ndarray, also: list[int]) -> list[int] | None:
+        """The pair of this sum that most copies are left of, besides what `also` needs."""
+        s = slice(self.first[total], self.first[total + 1])
+        a, b = self.a[s], self.b[s]
+        left = [counts[x] - sum((x == k).astype(np.int64) for k in also) for x in (a, b)]
+        most = np.where(a == b, left[0] // 2, np.minimum(*left)) if len(a) else a
+        k = int(np.argmax(most)) if len(a) else -1
+        return [int(a[k]), int(b[k])] if k >= 0 and most[k] > 0 else None
+
+
 def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, list[tuple[int, int]]]]:
     """[(bins, [(length, copies a bin)])] for counts[length]; every piece is placed once.
 
     Filling every gap that can be filled may use up the short pieces that later gaps need, so plans
-    with complements of up to three, two and one lengths, and with none, are made; the one with the
-    fewest bins wins, the first among equals.
+    with complements of up to three, two and one lengths are made; the one with the fewest bins
+    wins, the first among equals.
     """
     best: list[tuple[int, list[tuple[int, int]]]] = []
     fewest, least = None, -(-int((counts * np.arange(capacity + 1)).sum()) // capacity)
-    for depth in (3, 2, 1, 0):
+    for depth in (3, 2, 1):
         found = _plan(counts, capacity, depth)
         bins = sum(b for b, _ in found)
         if fewest is None or bins < fewest:
@@ -81,6 +110,7 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, list[t
 
 def _plan(counts: np.ndarray, capacity: int, depth: int) -> list[tuple[int, list[tuple[int, int]]]]:
     c = counts.astype(np.int64).copy()
+    index = Pairs(c) if depth > 1 else None
     out: list[tuple[int, list[tuple[int, int]]]] = []
 
     def use(parts: list[int]) -> bool:
@@ -92,39 +122,23 @@ def _plan(counts: np.ndarray, capacity: int, depth: int) -> list[tuple[int, list
             out.append((bins, [(k, parts.count(k)) for k in kinds]))
         return bins > 0
 
-    def pairs(total: int, also: list[int]) -> list[int] | None:
-        """Two available lengths of this sum, besides what `also` needs."""
-        if total < 2:
-            return None
-        have = c[1:total].copy()
-        for k in also:
-            if k < total:
-                have[k - 1] -= 1
-        ok = (have > 0) & (have[::-1] > 0)
-        if total % 2 == 0 and have[total // 2 - 1] < 2:
-            ok[total // 2 - 1] = False
-        hit = np.flatnonzero(ok)
-        if not len(hit):
-            return None
-        a = int(hit[np.argmax(np.minimum(have[hit], have[total - 2 - hit]))]) + 1
-        return [a, total - a]
-
     if c[capacity]:
         use([capacity])
-    for length in range(capacity - 1, 0, -1) if depth > 0 else ():
+    for length in range(capacity - 1, 0, -1):
         while c[length] and use([length, capacity - length]):
             pass
     for length in range(capacity - 1, 0, -1) if depth > 1 else ():
-        while c[length] and (two := pairs(capacity - length, [length])) and use([length, *two]):
+        while c[length] and (two := index.find(capacity - length, c, [length])) and use([length, *two]):
             pass
+    have = np.zeros(0, bool)
     for length in range(capacity - 1, 0, -1) if depth > 2 else ():
         gap = capacity - length
-        third = gap - 2
-        while c[length] and third > 0:
-            if c[third] > (third == length) and (two := pairs(gap - third, [length, third])):
-                use([length, third, *two])
-            else:
-                third -= 1
+        while c[length] and gap > 2:
+            if not np.array_equal(have, now := c > 0):
+                have, sums = now, np.convolve(now, now)[: capacity + 1] > 0.5  # sums of two that are still about
+            thirds = np.flatnonzero(have[1 : gap - 1] & sums[gap - 1 : 1 : -1]) + 1
+            if not any((two := index.find(gap - t, c, [length, t])) and use([length, t, *two]) for t in thirds[::-1].tolist() if c[t] > (t == length)):
+                break
     # best-fit decreasing on what is left: groups of equal bins by the gap they have
     open_bins: dict[int, list[tuple[int, list[tuple[int, int]]]]] = {}
     for length in range(capacity - 1, 0, -1):
@@ -176,7 +190,7 @@ def pieces(documents: DataFrame, vocabulary: str | None, id_col: str, text_col:
     kind = documents.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary or vocabulary_path()).encode_ordinary
+        encode = encoder(vocabulary or vocabulary_path())
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):

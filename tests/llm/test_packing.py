@@ -5,6 +5,8 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from lymphframe.llm import packing as P
 
@@ -13,16 +15,29 @@ from lymphframe.llm import packing as P
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(P.vocabulary_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(P.vocabulary_path())
 
 
 def test_ids_equal_the_library(tokenizer):
     texts = ["", " ", "Hello  world\n\n x ", "it's we'LL don't 12345 ½² ñandú 東京 <|endoftext|> \t  z", "a" * 500, "!!!??? ...", "  x\r\n", "é" * 300, "word " * 3000]
     enc = P.encoder(P.vocabulary_path())
     for t in texts:
-        assert enc.encode_ordinary(t) == tokenizer.encode(t, add_special_tokens=False).ids
+        assert enc(t) == tokenizer.encode(t, add_special_tokens=False).ids
+
+
+@given(st.lists(st.one_of(st.sampled_from(["<|endoftext|>", "<|endoftext|", "|>", " ", "  ", "\n", "'s", "a", "1"]), st.text(st.characters(codec="utf-8"), max_size=6)), max_size=10))
+@settings(max_examples=400, deadline=None)
+def test_ids_equal_the_library_with_special_tokens_in_texts(tokenizer, parts):
+    t = "".join(parts)
+    assert P.encoder(P.vocabulary_path())(t) == tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def test_pair_index():
+    counts = np.zeros(21, int)
+    counts[[3, 5, 7, 10]] = 4, 1, 9, 2
+    index = P.Pairs(counts)
+    assert index.find(10, counts, []) == [3, 7] and index.find(20, counts, []) == [10, 10] and index.find(19, counts, []) is None and index.find(6, counts, []) == [3, 3]
+    assert index.find(10, counts, [5]) == [3, 7] and index.find(12, counts, [5]) is None and index.find(4, counts, []) is None
 
 
 def test_cut():
@@ -48,7 +63,7 @@ def test_plan_is_whole_and_tight(seed):
 
 def test_query(spark, tokenizer):
     rng = np.random.default_rng(4)
-    texts = [" ".join(f"w{k}" for k in rng.integers(0, 999, rng.integers(1, 900))) for _ in range(80)] + [None, "", "x y " * 5000, "same", "same"]
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 999, rng.integers(1, 900))) for _ in range(80)] + [None, "", "x y " * 5000, "same", "same", "a <|endoftext|> b", "<|endoftext|>" * 3000]
     rows = [(i, t, 0) for i, t in enumerate(texts)] + [(None, "no id", 0), (7, texts[7], 0)]
     got = P.pack(spark.createDataFrame(rows, "doc_id long, text string, offset int")).collect()
     want = defaultdict(int)
