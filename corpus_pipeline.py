@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lymphframe.llm import packing, pii, simhash, suffix_dedup, toxicity
-from lymphframe.session import stage, table, unstage
+from lymphframe.session import stage, staged, table, unstage_since
 
 
 def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +41,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages on documents, each written as Parquet to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), staged()
     for name, f in STAGES:
-        before, docs = docs, stage(f(spark, docs, sf_dir), name)
-        unstage(before)
+        docs = stage(f(spark, docs, sf_dir), name)
+        unstage_since(before, docs)  # the stage's own tables and the one before it
     return docs
