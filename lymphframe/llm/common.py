@@ -26,14 +26,35 @@ def arrow_map(df: DataFrame, start: Callable[[], Callable[[list[list]], list[lis
         arrow = to_arrow_schema(kind)
         f = start()
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
+            for part in slices(b):
                 columns = f([c.to_pylist() for c in part.columns])
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=x.type) for c, x in zip(columns, arrow)], schema=arrow)
 
     return df.mapInArrow(run, kind)
 
 
+def slices(b: pa.RecordBatch, rows: int = 512, size: int = 1 << 24) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most so many rows and, but for single rows, about so many bytes."""
+    at = 0
+    while at < b.num_rows:
+        part = b.slice(at, rows)
+        while part.num_rows > 1 and part.nbytes > size:
+            part = part.slice(0, part.num_rows // 2)
+        yield part
+        at += part.num_rows
+
+
+def fresh(taken: list[str], *wanted: str) -> list[str]:
+    """Column names like the wanted ones that the input lacks, whatever the case of its letters."""
+    low, out = {c.lower() for c in taken}, []
+    for w in wanted:
+        while w.lower() in low:
+            w += "_"
+        low.add(w.lower())
+        out.append(w)
+    return out
+
+
 def words(text: str | None) -> list[bytes]:
     """Maximal runs of bytes other than space, tab, line feed, vertical tab, form feed and carriage return."""
     return text.encode("utf-8", "surrogatepass").split() if text else []

@@ -15,10 +15,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lymphframe.llm.common import LOWER, arrow_map
+from lymphframe.llm.common import LOWER, arrow_map, fresh
 from lymphframe.operators.components import connected_components
 from lymphframe.session import stage, table
 
@@ -43,14 +43,15 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(sums * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): one row a row, fp the fingerprint's bits as a signed long."""
+def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", *also: Column) -> DataFrame:
+    """(id, fp, also...): one row a row, fp the fingerprint's bits as a signed long; also: named columns to carry along."""
 
     def start():
-        return lambda c: [c[0], [(x := fingerprint(t)) - ((x >> 63) << 64) for t in c[1]]]
+        return lambda c: [c[0], [(x := fingerprint(t)) - ((x >> 63) << 64) for t in c[1]], *c[2:]]
 
-    kind = documents.schema[id_col].dataType.simpleString()
-    return arrow_map(documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), start, f"id {kind}, fp long")
+    source = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *also)
+    more = "".join(f", {f.name} {f.dataType.simpleString()}" for f in source.schema.fields[2:])
+    return arrow_map(source, start, f"id {source.schema['id'].dataType.simpleString()}, fp long{more}")
 
 
 def trie_links(group: np.ndarray, fp: np.ndarray, budget: int = BUDGET) -> tuple[np.ndarray, np.ndarray]:
@@ -171,9 +172,7 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     repeated rows stay. Other columns of the input are not read.
     """
     fps = stage(fingerprints(documents, id_col, text_col), "fingerprints")
-    distinct = fps.groupBy("fp").agg(F.min("id").alias("least"))
-    found = connected_components(links(distinct.select("fp"), hot))
-    root = distinct.join(found, distinct.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    root = rooted(fps.groupBy("fp").agg(F.min("id").alias("least")), hot)
     # a root's members arrive pre-aggregated; a group of one fingerprint needs no second join
     name = root.groupBy("root").agg(F.min("least").alias("component_id"))
     member = root.join(name, "root").select("fp", "component_id")
@@ -181,15 +180,29 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The same columns, one row of each group of near-duplicates: that of the least id, once.
+def rooted(distinct: DataFrame, hot: int = HOT) -> DataFrame:
+    """(fp, least, root) for distinct fingerprints: root is the least fingerprint reachable over links."""
+    found = connected_components(links(distinct.select("fp"), hot))
+    return distinct.join(found, distinct.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
+def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+    """The same columns, one row of each group of near-duplicates: that of the least id, rows without an id coming last.
 
-    Rows without an id can't be named as kept or dropped, so they stay.
+    A row is named by two hashes of id and text, so rows that share an id but belong to different
+    groups each have their own fate. Of rows that repeat both, the one of the least hash of all its
+    columns stays, the same on every run.
     """
-    found = near_duplicates(documents.select(id_col, text_col), id_col, text_col)
-    keepers = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    named = documents.join(keepers, id_col, "left_semi").dropDuplicates([id_col])
-    return named.unionByName(documents.where(F.col(id_col).isNull()))
+    names = documents.columns
+    a, b, form = fresh(names, "first", "second", "row")
+    mark = lambda seed: F.xxhash64(F.lit(seed), F.col(id_col).isNull(), id_col, F.col(text_col).isNull(), text_col)
+    fps = stage(fingerprints(documents, id_col, text_col, mark(1).alias("a"), mark(2).alias("b")), "fingerprints")
+    root = rooted(fps.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "a", "b")).alias("least")), hot)
+    keeper = root.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.a").alias(a), F.col("least.b").alias(b))
+    kept = documents.withColumns({a: mark(1), b: mark(2)}).join(keeper, [a, b], "left_semi")
+    # dealt by the same two columns as the join, so no further shuffle
+    whole = F.xxhash64(*[F.to_json(F.struct(c)) if "map<" in t else F.col(c) for c, t in documents.dtypes])
+    return kept.groupBy(a, b).agg(F.min_by(F.struct(*names), whole).alias(form)).select(f"{form}.*")
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

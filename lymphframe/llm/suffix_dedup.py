@@ -7,8 +7,10 @@ once can hold a repeated window. Of these, each distinct run text is taken once,
 its occurrences as weight, and dealt by key to shards. A shard's suffix array is built by
 Larsson-Sadakane refinement, its common prefixes by Kasai's permuted rule, and suffixes that share
 200 bytes form a class; a window is repeated if its class weighs two or more. A key whose texts
-fill several shards is merged by binary search of the windows of one in the suffix array of the
-other. Keys with over HOT occurrences are split by a second, finer key of 160-byte substrings.
+fill several shards is merged by binary search: the shards' classes, each sorted, are merged two by
+two into one list, in which each shard then looks its own classes up. Keys with over HOT occurrences
+are split by a second, finer key of longer substrings; pieces of such runs that are alike are merged
+in the task that cuts them and again before they are dealt, whichever run texts they come from.
 """
 
 from __future__ import annotations
@@ -22,11 +24,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lymphframe.llm.common import fresh
 from lymphframe.session import stage, table, unstage
 
-LENGTH, CORE, FINE = 200, 64, 160
+LENGTH, CORE = 200, 64
+#: Substrings that cut runs of keys with over HOT and over 20 * HOT occurrences.
+FINE = (160, 192)
 #: Bytes of a shard (ranks must fit 21 bits), windows of a run, occurrences from which a key is split.
 SHARD, RUN, HOT = 1_000_000, 1024, 1_000
+#: Occurrences and bytes of merged pieces that a task holds before it passes them on.
+HELD, HELD_BYTES = 20_000, 1 << 24
 _STEP = 1 << 16
 
 
@@ -125,34 +132,56 @@ def _anchor_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-_PIECES = "key long, h long, th long, off int, w long, n int, text binary"
+#: level: 0 for a whole run (key is h, text hash th), else how fine it was cut; parts: where a merged piece lies, as (h, th, offset).
+_PIECES = "key long, ph long, w long, n int, text binary, level int, parts array<struct<h: long, th: long, off: int>>"
+_PIECE_SCHEMA = pa.schema([("key", pa.int64()), ("ph", pa.int64()), ("w", pa.int64()), ("n", pa.int32()), ("text", pa.binary()), ("level", pa.int32()), ("parts", pa.list_(pa.struct([("h", pa.int64()), ("th", pa.int64()), ("off", pa.int32())])))])
+_VERDICT_SCHEMA = pa.schema([("key", pa.int64()), ("ph", pa.int64()), ("level", pa.int32()), ("spans", pa.list_(pa.int32()))])
+
+
+def _signed(x: int) -> int:
+    return x - ((x >> 63) << 64)
 
 
 def _piece_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cut the wanted runs out of their texts, the last two columns; runs of split keys come in finer runs."""
+    """Cut the wanted runs out of their texts, the last two columns; runs of split keys come in finer pieces, merged where alike."""
+    whole: list[tuple] = []
+    merged: dict[tuple[int, int, int], list] = {}
+    held = held_bytes = 0
     for b in batches:
-        out: list[tuple] = []
         for text, wanted in zip(b.column(b.num_columns - 2).cast(pa.binary()), b.column(b.num_columns - 1)):
             buf = text.as_py()
             for r in wanted.as_py():
-                s, n = r["s"], r["n"]
-                if not r["hot"]:
-                    out.append((r["h"], r["h"], r["th"], 0, r["w"], n, buf[s : s + n + LENGTH - 1]))
-                    continue
+                s, n, level = r["s"], r["n"], r["level"]
                 cut = buf[s : s + n + LENGTH - 1]
+                if not level:
+                    whole.append((r["h"], r["th"], r["w"], n, cut, 0, None))
+                    continue
                 x = np.frombuffer(cut, np.uint8)
-                for p, m, key, _ in zip(*(c.tolist() for c in runs(x, np.array([len(x)]), FINE))):
-                    key ^= r["h"] & 0xFFFFFFFFFFFFFFFF
-                    out.append((key - ((key >> 63) << 64), r["h"], r["th"], p, r["w"], m, cut[p : p + m + LENGTH - 1]))
-            if len(out) >= 4000:
-                yield _batch(out, _PIECE_SCHEMA)
-                out = []
-        if out:
-            yield _batch(out, _PIECE_SCHEMA)
-
-
-_PIECE_SCHEMA = pa.schema([("key", pa.int64()), ("h", pa.int64()), ("th", pa.int64()), ("off", pa.int32()), ("w", pa.int64()), ("n", pa.int32()), ("text", pa.binary())])
-_VERDICT_SCHEMA = pa.schema([("h", pa.int64()), ("th", pa.int64()), ("spans", pa.list_(pa.int32()))])
+                for p, m, key, _ in zip(*(c.tolist() for c in runs(x, np.array([len(x)]), FINE[level - 1]))):
+                    piece = cut[p : p + m + LENGTH - 1]
+                    name = _signed(key ^ (r["h"] & 0xFFFFFFFFFFFFFFFF)), _signed(xxhash.xxh3_64_intdigest(piece)), level
+                    if name not in merged:
+                        merged[name] = [0, m, piece, []]
+                        held_bytes += len(piece)
+                    merged[name][0] += r["w"]
+                    merged[name][3].append((r["h"], r["th"], p))
+                    held += 1
+            if len(whole) >= 4000:
+                yield _batch(whole, _PIECE_SCHEMA)
+                whole = []
+            if held > HELD or held_bytes > HELD_BYTES:
+                yield _told_pieces(merged)
+                held = held_bytes = 0
+    if whole:
+        yield _batch(whole, _PIECE_SCHEMA)
+    if merged:
+        yield _told_pieces(merged)
+
+
+def _told_pieces(merged: dict[tuple[int, int, int], list]) -> pa.RecordBatch:
+    rows = [(key, ph, w, n, text, level, [dict(zip(("h", "th", "off"), p)) for p in parts]) for (key, ph, level), (w, n, text, parts) in merged.items()]
+    merged.clear()
+    return _batch(rows, _PIECE_SCHEMA)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -262,34 +291,6 @@ class Shard:
         self.weight = np.bincount(self.cls, np.array(w)[self.piece], minlength=len(self.sa))
         self.repeated = self.weight[self.cls] >= 2
 
-    def search(self, other: "Shard") -> None:
-        """Mark own windows that the other shard holds as well, by binary search in its suffix array."""
-        todo = np.flatnonzero(~self.repeated)
-        p = self.at[todo]
-        lo, hi = np.zeros(len(p), np.int64), np.full(len(p), len(other.sa))
-        while (lo < hi).any():
-            mid = (lo + hi) // 2
-            sign = self._compare(p, other, np.minimum(mid, len(other.sa) - 1))
-            up = (sign > 0) & (lo < hi)
-            lo, hi = np.where(up, mid + 1, lo), np.where(up | (lo >= hi), hi, mid)
-        place = np.minimum(lo, len(other.sa) - 1)
-        same = (lo < len(other.sa)) & (self._compare(p, other, place) == 0)
-        same &= other.weight[other.by_place[place]] > 0
-        self.repeated[todo[same]] = True
-
-    def _compare(self, p: np.ndarray, other: "Shard", place: np.ndarray) -> np.ndarray:
-        """Sign of own window minus the other shard's suffix, over LENGTH bytes."""
-        q, sign, live = other.sa[place], np.zeros(len(p), np.int8), np.arange(len(p))
-        for t in range(0, LENGTH, 8):
-            if not len(live):
-                break
-            a = self.k8[p[live] + t]
-            b = other.k8[np.minimum(q[live] + t, len(other.x))]
-            short = np.maximum(0, np.minimum(8, q[live] + t + 8 - len(other.x)))
-            sign[live] = np.where(a > b, 1, np.where(a < b, -1, np.where(short > 0, 1, 0)))
-            live = live[sign[live] == 0]
-        return sign
-
     def spans(self) -> list[list[int]]:
         """For each piece, [from, to) pairs of its repeated windows, one after another."""
         r = np.r_[False, self.repeated, False]
@@ -302,25 +303,75 @@ class Shard:
         return out
 
 
+def _place(k8: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where windows p stand in the sorted windows q, and whether they are there; windows are places in k8."""
+    first = k8[q]  # eight bytes settle most; only what agrees in them is compared on
+    lo, hi = (np.searchsorted(first, k8[p], side) for side in ("left", "right"))
+    top = hi.copy()
+    while (live := np.flatnonzero(lo < hi)).size:
+        mid = (lo[live] + hi[live]) // 2
+        after = _compare(k8, p[live], q[mid]) > 0
+        lo[live[after]], hi[live[~after]] = mid[after] + 1, mid[~after]
+    there = lo < top
+    there[there] = _compare(k8, p[there], q[lo[there]]) == 0
+    return lo, there
+
+
+def _compare(k8: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Sign of the windows at p minus those at q, over LENGTH bytes."""
+    sign, live = np.zeros(len(p), np.int8), np.arange(len(p))
+    for t in range(0, LENGTH, 8):
+        a, b = k8[p[live] + t], k8[q[live] + t]
+        sign[live] = np.where(a > b, 1, np.where(a < b, -1, 0))
+        live = live[a == b]
+        if not len(live):
+            break
+    return sign
+
+
+def merge_classes(shards: list[Shard]) -> None:
+    """Make the shards of one key know of each other: a class weighs what it weighs in all of them.
+
+    Sorted classes are merged two by two by binary search, so n windows cost about n log² n.
+    """
+    base = np.cumsum([0, *(len(s.k8) for s in shards)])
+    k8 = np.concatenate([s.k8 for s in shards])
+    own, todo = [], []
+    for s, start in zip(shards, base.tolist()):
+        cls, first = np.unique(s.cls, return_index=True)  # classes are numbered in sorted order
+        own.append((cls, s.at[first] + start))
+        todo.append((own[-1][1], s.weight[cls]))
+    while len(todo) > 1:
+        (p, v), (q, w) = todo.pop(0), todo.pop(0)
+        if len(p) > len(q):
+            p, v, q, w = q, w, p, v
+        at, there = _place(k8, p, q)
+        w = w.copy()
+        w[at[there]] += v[there]
+        todo.append((np.insert(q, at[~there], p[~there]), np.insert(w, at[~there], v[~there])))
+    final, weight = todo[0]
+    for s, (cls, p) in zip(shards, own):
+        s.weight[cls] = weight[_place(k8, p, final)[0]]
+        s.repeated = s.weight[s.cls] >= 2
+
+
 def shard_rows(rows: Iterator[tuple], limit: int = SHARD) -> Iterator[tuple]:
-    """(h, th, spans) for rows (key, h, th, off, w, n, text) sorted by key, one shard at a time."""
+    """(key, ph, level, spans) for rows (key, ph, w, n, text, level) sorted by key, one shard at a time."""
     held: list[tuple] = []
     size = 0
     open_shards: list[tuple[Shard, list[tuple]]] = []  # of one key that fills more than a shard
 
     def build(part: list[tuple]) -> tuple[Shard, list[tuple]]:
-        return Shard([r[6] for r in part], [r[5] for r in part], [r[4] for r in part]), part
+        return Shard([r[4] for r in part], [r[3] for r in part], [r[2] for r in part]), part
 
     def told(shard: Shard, part: list[tuple]) -> Iterator[tuple]:
         for r, spans in zip(part, shard.spans()):
             if spans:
-                yield r[1], r[2], [v + r[3] for v in spans]
+                yield r[0], r[1], r[5], spans
 
     def merged() -> Iterator[tuple]:
-        for a, _ in open_shards:
-            for b, _ in open_shards:
-                if a is not b:
-                    a.search(b)
+        if open_shards:
+            merge_classes([s for s, _ in open_shards])
         for s in open_shards:
             yield from told(*s)
         open_shards.clear()
@@ -331,7 +382,7 @@ def shard_rows(rows: Iterator[tuple], limit: int = SHARD) -> Iterator[tuple]:
                 open_shards.append(build(held))
                 held, size = [], 0
             yield from merged()
-        if held and size + len(r[6]) > limit:
+        if held and size + len(r[4]) > limit:
             last = held[-1][0]
             if last != held[0][0] and r[0] == last:
                 cut = next(i for i, q in enumerate(held) if q[0] == last)
@@ -343,9 +394,9 @@ def shard_rows(rows: Iterator[tuple], limit: int = SHARD) -> Iterator[tuple]:
             else:
                 open_shards.append(build(held))
                 held = []
-            size = sum(len(q[6]) for q in held)
+            size = sum(len(q[4]) for q in held)
         held.append(r)
-        size += len(r[6])
+        size += len(r[4])
     if held:
         if open_shards:
             open_shards.append(build(held))
@@ -410,20 +461,30 @@ def repeated_runs(documents: DataFrame, doc: str, tx: str, text: str, hot: int =
     """
     source = documents.select(F.col(doc).alias("doc"), F.col(tx).alias("tx"), F.col(text).alias("text"))
     anchors = stage(source.where(F.octet_length("text") >= LENGTH).mapInArrow(_anchor_task, _ANCHORS), "anchors")
-    often = anchors.groupBy("h").agg(F.sum("c").alias("c")).where("c > 1").select("h", (F.col("c") > hot).alias("hot"))
+    often = anchors.groupBy("h").agg(F.sum("c").alias("c")).where("c > 1")
+    often = often.select("h", F.when(F.col("c") > 20 * hot, 2).when(F.col("c") > hot, 1).otherwise(0).alias("level"))
     occ = stage(anchors.drop("c").join(often, "h"), "occurrences")
     unstage(anchors)
-    distinct = occ.groupBy("h", "th", "hot").agg(F.count("*").alias("w"), F.min(F.struct("doc", "tx", "s", "n")).alias("r"))
-    wanted = distinct.groupBy(F.col("r.doc").alias(doc), F.col("r.tx").alias(tx)).agg(F.collect_list(F.struct("h", "th", "w", "hot", F.col("r.s").alias("s"), F.col("r.n").alias("n"))).alias("__wanted"))
+    distinct = occ.groupBy("h", "th", "level").agg(F.count("*").alias("w"), F.min(F.struct("doc", "tx", "s", "n")).alias("r"))
+    (want,) = fresh(documents.columns, "wanted")
+    wanted = distinct.groupBy(F.col("r.doc").alias(doc), F.col("r.tx").alias(tx)).agg(
+        F.collect_list(F.struct("h", "th", "w", "level", F.col("r.s").alias("s"), F.col("r.n").alias("n"))).alias(want)
+    )
     rest = [c for c in documents.columns if c not in (doc, tx, text)]
-    pieces = documents.join(wanted, [doc, tx]).select(*rest, text, "__wanted").mapInArrow(_piece_task, _PIECES)
-    verdict = pieces.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(_shard_task, "h long, th long, spans array<int>")
-    hit = occ.select("doc", "tx", "h", "th", "s").join(verdict, ["h", "th"])
+    pieces = stage(documents.join(wanted, [doc, tx]).select(*rest, text, want).mapInArrow(_piece_task, _PIECES), "pieces")
+    fine = pieces.where("level > 0")
+    alike = fine.groupBy("key", "ph", "level").agg(F.sum("w").alias("w"), F.max("n").alias("n"), F.max("text").alias("text"))
+    columns = ["key", "ph", "w", "n", "text", "level"]
+    dealt = pieces.where("level = 0").select(*columns).union(alike.select(*columns)).repartition(F.col("key")).sortWithinPartitions("key")
+    verdict = stage(dealt.mapInArrow(_shard_task, "key long, ph long, level int, spans array<int>"), "verdict")
+    cut = fine.select("key", "ph", "level", "parts").join(verdict.where("level > 0"), ["key", "ph", "level"]).select(F.explode("parts").alias("p"), "spans")
+    told = verdict.where("level = 0").select(F.col("key").alias("h"), F.col("ph").alias("th"), "spans").union(
+        cut.select("p.h", "p.th", F.transform("spans", lambda x: x + F.col("p.off")))
+    )
+    hit = occ.select("doc", "tx", "h", "th", "s").join(told, ["h", "th"])
     return hit.groupBy("doc", "tx").agg(F.collect_set(F.struct("s", "spans")).alias("found"))
 
 
-
-
 def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, hot: int = HOT) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256): one row a row of documents.
 
@@ -459,9 +520,10 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
 def strip_repeats(documents: DataFrame, text_col: str = "text", chars_col: str = "n_chars", hot: int = HOT) -> DataFrame:
     """The same rows and columns, repeated strings cut out of the text (to whole letters), the column of its length set anew."""
     # the text alone tells what goes, so rows of one text share a key, two hashes of 64 bits
-    keyed = documents.withColumns({"__doc": F.xxhash64(F.lit(1), F.col(text_col)), "__tx": F.xxhash64(text_col)})
-    found = repeated_runs(keyed, "__doc", "__tx", text_col, hot).select(F.col("doc").alias("__doc"), F.col("tx").alias("__tx"), F.col("found").alias("__found"))
-    joined = keyed.join(found, ["__doc", "__tx"], "left").select(*documents.columns, "__found")
+    doc, tx, gone = fresh(documents.columns, "first", "second", "gone")
+    keyed = documents.withColumns({doc: F.xxhash64(F.lit(1), F.col(text_col)), tx: F.xxhash64(text_col)})
+    found = repeated_runs(keyed, doc, tx, text_col, hot).select(F.col("doc").alias(doc), F.col("tx").alias(tx), F.col("found").alias(gone))
+    joined = keyed.join(found, [doc, tx], "left").select(*documents.columns, gone)
     names = documents.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

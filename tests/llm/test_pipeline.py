@@ -64,7 +64,7 @@ def test_against_brute_force(spark, tmp_path):
     want = set()
     for i, t in docs:
         t = pii.mask(t, pii.base_spans(t))
-        ids = np.array([*packing.encoder(packing.vocabulary_path()).encode_ordinary(t), 0], "<u4")
+        ids = np.array([*packing.encoder(packing.vocabulary_path())(t), 0], "<u4")
         want |= {(i, k, s, n, zlib.crc32(ids[s : s + n].tobytes())) for k, (s, n) in enumerate(packing.cut(len(ids)))}
     assert {tuple(r)[:5] for r in got} == want and len(got) == len(want)
     assert X.DIVISOR == 5
@@ -75,7 +75,7 @@ def test_stages_on_odd_rows(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     long = "long " * 60000
     rows = [(1, "a b c d", None, "s"), (1, "a b c d", None, "s"), (None, "no id here", "en", None), (None, None, None, None), (2, None, "en", "s"), (3, "", "en", "s"), (4, long, "en", "s"), (5, long, "de", "s")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").selectExpr("*", "length(text) AS n_chars", "1 AS score", "2 AS found", "3 AS component_id", "4 AS h", "5 AS doc", "6 AS tx", "7 AS id", "8 AS spans", "9 AS node")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").selectExpr("*", "length(text) AS n_chars", "1 AS score", "2 AS found", "3 AS component_id", "4 AS h", "5 AS doc", "6 AS tx", "7 AS id", "8 AS spans", "9 AS node", "10 AS __doc", "11 AS __tx", "12 AS __found", "13 AS __wanted", "14 AS first", "15 AS second", "16 AS `row`", "17 AS a", "18 AS b", "map('k', 1) AS m")
     kept = {}
     for name, f in C.STAGES:
         out = f(spark, docs, str(tmp_path))
@@ -85,7 +85,7 @@ def test_stages_on_odd_rows(spark, tmp_path):
         empty = f(spark, docs.limit(0), str(tmp_path))
         assert empty.count() == 0
     assert len(kept["toxicity"]) == 8 and len(kept["pii"]) == 8 and len(kept["suffix_array_dedup"]) == 8
-    # null and empty texts share fingerprint zero; the long ones are copies; rows without an id stay
-    assert sorted(str(r.doc_id) for r in kept["simhash_near_dedup"]) == ["1", "2", "4", "None", "None"]
+    # null and empty texts share fingerprint zero, with or without an id; the long ones are copies
+    assert sorted(str(r.doc_id) for r in kept["simhash_near_dedup"]) == ["1", "2", "4", "None"]
     assert {r.text for r in kept["suffix_array_dedup"] if r.doc_id in (4, 5)} == {""} and all(r.n_chars == 0 for r in kept["suffix_array_dedup"] if r.doc_id in (3, 4, 5))
     assert {r.doc_id for r in kept["best_fit_packing"]} == {None, 1, 2, 3, 4, 5}

@@ -70,3 +70,16 @@ def test_empty_and_repeated_rows(spark):
     assert S.near_duplicates(spark.createDataFrame([], kind)).count() == 0
     got = S.near_duplicates(spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (None, "a b c d")], kind)).collect()
     assert [r.component_id for r in got] == [1, 1, 1]
+
+
+def test_keep_one_loses_no_text(spark):
+    """One row a group: rows that share an id but not a group stay, repeated rows and rows without an id don't multiply."""
+    rng = np.random.default_rng(5)
+    text = lambda: " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(80))
+    a, b, c, d = text(), text(), text(), text()
+    rows = [(1, a, 0), (1, b, 0), (5, a, 0), (5, c, 0), (5, c, 1), (5, c, 0), (None, d, 0), (None, d, 0), (None, b, 0), (2, a, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, first int")
+    for _ in range(2):
+        got = S.keep_one(df.repartition(3)).collect()
+        assert sorted((str(r.doc_id), r.text) for r in got) == sorted([("1", a), ("1", b), ("5", c), ("None", d)])
+    assert S.keep_one(df).columns == df.columns and S.keep_one(df.limit(0)).count() == 0

@@ -64,12 +64,12 @@ def test_shards_merge_by_binary_search(limit):
     for k in range(40):
         own = bytes(rng.integers(97, 100, 100).astype(np.uint8))
         text = own + common[:k] + common + own[:30] if k % 2 and k < 30 else own + own + own
-        rows.append((7 if k < 30 else k, k, 0, 0, 1, len(text) - 199, text))
+        rows.append((7 if k < 30 else k, k, 1, len(text) - 199, text, 0))
     want = Counter()
-    for key, *_, text in rows:
+    for key, *_, text, _ in rows:
         want.update((key if key == 7 else 0, text[i : i + 200]) for i in range(len(text) - 199))
-    got = {h: spans for h, _, spans in S.shard_rows(iter(rows), limit)}
-    for key, h, *_, n, text in rows:
+    got = {ph: spans for _, ph, _, spans in S.shard_rows(iter(rows), limit)}
+    for key, h, _, n, text, _ in rows:
         if key == 7:
             expected = [want[(7, text[i : i + 200])] > 1 for i in range(n)]
             spans = got.get(h, [])
@@ -98,3 +98,35 @@ def test_empty_and_repeated_rows(spark):
     t = "word " * 3 + "".join(chr(97 + i * i % 26) for i in range(300))
     got = S.remove_repeats(spark.createDataFrame([(1, t), (1, t), (None, t[:100])], kind)).collect()
     assert sorted(r.n_removed for r in got) == [0, len(t), len(t)]
+
+
+def test_one_key_takes_linear_time():
+    """Pieces of one key that fill many shards: four times the pieces, nowhere near sixteen times the seconds."""
+    import time
+
+    rng = np.random.default_rng(6)
+    core = bytes(rng.integers(97, 123, 190).astype(np.uint8))
+    took = []
+    for n in (250, 1000):
+        texts = [bytes(rng.integers(97, 123, 500).astype(np.uint8)) + core + bytes(rng.integers(97, 123, 510).astype(np.uint8)) for _ in range(n)]
+        texts[-1] = texts[0][:700] + texts[1][-300:]
+        began = time.process_time()
+        got = list(S.shard_rows(iter([(7, k, 1, len(t) - 199, t, 1) for k, t in enumerate(texts)]), 30_000))
+        took.append(time.process_time() - began)
+        assert {r[1] for r in got} == {0, 1, n - 1}
+    assert took[1] < 8 * took[0]
+
+
+def test_many_near_copies_of_one_text(spark):
+    """A group of near copies whose keys are split at both levels, against brute force."""
+    rng = np.random.default_rng(9)
+    words = ["".join(rng.choice(list("abcdefg"), 6)) for _ in range(120)]
+    texts = []
+    for k in range(160):
+        w = list(words)
+        w[rng.integers(0, 120)] = f"edit{k}"
+        texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for hot in (100, 4):
+        got = {r.doc_id: tuple(r)[1:] for r in S.remove_repeats(df, hot=hot).collect()}
+        assert got == dict(enumerate(brute(texts)))
