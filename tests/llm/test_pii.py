@@ -60,3 +60,32 @@ def test_em_prefers_agreeing_labelers():
 def test_mask():
     assert P.mask("call +1 555 or x@y.z!", [("phone", 5, 11), ("email", 15, 20)]) == "call <phone> or <email>!"
     assert P.mask("abcdef", [("card", 0, 4), ("phone", 2, 6)]) == "<card>"
+
+
+def test_em_rejects_a_frequent_bad_pattern():
+    """Sixteen digits that fail their checksum, more of them than cards, whatever the first digit says; few or many."""
+    card, off, off_too, ip = (1, 1, 1, 0, 0, 1, 1), (1, -1, 1, 0, 0, 1, 1), (1, -1, -1, 0, 0, 1, 1), (1, 1, 0, 0, 0, 1, 1)
+    for scale in (1, 1000):
+        m = P.fit({P.code("card", card): 170 * scale, P.code("card", off): 160 * scale, P.code("card", off_too): 240 * scale, P.code("ip", ip): 90 * scale, P.code("secret", (0, 1, 1, 1, 0, 1, 3)): 50 * scale})
+        assert m[P.code("card", card)] > 0.9 and m[P.code("card", off)] < 0.5 > m[P.code("card", off_too)]
+        assert m[P.code("ip", ip)] > 0.9 and m[P.code("secret", (0, 1, 1, 1, 0, 1, 3))] > 0.9
+
+
+def test_added_spans_against_definition(spark):
+    """A plain reading of the loose rules: every candidate that its checks support and no base span overlaps is added, no other."""
+    lines = ["pay 4111111111111111 soon", "no 9807915762804490 card", "no 4529603461135147 card", "+1 (269) 555-3296 4524132264652876 x", "write to jo at example dot org", "token = deadbeef0123456789", "call (269) 555-3296", "ip 999.1.1.1 or 10.1.2.3"]
+    want = {
+        0: "card:4:20", 1: "", 2: "", 3: "card:18:34,phone:0:17", 4: "email:9:30", 5: "secret:8:26", 6: "phone:5:19", 7: "ip:16:24",
+    }
+    rows = [(i + 100 * k, t) for i, t in enumerate(lines) for k in range(30)]
+    got = P.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id % 100, r.spans) for r in got} == set(want.items())
+
+
+def test_a_megabyte_of_digits_or_letters_takes_no_time():
+    import time
+
+    for t in ("1" * 1_000_000, "1." * 500_000, "+1" * 500_000, "a" * 1_000_000 + "@", "1 " * 500_000, "password=" * 100_000, "a at " * 200_000):
+        began = time.process_time()
+        P.base_spans(t), P.candidates(t)
+        assert time.process_time() - began < 4, t[:10]
