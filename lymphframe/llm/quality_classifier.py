@@ -29,19 +29,24 @@ _CHUNK = 1 << 16
 
 
 class _Tokens(dict):
-    """Hash of a token in the upper half, hash of its shape in the lower."""
+    """Hash of a token in the upper half, hash of its shape in the lower.
 
-    LIMIT = 300_000
+    Tokens of at most WORD bytes are remembered, all forgotten when there are LIMIT of them.
+    """
+
+    LIMIT, WORD = 300_000, 64
 
     def __missing__(self, t: bytes) -> int:
-        if len(self) > self.LIMIT:
-            self.clear()
         if t[:1].isalpha() or t[0] >= 128:
             s = t.decode("utf-8", "replace")
             shape = b"A" if s.isupper() and len(s) > 1 else b"Aa" if s[0].isupper() else b"a"
         else:
             shape = b"0" if t.isdigit() else t[:8]
-        v = self[t] = (xxhash.xxh32_intdigest(t.lower()) << 32) | xxhash.xxh32_intdigest(shape)
+        v = (xxhash.xxh32_intdigest(t.lower()) << 32) | xxhash.xxh32_intdigest(shape)
+        if len(t) <= self.WORD:
+            if len(self) > self.LIMIT:
+                self.clear()
+            self[t] = v
         return v
 
 

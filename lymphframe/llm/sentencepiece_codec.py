@@ -21,8 +21,8 @@ from lymphframe.session import table
 VOCABULARY, MARK = "piece_bpe_32k.model", "▁"
 #: What a letter without a piece scores below the least score.
 PENALTY = 10.0
-#: Letters of a word that is worked on in one go; a longer one is walked alone, without sharing.
-_WORDS = 400_000
+#: Words sorted and walked in one go; letters of remembered words, beyond which all are forgotten after a batch.
+_WORDS, _LETTERS = 400_000, 8_000_000
 
 
 class Codec:
@@ -63,6 +63,7 @@ class Codec:
         # split before a mark that follows a letter, and around letters that no longer piece holds
         self.mark = not self.crossed
         self.words: dict[str, bytes] = {}
+        self.letters = 0
 
     def marked(self, text: str) -> str:
         return (MARK + text).replace(" ", MARK) if text else ""
@@ -114,9 +115,11 @@ class Codec:
         for at in range(0, len(new), _WORDS):
             part = new[at : at + _WORDS]
             self.words.update((w, np.array(i, np.dtype("<u4")).tobytes()) for w, i in zip(part, self.best(part)))
+            self.letters += sum(map(len, part))
         out = [b"".join(map(self.words.__getitem__, s)) for s in split]
-        if len(self.words) > _WORDS:
+        if self.letters > _LETTERS:
             self.words.clear()
+            self.letters = 0
         return out
 
     def decode(self, ids: bytes) -> str:

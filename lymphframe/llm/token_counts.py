@@ -88,18 +88,20 @@ _automata: dict = {}
 
 
 class Counts(dict):
-    """Piece counts of words as met, bounded: emptied when full."""
+    """Piece counts of words as met: words of at most WORD bytes, all forgotten when there are LIMIT of them."""
 
-    LIMIT = 400_000
+    LIMIT, WORD = 300_000, 64
 
     def __init__(self, automaton: LongestMatch):
         super().__init__()
         self.automaton = automaton
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > self.LIMIT:
-            self.clear()
-        n = self[word] = self.automaton.count(word.decode("utf-8", "replace"))
+        n = self.automaton.count(word.decode("utf-8", "replace"))
+        if len(word) <= self.WORD:
+            if len(self) > self.LIMIT:
+                self.clear()
+            self[word] = n
         return n
 
 

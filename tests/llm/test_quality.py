@@ -78,3 +78,45 @@ def test_edge_rows(spark):
     assert {(r.doc_id, r.score) for r in Q.quality(docs, none).collect()} == {(1, 0.5), (2, 0.5), (3, 0.5), (None, 0.5)}
     assert sorted(r.n_words for r in R.rules(docs, none).collect()) == [0, 0, 2, 3, 3]
     assert Q.quality(docs.limit(0), none).count() == 0 and R.rules(docs.limit(0), none).count() == 0
+
+
+def slow_ftrl(rows):
+    """The same updates, one coordinate at a time."""
+    tokens, z, n = Q._Tokens(), Counter(), Counter()
+    data = []
+    for text, y in rows:
+        x = Counter()
+        for i, v in zip(*Q.features(text, tokens)):
+            x[int(i)] += float(v)
+        x[Q.DIMENSIONS] = 1.0
+        data.append((x, y))
+    ones = sum(y for _, y in data)
+
+    def weight(i):
+        l1 = 0 if i == Q.DIMENSIONS else Q.L1
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - np.sign(z[i]) * l1) / ((Q.BETA + n[i] ** 0.5) / Q.ALPHA + Q.L2)
+
+    rng = np.random.default_rng(0)
+    for _ in range(Q.PASSES):
+        for k in rng.permutation(len(data)):
+            x, y = data[k]
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + np.exp(-sum(x[i] * w[i] for i in x)))
+            for i in x:
+                g = (p - y) * len(data) / (2 * (ones if y else len(data) - ones)) * x[i]
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / Q.ALPHA * w[i]
+                n[i] += g * g
+    return {i: weight(i) for i in z}
+
+
+def test_training_and_scores_against_plain_ftrl(spark):
+    rows = [(f"A fine text about thing {k}, and {k % 7} more words of it.", 1) for k in range(25)] + [(f"BUY!! now {k} $$$ buy buy cheap {k % 5}", 0) for k in range(15)] + [("", 1), (None, 0)]
+    w, bias = Q.train_rows(rows)
+    want = slow_ftrl(rows)
+    assert abs(bias - want[Q.DIMENSIONS]) < 1e-3 and max(abs(w[i] - v) for i, v in want.items() if i < Q.DIMENSIONS) < 1e-3
+    assert np.count_nonzero(w) == sum(v != 0 for i, v in want.items() if i < Q.DIMENSIONS)
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(rows)] + [(99, "thing " * 200_000)], "doc_id long, text string")
+    tokens = Q._Tokens()
+    for r in Q.score(docs, w, bias).collect():
+        i, v = Q.features(rows[r.id][0] if r.id < 99 else "thing " * 200_000, tokens)
+        assert abs(r.score - 1 / (1 + np.exp(-(bias + sum(w[a] * b for a, b in zip(i, v)))))) < 1e-6

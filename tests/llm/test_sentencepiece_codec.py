@@ -101,3 +101,11 @@ def test_frames(spark):
 def test_query(spark):
     got = C.op1_sentencepiece(spark, "/root/testdata/sf0.001").collect()
     assert len(got) == 200 and all(r.restored for r in got)
+
+
+def test_cache_is_bounded(monkeypatch):
+    """Texts without spaces are words as long as they are; they are forgotten after their batch."""
+    monkeypatch.setattr(C, "_LETTERS", 1000)
+    c = C.Codec()
+    first = c.encode(["short words", "x" * 50_000])
+    assert not c.words and c.encode(["short words"]) == first[:1] and c.words
