@@ -28,7 +28,7 @@ from lymphframe.llm.common import fresh
 from lymphframe.session import stage, table, unstage
 
 LENGTH, CORE = 200, 64
-#: Substrings that cut runs of keys with over HOT and over 20 * HOT occurrences.
+#: Substrings that cut runs of keys with over HOT and over 2 * HOT occurrences.
 FINE = (160, 192)
 #: Bytes of a shard (ranks must fit 21 bits), windows of a run, occurrences from which a key is split.
 SHARD, RUN, HOT = 1_000_000, 1024, 1_000
@@ -462,7 +462,7 @@ def repeated_runs(documents: DataFrame, doc: str, tx: str, text: str, hot: int =
     source = documents.select(F.col(doc).alias("doc"), F.col(tx).alias("tx"), F.col(text).alias("text"))
     anchors = stage(source.where(F.octet_length("text") >= LENGTH).mapInArrow(_anchor_task, _ANCHORS), "anchors")
     often = anchors.groupBy("h").agg(F.sum("c").alias("c")).where("c > 1")
-    often = often.select("h", F.when(F.col("c") > 20 * hot, 2).when(F.col("c") > hot, 1).otherwise(0).alias("level"))
+    often = often.select("h", F.when(F.col("c") > 2 * hot, 2).when(F.col("c") > hot, 1).otherwise(0).alias("level"))
     occ = stage(anchors.drop("c").join(often, "h"), "occurrences")
     unstage(anchors)
     distinct = occ.groupBy("h", "th", "level").agg(F.count("*").alias("w"), F.min(F.struct("doc", "tx", "s", "n")).alias("r"))
