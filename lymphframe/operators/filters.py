@@ -13,10 +13,21 @@ from pyspark.sql import functions as F
 
 
 def binomial_tail(k: Column, n: Column, p: float) -> Column:
-    """P(X >= k) for a binomial of n trials, as a column, summed in log space."""
+    """P(X >= k) for a binomial of n trials, as a column.
+
+    One term is worked out in log space, the others follow from it: upwards from k if k is beyond the
+    mean, else downwards from k - 1 for what is left to 1, so no term that matters is lost.
+    """
     lg = lambda x: F.aggregate(F.sequence(F.lit(1), F.greatest(x, F.lit(1))), F.lit(0.0), lambda s, i: s + F.log(i.cast("double")))
-    term = lambda i: F.exp(lg(n) - lg(i) - lg(n - i) + i * math.log(p) + (n - i) * math.log(1 - p))
-    return F.when(k <= 0, F.lit(1.0)).otherwise(F.aggregate(F.sequence(k, F.greatest(k, n)), F.lit(0.0), lambda s, i: s + F.when(i <= n, term(i)).otherwise(0.0)))
+    up = k > n * p
+    at = F.when(up, F.least(k, n)).otherwise(k - 1)
+    first = F.exp(lg(n) - lg(at) - lg(n - at) + at * math.log(p) + (n - at) * math.log(1 - p))
+    rise = lambda i: (n - i).cast("double") / (i + 1) * (p / (1 - p))  # term i + 1 over term i
+    fall = lambda i: i.cast("double") / (n - i + 1) * ((1 - p) / p)  # term i - 1 over term i
+    step = lambda s, i: F.struct((s["sum"] + s["term"]).alias("sum"), (s["term"] * F.when(up, rise(i)).otherwise(fall(i))).alias("term"))
+    start = F.struct(F.lit(0.0).alias("sum"), first.alias("term"))
+    total = F.aggregate(F.when(up, F.sequence(at, n)).otherwise(F.sequence(at, F.lit(0))), start, step, lambda s: s["sum"])
+    return F.when(k <= 0, F.lit(1.0)).when(k > n, F.lit(0.0)).when(up, total).otherwise(1 - total)
 
 
 def drop(cells: DataFrame, fate: DataFrame | None, bad: DataFrame, name: str, key: str = "cell") -> tuple[DataFrame, DataFrame]:

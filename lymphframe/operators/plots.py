@@ -6,7 +6,6 @@ import math
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,12 +22,17 @@ def hex_place(k: int) -> tuple[float, float]:
     return ring * (x + (u - x) * t), ring * (y + (v - y) * t)
 
 
-def hex_udf():
-    @F.pandas_udf("x double, y double")
-    def f(k: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([hex_place(int(v)) for v in k], columns=["x", "y"])
+def hex_columns(k: Column) -> tuple[Column, Column]:
+    """hex_place() as expressions of a column of places."""
+    ring = F.ceil((F.sqrt(12 * k + 9) - 3) / 6 - 1e-12)
+    past = k - 3 * ring * (ring - 1) - 1
+    side, t = F.floor(past / ring).cast("int"), (past % ring).cast("double") / ring
 
-    return f
+    def one(f) -> Column:
+        corner = F.array(*(F.lit(f(math.pi / 3 * s)) for s in range(7)))
+        return F.when(k == 0, 0.0).otherwise(ring * (F.get(corner, side) + (F.get(corner, side + 1) - F.get(corner, side)) * t))
+
+    return one(math.cos), one(math.sin)
 
 
 def scaled(x: Column, low: Column, high: Column) -> Column:
@@ -45,6 +49,15 @@ def inside(polygon: list[tuple[float, float]], x: float, y: float) -> bool:
     return out
 
 
+def inside_columns(polygon: list[tuple[float, float]], x: Column, y: Column) -> Column:
+    """inside() as an expression of two columns."""
+    out = F.lit(0)
+    for (a, b), (c, d) in zip(polygon, polygon[1:] + polygon[:1]):
+        if b != d:
+            out = out + ((F.lit(b) > y) != (F.lit(d) > y)).cast("int") * (x < (c - a) * (y - b) / (d - b) + a).cast("int")
+    return out % 2 == 1
+
+
 def ticks(low: float, high: float, most: int = 6) -> list[float]:
     """Round values between low and high, at most so many."""
     if high <= low:
@@ -117,11 +130,19 @@ def pack_circles(radii: list[float], seed: int = 0, blocked: list[tuple[float, f
     return out
 
 
+#: Coefficients of the turbo colour map's red, green and blue, from the constant on.
+TURBO = (
+    (0.13572138, 4.61539260, -42.66032258, 132.13108234, -152.94239396, 59.28637943),
+    (0.09140261, 2.19418839, 4.84296658, -14.18503333, 4.27729857, 2.82956604),
+    (0.10667330, 12.64194608, -60.58204836, 110.36276771, -89.90310912, 27.34824973),
+)
+
+
 def turbo(k: int) -> str:
-    """Colour k of 0..255 on a rainbow from blue over green to red, as #rrggbb."""
+    """Colour k of 0..255 on the turbo colour map, as #rrggbb, by its published polynomials of fifth degree."""
     t = min(255, max(0, k)) / 255
-    part = lambda c: round(255 * max(0.0, min(1.0, 1.5 - abs(4 * t - c))))
-    return f"#{part(3):02x}{part(2):02x}{part(1):02x}"
+    part = lambda c: min(255, max(0, math.floor(255 * sum(a * t**i for i, a in enumerate(c)) + 0.5)))
+    return "#" + "".join(f"{part(c):02x}" for c in TURBO)
 
 
 def palette_distance(a: str, b: str) -> float:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lymphframe.plans.functions import amino
 from lymphframe.plans.registry import query
-from lymphframe.session import table
+from lymphframe.session import stage_path, table
 from lymphframe.sources import mapped as M
 from lymphframe.sources import readers as R
 from lymphframe.sources import sinks as K
@@ -25,6 +25,62 @@ def s06(spark, d):
     return x.select(F.col("doc_id").alias("barcode"), F.coalesce(F.col("quality").cast("string"), F.lit("")).alias("quality"))
 
 
+def written(df, name, sep=","):
+    """The path of df as delimited text with a header, in the shared folder."""
+    path = stage_path(df.sparkSession, name)
+    df.write.csv(path, header=True, sep=sep, emptyValue="")
+    return path
+
+
+@query("s05_metadata_file", "SELECT DISTINCT c_mktsegment || n_name AS dataset, 'runs/' || c_mktsegment || n_name AS path, CAST(NULL AS VARCHAR) AS gex, n_name AS origin, r_name AS donor, CAST(NULL AS VARCHAR) AS color, CAST(NULL AS VARCHAR) AS bc FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def s05(spark, d):
+    """Metadata files of two donors' groups, written and read; the dataset is named before the colon or by the path's end."""
+    c = M.cells_of(spark, d).select(F.concat("dataset", "origin").alias("id"), "origin", "donor").distinct()
+    early = F.col("donor") < "B"
+    bcr = F.when(early, F.concat("id", F.lit(":runs/"), "id")).otherwise(F.concat(F.lit("runs/"), "id")).alias("bcr")
+    return R.metadata(spark, [written(c.where(w).select(bcr, "origin", "donor"), "meta.csv") for w in (early, ~early)])
+
+
+@query("s06_joint_cell_fields", "SELECT c_mktsegment AS dataset, CAST(c_custkey AS VARCHAR) AS barcode, CAST(c_nationkey AS VARCHAR) AS nation FROM customer")
+def s06j(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_mktsegment").alias("dataset"), F.col("c_custkey").alias("barcode"), F.col("c_nationkey").alias("nation"))
+    return R.cell_fields(spark, written(c, "fields.tsv", "\t"), joint=True)
+
+
+@query("s07_pair_information", W + M.SEGMENT + ", n AS (SELECT seq, name, length(name) AS len FROM seg) SELECT seq || '_' || md5(name) AS key, seq AS vj_seq1, md5(name) AS vj_seq2, min(CAST(len AS VARCHAR)) AS note FROM n GROUP BY ALL")
+def s07(spark, d):
+    """Fields of heavy and light pairs; every pair stands twice in the file and the least row is taken."""
+    x = M.segments(spark, d).select(F.col("seq").alias("vj_seq1"), F.md5(F.col("name").cast("binary")).alias("vj_seq2"), F.length("name").cast("string").alias("note"))
+    return R.pair_info(spark, written(x.union(x.withColumn("note", F.concat("note", F.lit("b")))), "info.csv"), resolve_first=True)
+
+
+@query("s10_metrics_summary", W + M.CELL + ", m AS (SELECT dataset, count(*) AS cells, count(*) FILTER (status = 'F') AS f FROM cell GROUP BY dataset) SELECT dataset, 'Cells' AS metric, CAST(cells AS DOUBLE) AS value FROM m UNION ALL SELECT dataset, 'Share', floor(CAST(f AS DOUBLE) / cells * 100 + 0.5) / 100 FROM m")
+def s10(spark, d):
+    """Metrics of each dataset in the form that summaries have, numbers with commas and percentages, read back as numbers."""
+    m = M.cells(spark, d).groupBy("dataset").agg(F.count("*").alias("cells"), F.count_if(F.col("status") == "F").alias("f"))
+    share = F.concat(F.floor(F.col("f").cast("double") / F.col("cells") * 100 + 0.5).cast("string"), F.lit("%"))
+    return R.metrics(spark, written(m.select("dataset", F.format_number("cells", 0).alias("Cells"), share.alias("Share")), "metrics_summary.csv"), "dataset")
+
+
+@query("s11_reference_fasta", W + M.SEGMENT + ", r AS (SELECT name, seq, dense_rank() OVER (ORDER BY name) AS id FROM seg) SELECT CAST(id AS INTEGER) AS id, 'IGH' || replace(name, ' ', '_') AS name, seq, 0 AS rtype FROM r")
+def s11(spark, d):
+    """A reference written as FASTA and read again."""
+    from lymphframe.operators.grouping import ordinals
+
+    s = ordinals(M.segments(spark, d).select("seq", F.col("name").alias("group_key"), F.lit(1).alias("n")))
+    path = stage_path(spark, "regions.fa")
+    head = F.concat(F.lit(">"), F.col("group_id").cast("string"), F.lit("|IGH"), F.translate("group_key", " ", "_"), F.lit(" x|V|L-REGION"))
+    s.select(F.concat(head, F.lit("\n"), "seq").alias("record")).write.text(path)
+    return R.reference(spark, path)
+
+
+@query("s31_demultiplexed", "SELECT CAST(c_custkey AS VARCHAR) AS barcode, CASE WHEN c_acctbal < 0 THEN 'unassigned' ELSE 'singlet' END AS status, CAST(c_nationkey AS VARCHAR) AS assignment FROM customer")
+def s31(spark, d):
+    c = table(spark, d, "customer")
+    x = c.select(F.col("c_custkey").alias("barcode"), F.when(F.col("c_acctbal") < 0, "unassigned").otherwise("singlet").alias("status"), F.col("c_nationkey").alias("assignment"))
+    return R.demultiplexed(spark, written(x, "demux.tsv", "\t"))
+
+
 @query("s08_external_counts", "SELECT user_id AS cell, event_type AS value, count(*) AS n FROM events GROUP BY ALL")
 def s08(spark, d):
     return table(spark, d, "events").groupBy(F.col("user_id").alias("cell"), F.col("event_type").alias("value")).agg(F.count("*").alias("n"))
@@ -43,9 +99,8 @@ def s13(spark, d):
 
 @query("s13_parseable_cells", W + M.SIGNATURE + " SELECT exact, CAST(cell AS VARCHAR) AS cells, CAST(umi AS VARCHAR) AS umis FROM sig")
 def s13c(spark, d):
-    g = M.signatures(spark, d).groupBy("exact").agg(F.sort_array(F.collect_list(F.struct("cell", "umi"))).alias("z"))
-    g = g.select("exact", F.col("z.cell").alias("cells"), F.col("z.umi").alias("umis"))
-    return K.parseable(g, ["exact", "cells", "umis"], per_cell=["cells", "umis"])
+    """A row a cell needs no list of its group's cells: nothing is gathered that would be taken apart again."""
+    return K.parseable(M.signatures(spark, d).select("exact", F.col("cell").alias("cells"), F.col("umi").alias("umis")), ["exact", "cells", "umis"])
 
 
 @query("s15_default_columns")

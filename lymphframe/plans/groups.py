@@ -60,7 +60,14 @@ def similar(name, items_sql, near_sql, items, block, near):
 
 
 def named(spark, d):
-    return M.segments(spark, d).select(F.col("name").alias("id"), "seq", F.length("name").alias("len"))
+    """Distinct sequences, their 96 letters packed as well, for comparison by the pair."""
+    s = M.segments(spark, d)
+    return s.select(F.col("name").alias("id"), "seq", F.length("name").alias("len"), *(c.alias(f"p{k}") for k, c in enumerate(S.packed(F.col("seq"), 96))))
+
+
+def apart(a: str = "a.", b: str = "b."):
+    """Differing letters of the sequences of two rows of named()."""
+    return S.packed_hamming(*([F.col(f"{t}p{k}") for k in range(4)] for t in (a, b)))
 
 
 def residues(spark, d):
@@ -83,6 +90,30 @@ def g14(spark, d):
     return g.where("n >= 3 AND donors >= 2 AND has AND datasets > 1 AND low = 2").select("exact", "n")
 
 
+HEAVY_LENGTH = W + M.SIGNATURE + ", g AS (SELECT s.exact, c.heavy, c.name, s.cell FROM sig s JOIN chain c USING (cell))"
+
+
+def heavy_names(spark, d):
+    """(exact, cell, heavy, cdr3): every chain of a group, a part's name standing for its CDR3."""
+    name = table(spark, d, "part").select(F.col("p_partkey").alias("part"), F.col("p_name").alias("cdr3"))
+    return M.chains_plain(spark, d).join(name, "part").join(M.signatures(spark, d).select("cell", "exact"), "cell").select("exact", "cell", "heavy", "cdr3")
+
+
+@query("g16_varied_heavy_lengths", HEAVY_LENGTH.replace("WITH ", W + M.CHAIN + ", ", 1) + " SELECT exact, count(DISTINCT CASE WHEN heavy THEN length(name) END) AS lengths FROM g GROUP BY exact HAVING count(DISTINCT CASE WHEN heavy THEN length(name) END) <> 1")
+def g16(spark, d):
+    """Groups but those whose heavy CDR3s all have one length; a group without heavy chains stays."""
+    g = heavy_names(spark, d).groupBy("exact").agg(F.count_distinct(F.when(F.col("heavy"), F.length("cdr3"))).alias("lengths"))
+    return g.where("lengths <> 1")
+
+
+@query("g17_group_with_cdr3", HEAVY_LENGTH.replace("WITH ", W + M.CHAIN + ", ", 1) + " SELECT exact, count(DISTINCT cell) AS n FROM g GROUP BY exact HAVING bool_or(name = (SELECT min(p_name) FROM part))")
+def g17(spark, d):
+    """Groups one of whose members has a given CDR3, here the least one of the table."""
+    x = table(spark, d, "part").agg(F.min("p_name").alias("x"))
+    g = heavy_names(spark, d).crossJoin(F.broadcast(x))  # one-row side
+    return g.groupBy("exact").agg(F.count_distinct("cell").alias("n"), F.bool_or(F.col("cdr3") == F.col("x")).alias("has")).where("has").select("exact", "n")
+
+
 @query("g19_group_donors", W + M.MEMBER + " SELECT exact FROM mem GROUP BY exact HAVING bool_or(donor = 'ASIA') AND bool_or(donor = 'EUROPE')")
 def g19(spark, d):
     return M.members(spark, d).groupBy("exact").agg(F.collect_set("donor").alias("s")).where(F.array_contains("s", "ASIA") & F.array_contains("s", "EUROPE")).select("exact")
@@ -93,12 +124,14 @@ def g20(spark, d):
     return G.ordinals(M.signatures(spark, d).groupBy(F.col("clono").alias("group_key")).agg(F.count("*").alias("n")))
 
 
-@query("g22_connected_components", """WITH RECURSIVE e AS (SELECT DISTINCT c_custkey AS src, c_custkey // 7 AS dst FROM customer WHERE c_custkey % 7 < 3 AND c_custkey > 0), both_ AS (SELECT * FROM e UNION ALL SELECT dst, src FROM e),
-  reach AS (SELECT src AS a, src AS b FROM both_ UNION SELECT r.a, x.dst FROM reach r JOIN both_ x ON r.b = x.src) SELECT a AS node, min(b) AS root FROM reach GROUP BY a""")
+@query("g22_connected_components", """WITH RECURSIVE e AS (SELECT a.c_custkey AS src, b.c_custkey AS dst FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey // 7 AND b.c_mktsegment = a.c_mktsegment AND b.c_custkey <> a.c_custkey),
+  n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), up AS (SELECT node, node AS head FROM n UNION ALL SELECT up.node, e.dst FROM up JOIN e ON e.src = up.head) SELECT node, min(head) AS root FROM up GROUP BY node""")
 def g22(spark, d):
-    c = F.col("c_custkey")
-    e = table(spark, d, "customer").where((c % 7 < 3) & (c > 0)).select(c.alias("src"), F.floor(c / 7).alias("dst"))
-    return connected_components(e)
+    """Every customer is linked to the one at a seventh of its key if both are in one market segment."""
+    c = table(spark, d, "customer").select("c_custkey", "c_mktsegment")
+    up = c.select(F.col("c_custkey").alias("dst"), "c_mktsegment")
+    e = c.select(F.col("c_custkey").alias("src"), "c_mktsegment", F.floor(F.col("c_custkey") / 7).alias("dst")).join(up, ["dst", "c_mktsegment"])
+    return connected_components(e.select("src", "dst"))
 
 
 @query("g22_link_components")
@@ -203,7 +236,7 @@ def j14(spark, d):
 
 @query("j15_pair_proximity", W + M.SEGMENT + " SELECT a.name AS n1, b.name AS n2 FROM seg a JOIN seg b ON length(a.name) = length(b.name) AND a.name < b.name AND substr(a.name, 1, 1) <> substr(b.name, 1, 1) WHERE hamming(a.seq, b.seq) <= 0.72::DOUBLE * 96")
 def j15(spark, d):
-    p = G.similar_pairs(named(spark, d), "id", ["len"], (F.substring("a.id", 1, 1) != F.substring("b.id", 1, 1)) & (S.hamming(F.col("a.seq"), F.col("b.seq")) <= 0.72 * 96))
+    p = G.similar_pairs(named(spark, d), "id", ["len"], (F.substring("a.id", 1, 1) != F.substring("b.id", 1, 1)) & (apart() <= 0.72 * 96))
     return p.select(F.col("src").alias("n1"), F.col("dst").alias("n2"))
 
 
@@ -211,10 +244,10 @@ COHERENCE = W + M.SEGMENT + ", x AS (SELECT a.name AS n1, b.name AS n2, CAST(flo
 
 
 def coherence(spark, d):
-    p = G.similar_pairs(named(spark, d), "id", ["len"], F.lit(True))
-    s = M.segments(spark, d)
-    p = p.join(s.select(F.col("name").alias("src"), F.col("seq").alias("s1")), "src").join(s.select(F.col("name").alias("dst"), F.col("seq").alias("s2")), "dst")
-    return p.select(F.floor(10 * (96 - S.hamming(F.col("s1"), F.col("s2"))).cast("double") / 96).alias("decile"), (F.substring("src", 1, 1) == F.substring("dst", 1, 1)).alias("same"))
+    """Identity decile and agreement of each pair of a block; counted where the pairs are made, none of them is shuffled."""
+    a, b = named(spark, d).alias("a"), named(spark, d).alias("b")
+    p = a.join(b, (F.col("a.len") == F.col("b.len")) & (F.col("a.id") < F.col("b.id")))
+    return p.select(F.floor(10 * (96 - apart()).cast("double") / 96).alias("decile"), (F.substring("a.id", 1, 1) == F.substring("b.id", 1, 1)).alias("same"))
 
 
 @query("a43_coherence_by_identity", COHERENCE + " SELECT decile, count(*) AS pairs, CAST(count(*) FILTER (same) AS DOUBLE) / count(*) AS coherence FROM x GROUP BY ROLLUP(decile)")
@@ -253,8 +286,7 @@ def w03(spark, d):
     n = named(spark, d)
     a, b = n.alias("a"), n.alias("b")
     x = a.join(b, (F.col("a.len") == F.col("b.len")) & (F.col("a.id") != F.col("b.id")), "left")
-    h = S.hamming(F.col("a.seq"), F.col("b.seq")).cast("long")
-    h = F.when(F.col("b.seq").isNotNull(), h)
+    h = F.when(F.col("b.seq").isNotNull(), apart())
     return x.groupBy(F.col("a.id").alias("name")).agg(F.min(h).alias("near"), F.max(h).alias("far"))
 
 
@@ -265,7 +297,7 @@ def w04(spark, d):
     return r.join(second, "len", "left").select(F.col("id").alias("name"), F.when(F.col("s2").isNotNull(), S.hamming(F.col("seq"), F.col("s2")).cast("long")).alias("ndiff2vj"))
 
 
-similar("w05_hamming_groups", ITEMS, "a.len = b.len AND hamming(a.seq, b.seq) <= 66", named, ["len"], lambda: S.hamming(F.col("a.seq"), F.col("b.seq")) <= 66)
+similar("w05_hamming_groups", ITEMS, "a.len = b.len AND hamming(a.seq, b.seq) <= 66", named, ["len"], lambda: apart() <= 66)
 
 VECTORS = "v AS (SELECT vec_id AS cell, label % 2 = 0 AS vdj, list_transform(embedding, lambda x: CAST(floor(1000 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings), p AS (SELECT a.cell AS a, b.cell AS b, b.vdj, CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda t: (t[1] - t[2]) * (t[1] - t[2]))) AS BIGINT) AS dist FROM v a JOIN v b ON a.vdj)"
 

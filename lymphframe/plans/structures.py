@@ -102,7 +102,8 @@ def t04(spark, d):
 def v01(spark, d):
     m = M.signatures(spark, d)
     k = m.withColumn("k", F.row_number().over(Window.partitionBy("exact").orderBy("cell")) - 1)
-    return k.withColumn("h", P.hex_udf()(F.col("k"))).select("exact", "cell", F.round("h.x", 6).alias("x"), F.round("h.y", 6).alias("y"))
+    x, y = P.hex_columns(F.col("k"))
+    return k.select("exact", "cell", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
 
 
 @query("v02_cell_colours", W + M.SIGNATURE + ", m AS (SELECT min(umi) AS lo, max(umi) AS hi FROM sig) SELECT cell, CAST(floor(CAST(umi - lo AS DOUBLE) / nullif(hi - lo, 0) * 255 + 0.5) AS BIGINT) AS shade FROM sig, m")

@@ -42,16 +42,22 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     The table stays until unstage() or the end of the program.
     """
     spark = df.sparkSession
+    path = stage_path(spark, name)
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def stage_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted with the staged tables."""
     path = f"{shared_dir(spark)}/lymphframe-{uuid.uuid4().hex}/{name}"
     if not _staged:
         atexit.unregister(unstage_since)
         atexit.register(unstage_since, frozenset())
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     _staged[path] = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), p.getParent()
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._staged_at = path
-    return out
+    return path
 
 
 def _delete(path: str | None) -> None:

@@ -37,6 +37,13 @@ def cells(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def cells_of(spark: SparkSession, d: str) -> DataFrame:
+    """(dataset, origin, donor) of every customer, whether or not there are cells."""
+    t = lambda n: table(spark, d, n)
+    place = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return t("customer").join(place, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_mktsegment").alias("dataset"), F.col("n_name").alias("origin"), F.col("r_name").alias("donor"))
+
+
 CELL = """cell AS (SELECT o_orderkey AS cell, r_name AS donor, n_name AS origin, c_mktsegment AS dataset, o_orderpriority AS tag, o_orderstatus AS status
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 

@@ -18,6 +18,7 @@ from lymphframe.operators import filters as K
 from lymphframe.operators import grouping as G
 from lymphframe.operators import plots as P
 from lymphframe.operators import trees as T
+from lymphframe.sources import readers as R
 from lymphframe.operators.components import connected_components
 
 
@@ -133,10 +134,10 @@ def test_few_distinct_against_enumeration():
 
 
 def test_binomial_tail(spark):
-    for n, k in ((5, 2), (20, 5), (3, 0), (4, 4)):
-        want = sum(math.comb(n, i) * 0.1**i * 0.9 ** (n - i) for i in range(k, n + 1))
+    for n, k in ((5, 2), (20, 5), (3, 0), (4, 4), (4, 5), (900, 1), (900, 80), (900, 95), (900, 200), (30000, 10), (1, 1)):
+        want = sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(0.1) + (n - i) * math.log(0.9)) for i in range(k, n + 1))
         got = spark.range(1).select(K.binomial_tail(F.lit(k), F.lit(n), 0.1)).first()[0]
-        assert got == pytest.approx(want)
+        assert got == pytest.approx(want, rel=1e-6, abs=1e-12)
 
 
 def test_umi_filter_protects_one(spark):
@@ -328,3 +329,29 @@ def test_palette_has_every_shade(spark):
 
     got = plans.queries()["v08_palette"](spark, "/root/testdata/sf0.001").collect()
     assert {r.shade: r.colour for r in got} == {k: P.turbo(k) for k in range(256)} and len(got) == 256
+
+
+def test_packed_hamming_counts_letters(spark):
+    import random
+
+    r = random.Random(3)
+    rows = [("".join(r.choice("ACGT") for _ in range(96)), "".join(r.choice("ACGT") for _ in range(96))) for _ in range(50)] + [("A" * 96, "T" * 96), ("ACGT" * 24, "ACGT" * 24), ("ACG", "ATG")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    for row in df.select("a", "b", S.packed_hamming(S.packed(F.col("a"), 96), S.packed(F.col("b"), 96)).alias("d")).collect():
+        assert row.d == sum(x != y for x, y in zip(row.a, row.b))
+
+
+def test_places_and_polygons_as_columns(spark):
+    x, y = P.hex_columns(F.col("id"))
+    for row in spark.range(200).select("id", x.alias("x"), y.alias("y")).collect():
+        assert (row.x, row.y) == pytest.approx(P.hex_place(row.id), abs=1e-9)
+    shape = [(0.0, 0.0), (4.0, 1.0), (3.0, 5.0), (1.5, 2.0), (-1.0, 4.0)]
+    grid = [(a / 3 + 0.01, b / 3 + 0.02) for a in range(-6, 16) for b in range(-3, 18)]
+    for row in spark.createDataFrame(grid, "x double, y double").withColumn("in", P.inside_columns(shape, F.col("x"), F.col("y"))).collect():
+        assert row["in"] == P.inside(shape, row.x, row.y)
+
+
+def test_metrics(spark, tmp_path):
+    (tmp_path / "m.csv").write_text('id,Cells,Share,Note\na,"1,234",12.5%,x\nb,7,,\n')
+    got = {(r.id, r.metric): r.value for r in R.metrics(spark, str(tmp_path / "m.csv"), "id").collect()}
+    assert got == {("a", "Cells"): 1234.0, ("a", "Share"): 0.125, ("a", "Note"): None, ("b", "Cells"): 7.0, ("b", "Share"): None, ("b", "Note"): None}
