@@ -7,6 +7,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lymphframe.functions import conditions as C
+from lymphframe.functions import regions as R
+from lymphframe.functions import sequence as S
 from lymphframe.functions.regions import region_starts
 from lymphframe.functions.stats import percent
 from lymphframe.operators import clonotype as J
@@ -14,7 +16,7 @@ from lymphframe.operators import grouping as G
 from lymphframe.operators import plots as P
 from lymphframe.operators import trees as T
 from lymphframe.operators.components import connected_components
-from lymphframe.plans.functions import AA, amino
+from lymphframe.plans.functions import AA, AMINO, amino
 from lymphframe.plans.registry import query
 from lymphframe.plans.structures import tree_members
 from lymphframe.session import table
@@ -123,6 +125,46 @@ def f36(spark, d):
     return amino(spark, d).select("name", region_starts(F.col("aa"))["cdr1"].cast("long").alias("cdr1"))
 
 
+def long_amino(spark, d):
+    """128 residues a name: long enough for every region."""
+    x = M.segments(spark, d).select("name", F.concat(*(M.dna(F.concat("name", F.lit(t))) for t in ("", "a", "b", "c"))).alias("seq"))
+    return x.select("name", S.translate(F.col("seq")).alias("aa"))
+
+
+def motif_sql(places, low, high):
+    """The best place of a motif in aa, the last of equals."""
+    weigh = " + ".join(f"CASE WHEN substr(aa, j + {k + 1}, 1) IN ({', '.join(repr(c) for c in place)}) THEN {next(iter(place.values()))} ELSE 0 END" for k, place in enumerate(places) if place)
+    return f"list_max(list_transform(range(CAST({low} AS BIGINT), CAST(least({high}, length(aa) - {len(places)}) AS BIGINT) + 1), lambda j: 1000 * ({weigh}) + j)) % 1000"
+
+
+LONG = ", ".join(f"translate(md5(name || '{t}{u}'), '{M.HEX}', '{M.BASES}')" for t in ("", "a", "b", "c") for u in ("", "1", "2"))
+REGIONS = (
+    W + M.SEGMENT + f", lng AS (SELECT name, concat({LONG}) AS seq FROM seg), res AS (SELECT name, {AMINO} AS aa FROM lng), one AS (SELECT name, aa, {motif_sql(R.motif(R.FR1), '0', '40')} AS f1, {motif_sql(R.motif(R.FR2), '40', '73')} + 2 AS fr2 FROM res), "
+    "two AS (SELECT *, f1 + CASE WHEN substr(aa, f1 + 1, 1) = 'C' THEN 1 ELSE 0 END AS fr1 FROM one) "
+    f"SELECT name, fr1, {motif_sql(R.motif(R.CDR1), '25', 'fr1 + 19')} + 5 AS cdr1, fr2, fr2 + 15 AS cdr2 FROM two"
+)
+
+
+@query("f36_framework_regions", REGIONS)
+def f36r(spark, d):
+    """Starts of the first regions of kappa chains by weighted motifs."""
+    x = long_amino(spark, d).select("name", R.starts(F.col("aa"), "IGK").alias("s"))
+    return x.select("name", *(F.col(f"s.{c}").cast("long").alias(c) for c in ("fr1", "cdr1", "fr2", "cdr2")))
+
+
+@query("f08_regions_of_all_chains")
+def f08r(spark, d):
+    """Regions of a V segment as residues, for each chain type."""
+    aa = F.col("aa")
+    out = None
+    for chain in ("IGH", "IGK", "IGL", "TRA", "TRB"):
+        x = long_amino(spark, d).select(F.lit(chain).alias("chain"), "name", "aa", R.starts(aa, chain).alias("s"))
+        x = x.select("chain", "name", *(R.region(aa, F.col(f"s.{a}"), F.col(f"s.{b}")).alias(n) for n, a, b in (("fwr1", "fr1", "cdr1"), ("cdr1", "cdr1", "fr2"), ("fwr2", "fr2", "cdr2"), ("cdr2", "cdr2", "fr3"), ("fwr3", "fr3", "cdr3"))))
+        out = x if out is None else out.union(x)
+    return out
+
+
+
 @query("x09_group_correspondence", W + M.SIGNATURE + ", e AS (SELECT DISTINCT 'a' || exact AS src, 'b' || clono AS dst FROM sig) SELECT src, dst FROM e")
 def x09(spark, d):
     """Two runs' groups that share cells, as a bipartite graph."""

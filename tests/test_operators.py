@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lymphframe.functions import align as A
 from lymphframe.functions import conditions as C
+from lymphframe.functions import regions as D
 from lymphframe.functions import sequence as S
 from lymphframe.functions import variables as V
 from lymphframe.operators import clonotype as J
@@ -355,3 +356,69 @@ def test_metrics(spark, tmp_path):
     (tmp_path / "m.csv").write_text('id,Cells,Share,Note\na,"1,234",12.5%,x\nb,7,,\n')
     got = {(r.id, r.metric): r.value for r in R.metrics(spark, str(tmp_path / "m.csv"), "id").collect()}
     assert got == {("a", "Cells"): 1234.0, ("a", "Share"): 0.125, ("a", "Note"): None, ("b", "Cells"): 7.0, ("b", "Share"): None, ("b", "Note"): None}
+
+
+def slow_place(aa, places, low, high, first=False):
+    tried = []
+    for j in range(low, high + 1):
+        if 0 <= j <= len(aa) - len(places):
+            tried.append((sum(w for p, place in enumerate(places) for c, w in place.items() if aa[j + p] == c), -j if first else j))
+    return abs(max(tried)[1]) if tried else None
+
+
+def slow_starts(aa, chain):
+    add = lambda x, n: None if x is None else x + n
+    light = chain in ("IGK", "IGL")
+    fr1 = slow_place(aa, D.motif(D.FR1_IGH if chain == "IGH" else D.FR1), 0, 25 if chain == "IGL" else 40)
+    fr1 = add(fr1, int(aa[fr1] == "C")) if fr1 is not None else None
+    cdr1 = None if fr1 is None else add(slow_place(aa, D.motif(D.CDR1), 25, fr1 + 19), 5 if light else 8)
+    fr2 = add(slow_place(aa, D.motif(D.FR2_IGL if chain == "IGL" else D.FR2), 40, 62 if chain == "IGH" else 73), {"IGH": -1, "IGK": 2, "IGL": 2}.get(chain, 0))
+    if fr2 is None:
+        cdr2 = None
+    elif chain == "IGH":
+        cdr2 = add(slow_place(aa, D.motif(D.CDR2_IGH), fr2 + 8, fr2 + 13), 7)
+    elif chain == "TRA":
+        cdr2 = add(slow_place(aa, D.motif(D.CDR2_TRA), fr2 + 10, fr2 + 12), 6)
+    else:
+        cdr2 = fr2 + (15 if light else 17)
+    ends = D.CDR3_ENDS.split()
+    tried = []
+    for j in range(max(0, len(aa) - 29), len(aa) - 10):
+        score = 0
+        for k in range(11):
+            hits = [m for m in ends if m[k] == aa[j + k]]
+            score += min(1, len(hits)) if aa[j + k] == "Q" else len(hits)
+        tried.append((score, j + 11))
+    cdr3 = max(tried)[1] if tried else None
+    if cdr3 is None:
+        fr3 = None
+    elif light:
+        fr3 = slow_place(aa, D.motif(D.FR3_IGKL), max(0, cdr3 - 35), cdr3 - 28)
+    elif chain == "IGH":
+        at = slow_place(aa, D.motif(D.FR3_IGH), max(0, cdr3 - 40), cdr3 - 30, first=True)
+        fr3 = at - 1 if at else None
+    elif chain == "TRA":
+        fr3 = add(slow_place(aa, D.motif(D.FR3_TRA), max(0, cdr3 - 36), cdr3 - 33), 1)
+    else:
+        fr3 = slow_place(aa, D.motif(D.FR3_TRB), max(0, cdr3 - 38), cdr3 - 35)
+    return fr1, cdr1, fr2, cdr2, fr3, cdr3
+
+
+def test_region_starts_by_motifs(spark):
+    import random
+
+    r = random.Random(5)
+    # a heavy V segment (IGHV3-23), a kappa one (IGKV1-39), and letters at random of several lengths
+    heavy = "MEFGLSWLFLVAILKGVQCEVQLLESGGGLVQPGGSLRLSCAASGFTFSSYAMSWVRQAPGKGLEWVSAISGSGGSTYYADSVKGRFTISRDNSKNTLYLQMNSLRAEDTAVYYCAK"
+    kappa = "MDMRVPAQLLGLLLLWLRGARCDIQMTQSPSSLSASVGDRVTITCRASQSISSYLNWYQQKPGKAPKLLIYAASSLQSGVPSRFSGSGSGTDFTLTISSLQPEDFATYYCQQSYSTP"
+    texts = [heavy, kappa, "", "CAS"] + ["".join(r.choice("ACDEFGHIKLMNPQRSTVWY") for _ in range(n)) for n in (5, 11, 23, 45, 60, 90, 120, 120, 120)]
+    df = spark.createDataFrame([(t,) for t in texts], "aa string")
+    for chain in ("IGH", "IGK", "IGL", "TRA", "TRB"):
+        got = {x.aa: tuple(x.s) for x in df.select("aa", D.starts(F.col("aa"), chain).alias("s")).collect()}
+        assert got == {t: slow_starts(t, chain) for t in texts}
+        if chain == "IGH":
+            _, cdr1, fr2, cdr2, fr3, cdr3 = got[heavy]
+            assert got[heavy][0] == heavy.index("EVQLLE") and heavy[cdr1:fr2] == "GFTFSSY" and heavy[fr2:].startswith("AMSWVRQ")
+            assert cdr2 < fr3 < cdr3 and heavy[cdr3:] == "AK"
+        if chain == "IGK":
+            assert kappa[got[kappa][2] :].startswith("WYQQKPG") and got[kappa][0] == kappa.index("DIQMTQ")
