@@ -103,6 +103,24 @@ def s13c(spark, d):
     return K.parseable(M.signatures(spark, d).select("exact", F.col("cell").alias("cells"), F.col("umi").alias("umis")), ["exact", "cells", "umis"])
 
 
+GROUP_LINES = W + M.SIGNATURE + ", g AS (SELECT clono, CAST(count(*) AS VARCHAR) AS n, CAST(CAST(sum(umi) AS BIGINT) AS VARCHAR) AS umis FROM sig GROUP BY clono), l AS (SELECT 'clono' AS clono, 'n' AS n, 'umis' AS umis UNION ALL SELECT * FROM g)"
+
+
+def group_lines(spark, d, style):
+    g = M.signatures(spark, d).groupBy("clono").agg(F.count("*").alias("n"), F.sum("umi").alias("umis"))
+    return K.preview(g, ["clono", "n", "umis"], style)
+
+
+@query("s14_preview_aligned", GROUP_LINES + ", w AS (SELECT max(length(clono)) AS a, max(length(n)) AS b, max(length(umis)) AS c FROM l) SELECT rtrim(rpad(clono, CAST(a AS INTEGER), ' ') || '  ' || rpad(n, CAST(b AS INTEGER), ' ') || '  ' || rpad(umis, CAST(c AS INTEGER), ' ')) AS line FROM l, w")
+def s14(spark, d):
+    return group_lines(spark, d, "aligned")
+
+
+@query("s14_preview_tabs", GROUP_LINES + " SELECT clono || chr(9) || n || chr(9) || umis AS line FROM l")
+def s14t(spark, d):
+    return group_lines(spark, d, "tsv")
+
+
 @query("s15_default_columns")
 def s15(spark, d):
     from lymphframe.functions.variables import default_columns

@@ -115,7 +115,12 @@ def v07(spark, d):
     return table(spark, d, "orders").where(P.inside_columns(box, x, y - 0.5) & P.inside_columns(box, x, y + 0.5) & (x != box[0][0])).select(F.col("o_orderkey").alias("cell"))
 
 
-@query("v08_palette")
+def shade_sql(c):
+    terms = " + ".join(f"({a!r})::DOUBLE * pow(k / 255::DOUBLE, {i})" for i, a in enumerate(c))
+    return f"CAST(least(255, greatest(0, floor(255 * ({terms}) + 0.5))) AS BIGINT)"
+
+
+@query("v08_palette", "SELECT CAST(k AS INTEGER) AS shade, format('#{:02x}{:02x}{:02x}', " + ", ".join(map(shade_sql, P.TURBO)) + ") AS colour FROM range(256) t(k)")
 def v08(spark, d):
     return spark.createDataFrame([(k, P.turbo(k)) for k in range(256)], "shade int, colour string")
 

@@ -422,3 +422,64 @@ def test_region_starts_by_motifs(spark):
             assert cdr2 < fr3 < cdr3 and heavy[cdr3:] == "AK"
         if chain == "IGK":
             assert kappa[got[kappa][2] :].startswith("WYQQKPG") and got[kappa][0] == kappa.index("DIQMTQ")
+
+
+def test_segment_scores_by_every_placement():
+    """Each way to lay the segment along the junction, letter by letter."""
+    import random
+
+    r = random.Random(7)
+    for _ in range(60):
+        junction, segment = ("".join(r.choice("ACGT") for _ in range(r.randint(1, 14))) for _ in range(2))
+        best = 0.0
+        for offset in range(-len(segment) + 1, len(junction)):
+            pairs = [(junction[i], segment[i - offset]) for i in range(len(junction)) if 0 <= i - offset < len(segment)]
+            miss = sum(a != b for a, b in pairs)
+            chance = sum(math.comb(len(pairs), k) * 0.75**k * 0.25 ** (len(pairs) - k) for k in range(miss + 1))
+            best = max(best, A.MATCH * (len(pairs) - miss) + A.MISMATCH * miss - A.BIT_WEIGHT * math.log2(chance))
+        assert A.segment_score(junction, segment) == pytest.approx(best)
+    one, two = {"D1": "GGTACAACTGG", "D2": "AGGATATTGTAGTGG"}, "GGTACAACTGG"
+    assert A.best_segments(two, one)[0] == "D1" and A.best_segments("", one)[0] == ""
+
+
+def test_text_tree_and_clustal_by_example():
+    from lymphframe.sources import sinks
+
+    tree = [(0, 4, 1.0), (4, 1, 0.5), (4, 2, 2.25)]
+    assert T.text_tree(tree, {0: "root", 1: "a", 2: "b"}) == "root\n  I4 [1.00]\n    a [0.50]\n    b [2.25]"
+    assert sinks.clustal_text(["x", "long"], ["ACDK", "ACER"], True) == "CLUSTALW\n\n\nx      ACDK\nlong   ACER\n       **::\n"
+    wide = sinks.clustal_text(["x", "y"], ["A" * 61, "A" * 60 + "C"], False).split("\n")
+    assert wide[3] == "x   " + "A" * 60 and wide[5] == "    " + "*" * 60 and wide[7] == "x   A" and wide[9] == "     "
+
+
+def test_previews(spark):
+    from lymphframe.sources import sinks
+
+    df = spark.createDataFrame([("a,b", 1), (None, 22)], "name string, n int")
+    lines = lambda s: sorted(r.line for r in sinks.preview(df, ["name", "n"], s).collect())
+    assert lines("csv") == sorted(["name,n", '"a,b",1', ",22"]) and lines("tsv") == sorted(["name\tn", "a,b\t1", "\t22"])
+    assert lines("aligned") == sorted(["name  n", "a,b   1", "      22"])
+
+
+def test_scored_join_by_the_published_rule(spark):
+    """All pairs of a reference's sequences, the rule worked out on letters."""
+    from lymphframe.plans import structures as Q
+
+    sf = "/root/testdata/sf0.001"
+    rows = Q.relatives(spark, sf).collect()
+    linked = set()
+    rule = J.JoinRule()
+    for block in {r.block for r in rows}:
+        for a, b in itertools.combinations(sorted((r for r in rows if r.block == block), key=lambda r: r.id), 2):
+            diff = lambda x, y: sum(u != v for u, v in zip(x, y))
+            shared = sum(u == v != w for u, v, w in zip(a.seq[:60], b.seq[:60], a.r))
+            k = diff(a.seq[:60], a.r) + diff(b.seq[:60], a.r) - shared
+            outside, cd = diff(a.seq[:60], b.seq[:60]), diff(a.seq[60:], b.seq[60:])
+            score = J.few_distinct(k, k - shared, 96) * rule.mult_pow ** (rule.cdr3_normal_len * cd / 36)
+            if (score <= rule.max_score or shared >= rule.auto_shares) and 1 - cd / 36 / 2 >= rule.cdr3_identity and cd < rule.cdr3_mult * max(outside, 1):
+                linked.add((a.id, b.id))
+    got = {tuple(r) for r in Q.scored_pairs(Q.relatives(spark, sf)).collect()}
+    assert got == linked and 0 < len(linked) < len(rows) * 3 / 2
+    label = brute_components(sorted(linked))
+    for r in Q.j02(spark, sf).collect():
+        assert r.clonotype == label.get(r.id, r.id)
