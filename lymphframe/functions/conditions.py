@@ -46,6 +46,31 @@ def check_names(names: Iterable[str], known: Iterable[str]) -> None:
         raise ValueError(f"unknown variables: {', '.join(missing)}")
 
 
+def sequence_pattern(text: str, column: Column) -> Column:
+    """'a|b' of regular expressions that match the whole, and of 'SEQ~k' for k edits at most; a missing sequence matches nothing.
+
+    Bars within brackets belong to a regular expression.
+    """
+    near, whole = [], []
+    for part in re.findall(r"(?:\\.|\([^()]*\)|\[[^\]]*\]|[^|])+", text):
+        m = re.fullmatch(r"([A-Za-z ]+)~([0-9]+)", part)
+        if m:
+            near.append(F.levenshtein(column, F.lit(m.group(1)), int(m.group(2))) >= 0)
+        elif "~" in part:
+            raise ValueError(f"not a pattern: {part}")
+        else:
+            re.compile(part)
+            whole.append(part)
+    if not near and not whole:
+        raise ValueError("an empty pattern")
+    if whole:
+        near.insert(0, column.rlike(f"^(?:{'|'.join(whole)})$"))
+    out = near[0]
+    for c in near[1:]:
+        out = out | c
+    return F.coalesce(out, F.lit(False))
+
+
 def linear(text: str, known: Iterable[str], aggregate: Callable[[Column], Column] | None = None) -> Column:
     """The condition as a Column; with an aggregate, over a group's finite values, false where a variable has none."""
     terms, sign, bound = parse_linear(text)

@@ -7,10 +7,14 @@ the last filter that hit it winning where filters are switched off and applied a
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lymphframe.session import stage
+
 
 def binomial_tail(k: Column, n: Column, p: float) -> Column:
     """P(X >= k) for a binomial of n trials, as a column.
@@ -37,6 +41,83 @@ def drop(cells: DataFrame, fate: DataFrame | None, bad: DataFrame, name: str, ke
     return cells.join(bad, key, "left_anti"), row if fate is None else fate.unionByName(row)
 
 
+@dataclass(frozen=True)
+class Step:
+    """A filter of a chain: its label, the switch that turns it off and its rule.
+
+    The rule is a SQL condition on a cell's own columns, or a function from the cells that are left to
+    (cell) of those to remove.
+    """
+
+    label: str
+    switch: str
+    rule: str | Callable[[DataFrame], DataFrame]
+
+
+#: Switches that turn off every filter, or every one but the named.
+COMPOSITE = {"NALL": None, "NALL_CELL": "CELL", "NALL_GEX": "GEX"}
+
+
+def active(steps: Iterable[Step], off: Iterable[str] = ()) -> list[Step]:
+    """The steps that are left when switches are given; an unknown switch is an error."""
+    steps, off = list(steps), set(off)
+    unknown = off - set(COMPOSITE) - {s.switch for s in steps}
+    if unknown:
+        raise ValueError(f"unknown switches: {', '.join(sorted(unknown))}")
+    return [s for s in steps if s.switch not in off and all(s.label == COMPOSITE[o] for o in off & set(COMPOSITE))]
+
+
+def run_chain(cells: DataFrame, steps: Iterable[Step], off: Iterable[str] = (), key: str = "cell") -> DataFrame:
+    """All cells with a column `filter`: the label of the step that removed each, null for those that stay.
+
+    Steps see only what those before them left. Conditions on single cells take no shuffle and are
+    evaluated together; before a rule over groups the cells are staged, so that the plan reads a table
+    twice instead of growing twofold with each step. A group's verdict comes from an aggregate and is
+    joined back by key, never from a window, so a hot group isn't one task's work. No row is dropped:
+    a null key is met by conditions alone.
+    """
+    out = cells.withColumn("filter", F.lit(None).cast("string"))
+    for s in active(steps, off):
+        if isinstance(s.rule, str):
+            out = out.withColumn("filter", F.when(F.col("filter").isNull() & F.coalesce(F.expr(s.rule), F.lit(False)), s.label).otherwise(F.col("filter")))
+            continue
+        out = stage(out, "cells")
+        bad = s.rule(out.where("filter IS NULL")).select(key).distinct().withColumn("__bad", F.lit(True))
+        out = out.join(bad, key, "left").withColumn("filter", F.when(F.col("__bad"), s.label).otherwise(F.col("filter"))).drop("__bad")
+    return out
+
+
+def duplicated(group: list[str]) -> Callable[[DataFrame], DataFrame]:
+    """Rule: every cell that shares `group` with another."""
+    return lambda cells: cells.join(cells.groupBy(*group).agg(F.count("*").alias("__n")).where("__n > 1"), group, "left_semi")
+
+
+def outdone(group: str, top: str, total: str, times: float) -> Callable[[DataFrame], DataFrame]:
+    """Rule: cells of a group whose `total` some cell's `top` exceeds `times` over, where so many of them aren't chance."""
+
+    def rule(cells: DataFrame) -> DataFrame:
+        g = cells.groupBy(group).agg(F.max(top).alias("__top"))
+        marked = cells.join(g, group).withColumn("__low", F.col("__top") >= times * F.col(total))
+        n = marked.groupBy(group).agg(F.count("*").cast("int").alias("n"), F.count_if("__low").cast("int").alias("k")).where("n >= 2 AND k > 0")
+        n = n.where(binomial_tail(F.col("k"), F.col("n"), 0.1) < 0.01)
+        return marked.where("__low").join(n.select(group), group, "left_semi")
+
+    return rule
+
+
+def contaminants(signature: str, nchains: str, times: int = 20) -> Callable[[DataFrame], DataFrame]:
+    """Rule: cells of a two-chain signature that others sharing one of its chains outnumber `times` over, by sums by chain less the own share."""
+
+    def rule(cells: DataFrame) -> DataFrame:
+        g = cells.where(F.col(nchains) == 2).groupBy(signature).agg(F.count("*").alias("n"))
+        c = g.select(signature, "n", F.explode(F.array_distinct(F.split(signature, " "))).alias("chain"))
+        t = c.join(c.groupBy("chain").agg(F.sum("n").alias("all")), "chain").groupBy(signature).agg(F.min("n").alias("n"), F.sum(F.col("all") - F.col("n")).alias("others"))
+        bad = t.where((F.col("others") > 0) & (F.col("others") >= times * F.col("n"))).select(signature)
+        return cells.where(F.col(nchains) == 2).join(bad, signature, "left_semi")
+
+    return rule
+
+
 def cross(chains: DataFrame, sizes: DataFrame, sequence: str = "part", dataset: str = "dataset", limit: float = 1e-6, least_umis: int = 100) -> DataFrame:
     """Cells whose sequence occurs in one dataset only although its frequency n makes that unlikely: share of cells ** n <= limit.
 

@@ -6,7 +6,7 @@ import math
 from itertools import chain
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -165,3 +165,26 @@ def svg(circles: list[tuple[float, float, float, str]], size: int = 400) -> str:
     k = size / 2 / far
     body = "".join(f'<circle cx="{size / 2 + x * k:.2f}" cy="{size / 2 - y * k:.2f}" r="{r * k:.2f}" fill="{c}"/>' for x, y, r, c in circles)
     return f'<svg xmlns="http://www.w3.org/2000/svg" width="{size}" height="{size}">{body}</svg>'
+
+
+LAYOUT = "dataset long, barcode string, x double, y double"
+
+
+def save_layout(places: DataFrame, path: str) -> None:
+    """Write (dataset, barcode, x, y) as lines of four fields without a header, in order of dataset and barcode."""
+    places.select("dataset", "barcode", "x", "y").orderBy("dataset", "barcode").write.csv(path)
+
+
+def load_layout(cells: DataFrame, path: str) -> DataFrame:
+    """Cells (dataset, barcode) with the places of a saved layout; it must hold just these cells.
+
+    A line of other fields, another number of cells or a cell without a place is an error. A cell that
+    is saved twice has one of its places, the greatest.
+    """
+    saved = cells.sparkSession.read.schema(LAYOUT).option("mode", "FAILFAST").csv(path)
+    saved = saved.groupBy("dataset", "barcode").agg(F.max(F.struct("x", "y")).alias("at"))
+    n, m = saved.count(), cells.count()
+    if n != m:
+        raise ValueError(f"the layout holds {n} cells, these data {m}")
+    missing = F.raise_error(F.lit("the layout comes from other data"))
+    return cells.join(saved, ["dataset", "barcode"], "left").select("dataset", "barcode", *(F.when(F.col("at").isNull(), missing).otherwise(F.col(f"at.{c}")).alias(c) for c in "xy"))

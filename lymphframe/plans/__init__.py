@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lymphframe.plans import aggregates, files, functions, groups, more, noise, structures  # noqa: F401
+from lymphframe.plans import aggregates, chain, files, functions, groups, more, noise, structures  # noqa: F401
 from lymphframe.plans.registry import ORACLES, QUERIES
 
 

@@ -272,7 +272,7 @@ def p08(spark, d):
 @query("p09_cdr3_pattern", "SELECT DISTINCT p_name FROM part WHERE regexp_full_match(p_name, 'red .*|.*bolt') OR levenshtein(p_name, 'small rung') <= 2")
 def p09(spark, d):
     n = table(spark, d, "part").select("p_name").distinct()
-    return n.where(F.col("p_name").rlike("^(?:red .*|.*bolt)$") | (F.levenshtein("p_name", F.lit("small rung"), 2) >= 0))
+    return n.where(C.sequence_pattern("red .*|.*bolt|small rung~2", F.col("p_name")))
 
 
 @query("p10_segment_filters", W + M.CHAIN + " SELECT cell FROM chain GROUP BY cell HAVING bool_or(v_name IN ('Brand#1', 'Brand#2')) AND bool_or(j_name = 'PROMO') AND NOT bool_or(v_name = 'Brand#7')")
