@@ -99,3 +99,19 @@ def ordinals(groups: DataFrame) -> DataFrame:
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     first = F.broadcast(sizes.select("__part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("first")))
     return rows.join(first, "__part").select(*groups.columns, (F.col("first") + F.col("__row") + 1).alias("group_id"))
+
+
+def numbered_within(rows: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
+    """rows with `name`, each row's place from 0 within its group by `order`; ties are numbered in any order.
+
+    Like ordinals(): rows are sorted by ranges of (group, order), so a hot group is spread over tasks; the
+    least row number of each range's part of a group, a row a group and range, gives its first place.
+    """
+    rows = rows.withColumn("__group", F.col(group))
+    mark = F.monotonically_increasing_id()
+    x = stage(rows.orderBy("__group", *order).withColumn("__row", mark), "numbered").withColumn("__part", F.shiftright("__row", 33))
+    size = x.groupBy("__group", "__part").agg(F.count("*").alias("__n"), F.min("__row").alias("__low"))
+    before = Window.partitionBy("__group").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    first = size.select(F.col("__group").alias("__g"), F.col("__part").alias("__p"), (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__low")).alias("__first"))
+    out = x.join(first, F.col("__group").eqNullSafe(F.col("__g")) & (F.col("__part") == F.col("__p")))
+    return out.withColumn(name, F.col("__row") + F.col("__first")).drop("__group", "__row", "__part", "__g", "__p", "__first")

@@ -6,7 +6,7 @@ import math
 from itertools import chain
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -167,6 +167,13 @@ def svg(circles: list[tuple[float, float, float, str]], size: int = 400) -> str:
     return f'<svg xmlns="http://www.w3.org/2000/svg" width="{size}" height="{size}">{body}</svg>'
 
 
+def category_shades(cells: DataFrame, category: str, most: int) -> DataFrame:
+    """cells with `shade`: the place from 0 of their category by frequency, ties by name; `most` for those beyond the first `most`."""
+    top = cells.groupBy(category).agg(F.count("*").alias("__n")).orderBy(F.desc("__n"), category).limit(most)  # a top-k list
+    ranked = top.select(F.col(category).alias("__c"), (F.row_number().over(Window.orderBy(F.desc("__n"), category)) - 1).cast("long").alias("shade"))
+    return cells.join(F.broadcast(ranked), F.col(category).eqNullSafe(F.col("__c")), "left").drop("__c").withColumn("shade", F.coalesce("shade", F.lit(most).cast("long")))
+
+
 LAYOUT = "dataset long, barcode string, x double, y double"
 
 

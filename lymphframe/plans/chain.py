@@ -1,4 +1,4 @@
-"""The filters as one chain with switches, and what rests on it: K05, K15, K18, F30; requests P03; metrics A49; sinks S23, S25."""
+"""The filters as one chain with switches, K05, K15, K18 and F30; requests P03; segment filters P10 and P11; metrics A49; S23, S25 and S28."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from lymphframe.plans.more import REGIONS, long_amino
 from lymphframe.plans.noise import TAIL
 from lymphframe.plans.registry import query
 from lymphframe.session import stage_path, table
+from lymphframe.sources import convert
 from lymphframe.sources import mapped as M
 from lymphframe.sources import sinks
 
@@ -136,3 +137,50 @@ def s25(spark, d):
     path = stage_path(spark, "layout.csv")
     P.save_layout(o, path)
     return P.load_layout(o.select("dataset", "barcode"), path)
+
+
+@query("p10_segment_ids", "WITH t AS (SELECT l_orderkey AS cell, bool_or(l_partkey IN (3, 5, 8, 13)) AS has, bool_or(l_partkey = 21) AS barred FROM lineitem GROUP BY l_orderkey) SELECT cell FROM t WHERE has AND NOT barred")
+def p10n(spark, d):
+    """SEGN and NSEGN: cells with a segment of one of these ids and none of that; one pass over chains, no join."""
+    t = M.chains_plain(spark, d).groupBy("cell").agg(F.bool_or(F.col("part").isin(3, 5, 8, 13)).alias("has"), F.bool_or(F.col("part") == 21).alias("barred"))
+    return t.where("has AND NOT barred").select("cell")
+
+
+@query("p11_sequence_and_dataset", W + M.MEMBER + ", k AS (SELECT exact FROM mem GROUP BY exact HAVING bool_or(dataset IN ('BUILDING', 'MACHINERY')) AND bool_or(cell IN (SELECT l_orderkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_name = (SELECT min(p_name) FROM part)))) SELECT cell, exact FROM mem WHERE exact IN (SELECT exact FROM k)")
+def p11s(spark, d):
+    """VJ and DATASET keep whole clonotypes: one member with the sequence, one of a dataset."""
+    part = table(spark, d, "part")
+    least = part.agg(F.min("p_name").alias("p_name"))
+    named = part.join(F.broadcast(least), "p_name", "left_semi").select(F.col("p_partkey").alias("part"))  # one-row side
+    with_it = M.chains_plain(spark, d).join(named, "part", "left_semi").select("cell", F.lit(True).alias("has")).distinct()
+    m = M.members(spark, d).select("cell", "exact", "dataset")
+    k = m.join(with_it, "cell", "left").groupBy("exact").agg(F.bool_or(F.col("dataset").isin("BUILDING", "MACHINERY")).alias("in_set"), F.max("has").alias("has")).where("in_set AND has")
+    return m.join(k, "exact", "left_semi").select("cell", "exact")
+
+
+def contig_rows(spark, d):
+    """Line items as contig annotations, their part's derived sequence being the contig."""
+    line, part = table(spark, d, "lineitem"), table(spark, d, "part")
+    x = line.join(part, F.col("l_partkey") == F.col("p_partkey"))
+    feature = lambda kind, name: F.struct(F.struct(F.lit("IGH").alias("chain"), F.col(name).alias("gene_name"), F.lit(kind).alias("region_type")).alias("feature"))
+    return x.select(
+        F.concat(F.col("l_orderkey").cast("string"), F.lit("-1")).alias("barcode"), F.concat(F.col("l_orderkey").cast("string"), F.lit("-1_contig_"), F.col("l_linenumber").cast("string")).alias("contig_name"),
+        M.dna(F.col("p_name")).alias("sequence"), (F.col("l_linestatus") == "F").alias("is_cell"), F.lit(True).alias("high_confidence"), F.when(F.col("l_returnflag") != "N", True).alias("productive"), F.lit(None).cast("boolean").alias("full_length"),
+        F.col("p_name").alias("cdr3"), F.lit(None).cast("string").alias("cdr3_seq"), F.floor("l_extendedprice").alias("read_count"), F.col("l_quantity").cast("long").alias("umi_count"), F.lit("x").alias("dataset"),
+        F.array(feature("L-REGION+V-REGION", "p_brand"), feature("J-REGION", "p_type")).alias("annotations"),
+    )
+
+
+CONTIGS = "WITH f AS (SELECT l_orderkey || '-x' AS barcode, l_linestatus = 'F' AS is_cell, l_orderkey || '-x_contig_' || l_linenumber AS contig_id, p_brand AS v_gene, p_type AS j_gene, l_returnflag <> 'N' AS productive, p_name AS cdr3, CAST(floor(l_extendedprice) AS BIGINT) AS reads, CAST(l_quantity AS BIGINT) AS umis, " + M.DNA_SQL + " AS seq FROM lineitem JOIN part ON l_partkey = p_partkey)"
+
+
+@query("s28_filtered_from_json", CONTIGS + " SELECT barcode, is_cell, contig_id, TRUE AS high_confidence, 96 AS length, 'IGH' AS chain, v_gene, '' AS d_gene, j_gene, '' AS c_gene, FALSE AS full_length, productive, cdr3, '' AS cdr3_nt, reads, umis, '' AS raw_clonotype_id, '' AS raw_consensus_id, seq FROM f")
+def s28f(spark, d):
+    return convert.filtered_from_annotations(contig_rows(spark, d))
+
+
+@query("s28_json_from_filtered", CONTIGS + """ SELECT '{"barcode":"' || barcode || '","contig_name":"' || contig_id || '","is_cell":' || is_cell || ',"high_confidence":true,"productive":' || productive || ',"read_count":' || reads || ',"umi_count":' || umis || ',"sequence":"' || seq || '","quals":"' || repeat(']', 96) || '"}' AS record FROM (SELECT * REPLACE (min(seq) OVER (PARTITION BY contig_id) AS seq) FROM f)""")
+def s28j(spark, d):
+    """The filtered table and its sequences, turned back into annotations; a contig that stands twice meets its one sequence."""
+    f = convert.filtered_from_annotations(contig_rows(spark, d))
+    return convert.annotations_from_filtered(f.drop("seq"), f.groupBy("contig_id").agg(F.min("seq").alias("seq")))

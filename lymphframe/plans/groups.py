@@ -19,8 +19,8 @@ W = "WITH "
 
 
 def keyed(name, value_sql, value, only_heavy, names=True, empty_alone=True):
-    """A key of the ordered names of a cell's (heavy) chains."""
-    pick = " FILTER (heavy)" if only_heavy else ""
+    """A key of the ordered names of a cell's chains: all (False), the heavy (True) or the light ones ("light")."""
+    pick = " FILTER (NOT heavy)" if only_heavy == "light" else " FILTER (heavy)" if only_heavy else ""
     own = "'#' || cell" if empty_alone else "''"
     sql = W + M.CHAIN + f", k AS (SELECT cell, coalesce(string_agg({value_sql}, '|' ORDER BY {value_sql}){pick}, '') AS key, count(*) AS size FROM chain GROUP BY cell), g AS (SELECT cell AS id, CASE WHEN key = '' THEN {own} ELSE key END AS group_key, size FROM k) SELECT id, group_key, CAST(sum(size) OVER (PARTITION BY group_key) AS BIGINT) AS group_n FROM g"
 
@@ -29,7 +29,7 @@ def keyed(name, value_sql, value, only_heavy, names=True, empty_alone=True):
         if names:
             part = table(spark, d, "part").select(F.col("p_partkey").alias("part"), F.col("p_brand").alias("v_name"), F.col("p_type").alias("j_name"), F.col("p_name").alias("name"), (F.col("p_size") % 5).alias("d"))
             c = c.join(part, "part")
-        v = F.when(F.col("heavy"), value()) if only_heavy else value()
+        v = F.when(~F.col("heavy") if only_heavy == "light" else F.col("heavy"), value()) if only_heavy else value()
         k = c.groupBy("cell").agg(F.array_join(F.sort_array(F.collect_list(v)), "|").alias("key"), F.count("*").alias("size"))
         return G.keyed_groups(k, "cell", F.col("key"), F.col("size"), empty_alone)
 
@@ -49,6 +49,7 @@ keyed("g05_vdj_heavy_refname", "v_name || CAST(part % 5 AS VARCHAR) || j_name",
 keyed("g06_len", "CAST(heavy AS VARCHAR) || ':' || length(name)", lambda: F.concat(F.col("heavy").cast("string"), F.lit(":"), F.length("name").cast("string")), False)
 keyed("g07_cdr3_len", "kind || length(name) // 3", lambda: F.concat("kind", F.floor(F.length("name") / 3).cast("string")), False)
 keyed("g08_cdr3_heavy_len", "CAST(length(name) AS VARCHAR)", lambda: F.length("name").cast("string"), True, empty_alone=False)
+keyed("g08_cdr3_light_len", "CAST(length(name) AS VARCHAR)", lambda: F.length("name").cast("string"), "light", empty_alone=False)
 
 CLOSURE = """, reach AS (SELECT src AS a, src AS b FROM both_ UNION SELECT r.a, e.dst FROM reach r JOIN both_ e ON r.b = e.src), low AS (SELECT a, min(b) AS root FROM reach GROUP BY a)
   SELECT i.id, coalesce(least(low.root, i.id), i.id) AS root FROM items i LEFT JOIN low ON low.a = i.id"""

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lymphframe.functions import align as A
@@ -117,8 +116,7 @@ def t04(spark, d):
 
 @query("v01_honeycomb")
 def v01(spark, d):
-    m = M.signatures(spark, d)
-    k = m.withColumn("k", F.row_number().over(Window.partitionBy("exact").orderBy("cell")) - 1)
+    k = G.numbered_within(M.signatures(spark, d), "exact", ["cell"], "k")
     x, y = P.hex_columns(F.col("k"))
     return k.select("exact", "cell", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
 
@@ -130,6 +128,14 @@ def v02(spark, d):
     return s.crossJoin(F.broadcast(m)).select("cell", P.scaled(F.col("umi"), F.col("lo"), F.col("hi")).alias("shade"))  # one row
 
 
+@query("v02_category_colours", W + M.MEMBER + ", h AS (SELECT cell, min(c_name) AS isotype FROM plain WHERE heavy GROUP BY cell), x AS (SELECT mem.cell, dataset || coalesce(isotype, '') AS category, nchains = 2 AS mark FROM mem LEFT JOIN h USING (cell)), c AS (SELECT category, row_number() OVER (ORDER BY count(*) DESC, category) - 1 AS k FROM x GROUP BY category) SELECT cell, least(k, 6) AS shade, mark FROM x JOIN c USING (category)")
+def v02c(spark, d):
+    """Cells by dataset and isotype, the six most frequent of them in colours of their own, and whether each is marked."""
+    h = M.chains_plain(spark, d).where("heavy").groupBy("cell").agg(F.min("c_name").alias("isotype"))
+    x = M.members(spark, d).join(h, "cell", "left").select("cell", F.concat("dataset", F.coalesce("isotype", F.lit(""))).alias("category"), (F.col("nchains") == 2).alias("mark"))
+    return P.category_shades(x, "category", 6).select("cell", "shade", "mark")
+
+
 @query("v05_log_points", W + M.SIGNATURE + " SELECT exact, floor(log10(CAST(sum(umi) AS DOUBLE)) * 1000) AS x_milli, floor(log10(CAST(sum(reads) AS DOUBLE)) * 1000) AS y_milli FROM sig GROUP BY exact HAVING sum(umi) > 0 AND sum(reads) > 0")
 def v05(spark, d):
     """Points on logarithmic axes; values that have no logarithm are dropped."""

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lymphframe.functions import amino as A
 from lymphframe.functions import conditions as C
 from lymphframe.operators import filters as K
+from lymphframe.operators import grouping as G
 from lymphframe.operators import plots as P
-from lymphframe.sources import sinks
+from lymphframe.sources import convert, sinks
+from lymphframe.sources import readers as R
 
 
 def ran(spark, rows, steps, off=()):
@@ -101,3 +104,29 @@ def test_peer_groups(spark):
     c = spark.createDataFrame([(1, "x"), (2, "z")], "id int, g string")
     assert sorted(r.line for r in sinks.peer_lines(c, g, ["id"], "g").collect()) == ["1,0,C,2", "1,1,A,1", "1,1,C,1"]
     assert sorted(r.line for r in sinks.peer_lines(c, g, ["id"], "g", readable=True).collect()) == ["1,0,C=2", "1,1,A=1:C=1"]
+
+
+def test_numbering_within_groups(spark):
+    hot = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 7 == 0, None).otherwise(F.concat(F.lit("g"), (F.col("id") % 11).cast("string"))).alias("g"), (F.col("id") * 7919 % 3001).alias("v"))
+    got = G.numbered_within(hot.repartition(9), "g", ["v"], "k")
+    want = hot.withColumn("k", F.row_number().over(Window.partitionBy("g").orderBy("v")).cast("long") - 1)
+    assert got.columns == ["g", "v", "k"]
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert G.numbered_within(hot.limit(0), "g", ["v"], "k").count() == 0
+
+
+def test_category_shades(spark):
+    df = spark.createDataFrame([("a",), ("a",), ("b",), ("c",), (None,), (None,), (None,)], "c string")
+    assert sorted((r.c or "", r.shade) for r in P.category_shades(df, "c", 2).collect()) == [("", 0)] * 3 + [("a", 1)] * 2 + [("b", 2), ("c", 2)]
+
+
+def test_inline_metadata(spark):
+    rows = R.metadata_inline(spark, "bcr,donor;x:runs/a,d1;runs/b,d2").collect()
+    assert [(r.dataset, r.path, r.donor, r.origin) for r in rows] == [("x", "runs/a", "d1", None), ("b", "runs/b", "d2", None)]
+    with pytest.raises(ValueError, match="differs"):
+        R.metadata_inline(spark, "bcr,donor;a")
+
+
+def test_shrunk_annotations(spark):
+    df = spark.createDataFrame([("b", "ACGT", "T", 3)], "barcode string, sequence string, aa_sequence string, more int")
+    assert convert.shrunk(df).first().record == '{"barcode":"b","sequence":"ACGT","more":3}'
