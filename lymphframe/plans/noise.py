@@ -12,6 +12,9 @@ from lymphframe.sources import mapped as M
 
 W = "WITH "
 
+#: P(Binomial(g.n, 0.1) >= g.k)
+TAIL = "list_sum(list_transform(range(CAST(g.k AS BIGINT), g.n + 1), lambda i: exp(lgamma(g.n + 1) - lgamma(i + 1) - lgamma(g.n - i + 1) + i * ln(0.1) + (g.n - i) * ln(0.9))))"
+
 
 @query("k01_cell_filter", "SELECT o_orderkey AS cell FROM orders WHERE o_orderstatus <> 'P' AND o_totalprice >= 1000")
 def k01(spark, d):
@@ -61,7 +64,7 @@ def k09(spark, d):
     return s.where("nchains = 1").join(g, "exact").select("cell", key.alias("clonotype"))
 
 
-@query("k10_umi_filter")
+@query("k10_umi_filter", W + M.MEMBER + ", p AS (SELECT dataset, count(*) AS n, quantile_cont(umi, 0.1) AS p10, median(umi) AS p50 FROM mem WHERE nchains = 2 GROUP BY dataset), b AS (SELECT dataset, least(p10, p50 - 4 * sqrt(p50)) AS umin FROM p WHERE n >= 20), m AS (SELECT mem.cell, mem.exact, mem.umi, coalesce(mem.umi < b.umin, FALSE) AS low FROM mem LEFT JOIN b USING (dataset)), g AS (SELECT exact, count(*) AS n, count(*) FILTER (low) AS k FROM m GROUP BY exact), x AS (SELECT m.cell, g.n, g.k, row_number() OVER (PARTITION BY m.exact ORDER BY m.umi DESC, m.cell) AS place FROM m JOIN g USING (exact) WHERE m.low AND g.n >= 2 AND g.k > 0 AND " + TAIL + " < 0.01) SELECT cell FROM x WHERE k < n OR place > 1")
 def k10(spark, d):
     m = M.members(spark, d)
     return K.low_umis(m, K.baseline(m.where("nchains = 2"), "dataset", "umi"), "exact", "dataset", "umi")
@@ -81,9 +84,6 @@ def k11(spark, d):
     return s.join(g, "exact").where("top >= 3 * umi").select("cell")
 
 
-TAIL = "list_sum(list_transform(range(CAST(g.k AS BIGINT), g.n + 1), lambda i: exp(lgamma(g.n + 1) - lgamma(i + 1) - lgamma(g.n - i + 1) + i * ln(0.1) + (g.n - i) * ln(0.9))))"
-
-
 @query("k11_umi_ratio_by_chance", W + M.SIGNATURE + ", x AS (SELECT cell, max(umi) AS top FROM plain GROUP BY cell), t AS (SELECT s.exact, max(x.top) AS top FROM sig s JOIN x USING (cell) GROUP BY s.exact), m AS (SELECT s.cell, s.exact, t.top >= 2 * s.umi AS low FROM sig s JOIN t USING (exact)), g AS (SELECT exact, count(*) AS n, count(*) FILTER (low) AS k FROM m GROUP BY exact) SELECT m.cell FROM m JOIN g USING (exact) WHERE m.low AND g.n >= 2 AND g.k > 0 AND " + TAIL + " < 0.01")
 def k11b(spark, d):
     """Cells that another cell of their signature outdoes, here twofold, where so many of them aren't chance."""

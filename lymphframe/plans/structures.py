@@ -114,7 +114,7 @@ def t04(spark, d):
     return T.clonotype_trees(tree_members(spark, d), "clonotype", "name", "seq").select("clonotype", "newick").distinct()
 
 
-@query("v01_honeycomb")
+@query("v01_honeycomb", W + M.SIGNATURE + ", n AS (SELECT exact, cell, CAST(row_number() OVER (PARTITION BY exact ORDER BY cell) - 1 AS DOUBLE) AS k FROM sig), r AS (SELECT *, greatest(1, ceil((sqrt(12 * k + 9) - 3) / 6 - 1e-12::DOUBLE)) AS ring FROM n), p AS (SELECT *, k - 3 * ring * (ring - 1) - 1 AS past FROM r), h AS (SELECT *, pi() / 3 * floor(past / ring) AS a, past / ring - floor(past / ring) AS t FROM p) SELECT exact, cell, " + ", ".join(f"CASE WHEN k = 0 THEN 0 ELSE round(ring * ({f}(a) + ({f}(a + pi() / 3) - {f}(a)) * t), 6) + 0 END AS {c}" for f, c in (("cos", "x"), ("sin", "y"))) + " FROM h")
 def v01(spark, d):
     k = G.numbered_within(M.signatures(spark, d), "exact", ["cell"], "k")
     x, y = P.hex_columns(F.col("k"))
