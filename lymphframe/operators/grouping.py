@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,33 +87,48 @@ def nearest_groups(items: DataFrame, centres: DataFrame, id_col: str, block: lis
     return found
 
 
+def fresh(taken: Iterable[str], *wanted: str) -> list[str]:
+    """Names like the wanted ones that are not taken, whatever the case of their letters."""
+    low, out = {c.lower() for c in taken}, []
+    for w in wanted:
+        while w.lower() in low:
+            w += "_"
+        low.add(w.lower())
+        out.append(w)
+    return out
+
+
 def ordinals(groups: DataFrame) -> DataFrame:
     """groups with group_id, its place from 1 by n, largest first, ties by group_key.
 
     Rows are sorted by ranges, numbered within each range and written once; the ranges' sizes, a row
     a partition, then give each its first number. No task holds more than its range.
     """
+    mark, part, first = fresh([*groups.columns, "group_id"], "row", "part", "first")
     number = F.monotonically_increasing_id()  # the partition's number above 33 bits of the row's
-    rows = stage(groups.orderBy(F.desc("n"), "group_key").withColumn("__row", number), "ordered")
-    part, row = F.shiftright("__row", 33), F.col("__row").bitwiseAND(F.lit((1 << 33) - 1))
-    rows = rows.select(*groups.columns, part.alias("__part"), row.alias("__row"))
-    sizes = rows.groupBy("__part").agg(F.count("*").alias("c"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    first = F.broadcast(sizes.select("__part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("first")))
-    return rows.join(first, "__part").select(*groups.columns, (F.col("first") + F.col("__row") + 1).alias("group_id"))
+    rows = stage(groups.orderBy(F.desc("n"), "group_key").withColumn(mark, number), "ordered")
+    rows = rows.withColumn(part, F.shiftright(mark, 33)).withColumn(mark, F.col(mark).bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes = rows.groupBy(part).agg(F.count("*").alias(first))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    start = F.broadcast(sizes.select(part, F.coalesce(F.sum(first).over(before), F.lit(0)).alias(first)))
+    return rows.join(start, part).select(*groups.columns, (F.col(first) + F.col(mark) + 1).alias("group_id"))
 
 
-def numbered_within(rows: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
+def numbered_within(rows: DataFrame, group: str, order: list[str], name: str, total: str | None = None) -> DataFrame:
     """rows with `name`, each row's place from 0 within its group by `order`; ties are numbered in any order.
 
     Like ordinals(): rows are sorted by ranges of (group, order), so a hot group is spread over tasks; the
     least row number of each range's part of a group, a row a group and range, gives its first place.
+    total: name of a further column, the number of rows of the group. Null groups are a group; helper
+    columns take names that rows doesn't have, so no column of rows is lost but one called as `name` or `total`.
     """
-    rows = rows.withColumn("__group", F.col(group))
-    mark = F.monotonically_increasing_id()
-    x = stage(rows.orderBy("__group", *order).withColumn("__row", mark), "numbered").withColumn("__part", F.shiftright("__row", 33))
-    size = x.groupBy("__group", "__part").agg(F.count("*").alias("__n"), F.min("__row").alias("__low"))
-    before = Window.partitionBy("__group").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    first = size.select(F.col("__group").alias("__g"), F.col("__part").alias("__p"), (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__low")).alias("__first"))
-    out = x.join(first, F.col("__group").eqNullSafe(F.col("__g")) & (F.col("__part") == F.col("__p")))
-    return out.withColumn(name, F.col("__row") + F.col("__first")).drop("__group", "__row", "__part", "__g", "__p", "__first")
+    named = [name] if total is None else [name, total]
+    rows = rows.drop(*named)
+    mark, part, size, low, first, g, p = fresh([*rows.columns, *named], "row", "part", "size", "low", "first", "g", "p")
+    x = stage(rows.orderBy(group, *order).withColumn(mark, F.monotonically_increasing_id()), "numbered").withColumn(part, F.shiftright(mark, 33))
+    sizes = x.groupBy(F.col(group).alias(g), F.col(part).alias(p)).agg(F.count("*").alias(size), F.min(mark).alias(low))
+    whole = Window.partitionBy(g)
+    before = whole.orderBy(p).rowsBetween(Window.unboundedPreceding, -1)
+    start = sizes.select(g, p, (F.coalesce(F.sum(size).over(before), F.lit(0)) - F.col(low)).alias(first), F.sum(size).over(whole).alias(size))
+    out = x.join(start, x[group].eqNullSafe(F.col(g)) & (F.col(part) == F.col(p)))
+    return out.select(*(x[c] for c in rows.columns), (F.col(mark) + F.col(first)).alias(name), *([F.col(size).alias(total)] if total else []))
