@@ -1,8 +1,8 @@
-"""Corpus operators for training-data pipelines: ten methods over documents and embeddings."""
+"""Corpus operators for training-data pipelines: thirteen methods over documents, pages and embeddings."""
 
 from __future__ import annotations
 
-from lymphframe.llm import packing, pii, quality_classifier, quality_rules, sentencepiece_codec, simhash, suffix_dedup, token_counts, topk, toxicity
+from lymphframe.llm import filter_audit, merkle, packing, pii, quality_classifier, quality_rules, sentencepiece_codec, simhash, suffix_dedup, token_counts, topk, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -17,9 +17,17 @@ def queries() -> dict:
         token_counts.op8_token_counts,
         quality_classifier.op9_quality_classifier,
         topk.op10_exact_top_k,
+        filter_audit.op11_filter_audit,
+        url_filter.op12_url_filter,
+        merkle.op13_merkle_manifest,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_top_k": topk.ORACLE}
+    return {
+        "op10_exact_top_k": topk.ORACLE,
+        "op11_filter_audit": filter_audit.ORACLE,
+        "op12_url_filter": url_filter.ORACLE,
+        "op13_merkle_manifest": merkle.ORACLE,
+    }

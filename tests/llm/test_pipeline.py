@@ -14,7 +14,7 @@ def test_registered():
     import __spark_entry__ as E
 
     q = E.queries()
-    assert [n.split("_")[0] for n in q if n.startswith("op")] == [f"op{k}" for k in range(1, 11)] and "pipeline" in q
+    assert [n.split("_")[0] for n in q if n.startswith("op")] == [f"op{k}" for k in range(1, 14)] and "pipeline" in q
     assert E.oracle_sql().keys() <= q.keys()
     assert [n for n, _ in C.STAGES] == ["toxicity", "simhash_near_dedup", "suffix_array_dedup", "pii", "best_fit_packing"]
 
