@@ -1,19 +1,11 @@
-"""Alignment-based functions, for Arrow-batched use over distinct sequences.
-
-Scoring of D segments: fixed values of the published scheme, match 2, mismatch -2, gap -12 to open
-and -2 to go on (-4 and -1 at segment borders), plus 2.2 times a bit score.
-"""
+"""Edit scripts between two sequences, for Arrow-batched use over distinct sequences."""
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-MATCH, MISMATCH, OPEN, EXTEND, BIT_WEIGHT = 2, -2, -12, -2, 2.2
-
 
 def edit_script(a: str, b: str) -> tuple[int, str]:
     """(edits, script): the least edits from b to a; 'S3' substitutes place 3 of b, 'D3:2' deletes two from 3, 'I3:2' inserts two before 3; joined by •."""
@@ -74,43 +66,6 @@ def cigar(a: str, b: str) -> str:
     return "".join(f"{k}{c}" for c, k in ops)
 
 
-def bit_score(n: int, mismatches: int) -> float:
-    """-log2 of the chance that random bases of length n match with at most so many mismatches."""
-    if n <= 0:
-        return 0.0
-    p = sum(math.comb(n, k) * 3**k for k in range(mismatches + 1)) / 4**n
-    return -math.log2(p)
-
-
-def segment_score(junction: str, segment: str) -> float:
-    """Best ungapped placement of the segment in the junction, scored by matches, mismatches and the bit score."""
-    best = 0.0
-    for shift in range(-len(segment) + 1, len(junction)):
-        a, b = max(0, shift), max(0, -shift)
-        k = min(len(junction) - a, len(segment) - b)
-        miss = sum(x != y for x, y in zip(junction[a : a + k], segment[b : b + k]))
-        best = max(best, (k - miss) * MATCH + miss * MISMATCH + BIT_WEIGHT * bit_score(k, miss))
-    return best
-
-
-def best_segments(junction: str, segments: dict[str, str]) -> tuple[str, float, str, float]:
-    """(first, score, second, score) among no segment (''), one and two of them ('a:b', the junction shared out in the middle)."""
-    one = {n: segment_score(junction, s) for n, s in segments.items()}
-    half = len(junction) // 2
-    left, right = ({n: segment_score(j, s) for n, s in segments.items()} for j in (junction[:half], junction[half:]))
-    scores = {"": 0.0} | one | {f"{a}:{b}": left[a] + right[b] + OPEN for a in segments for b in segments}
-    ranked = sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:2]
-    return ranked[0][0], ranked[0][1], ranked[1][0], ranked[1][1]
-
-
-def best_segments_udf(segments: dict[str, str]):
-    @F.pandas_udf("d1_name string, d1_score double, d2_name string, d2_score double")
-    def f(junction: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([best_segments(j, segments) for j in junction], columns=["d1_name", "d1_score", "d2_name", "d2_score"])
-
-    return f
-
-
 def edit_udf():
     @F.pandas_udf("comp long, edit string, cigar string")
     def f(a: pd.Series, b: pd.Series) -> pd.DataFrame:
@@ -118,32 +73,3 @@ def edit_udf():
         return pd.DataFrame(rows, columns=["comp", "edit", "cigar"])
 
     return f
-
-
-def alignment_text(a: str, b: str) -> str:
-    """Two lines, gaps as '-', with a middle line that marks differences."""
-    _, script = edit_script(a, b)
-    gaps = {"I": {}, "D": {}}
-    for s in filter(None, script.split("•")):
-        if s[0] in gaps:
-            at, _, k = s[1:].partition(":")
-            gaps[s[0]][int(at)] = int(k or 1)
-    top, low, i, j = [], [], 0, 0
-    while j <= len(b):
-        k = gaps["I"].get(j, 0)
-        top.append(a[i : i + k])
-        low.append("-" * k)
-        i += k
-        k = gaps["D"].get(j, 0)
-        if k:
-            top.append("-" * k)
-            low.append(b[j : j + k])
-            j += k
-            continue
-        if j < len(b):
-            top.append(a[i])
-            low.append(b[j])
-            i += 1
-        j += 1
-    t, u = "".join(top), "".join(low)
-    return t + "\n" + "".join(" " if x == y else "*" for x, y in zip(t, u)) + "\n" + u

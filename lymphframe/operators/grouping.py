@@ -98,6 +98,12 @@ def fresh(taken: Iterable[str], *wanted: str) -> list[str]:
     return out
 
 
+def spread(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """rows dealt by a hash of `key` to tasks of about `most` rows, for work that takes milliseconds a row."""
+    n = rows.count()
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // most)), key)
+
+
 def ordinals(groups: DataFrame) -> DataFrame:
     """groups with group_id, its place from 1 by n, largest first, ties by group_key.
 

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from lymphframe.functions import align as A
+from lymphframe.functions import junction as N
 from lymphframe.functions import sequence as S
 from lymphframe.operators import clonotype as C
 from lymphframe.operators import grouping as G
@@ -26,14 +27,28 @@ def f15(spark, d):
     return x.select("name", "e.comp", "e.edit", "e.cigar")
 
 
-#: Three stand-in D segments for the mapped tables.
-SEGMENTS = {"D1": "GGTACAACTGG", "D2": "AGGATATTGTAGTGG", "D3": "GTATTACGATTTTTGG"}
+def d_segments(spark, d):
+    """The D genes by name: a reference set, refused if it is larger than any."""
+    found = M.segment_table(spark, d).orderBy("name").limit(N.MOST_SEGMENTS + 1).collect()
+    N.choices(out := {r.name: r.seq for r in found})
+    return out
+
+
+def aligned_junctions(spark, d):
+    x = G.spread(M.junctions(spark, d), "id", 1000)
+    return x.withColumn("b", N.aligned_udf(d_segments(spark, d))("seq", "v", "j"))
 
 
 @query("f17_best_segments")
 def f17(spark, d):
-    x = M.segments(spark, d).withColumn("b", A.best_segments_udf(SEGMENTS)(F.substring("seq", 61, 36)))
-    return x.select("name", "b.d1_name", "b.d1_score", "b.d2_name", "b.d2_score", (F.col("b.d1_score") - F.col("b.d2_score")).alias("d_delta"))
+    """The best and second best of no, one and two D segments for each heavy junction, with scores."""
+    return aligned_junctions(spark, d).select("id", F.when(F.col("b.d1_name") == "", "none").otherwise(F.col("b.d1_name")).alias("d1_name"), "b.d1_score", F.when(F.col("b.d2_name") == "", "none").otherwise(F.col("b.d2_name")).alias("d2_name"), "b.d2_score", (F.col("b.d1_score") - F.col("b.d2_score")).alias("d_delta"))
+
+
+@query("f18_junction_complexity")
+def f18c(spark, d):
+    """Complexity, inserted, matching and substituted bases of each heavy junction against its best segments."""
+    return aligned_junctions(spark, d).select("id", "b.hcomp", "b.jun_ins", "b.jun_mat", "b.jun_sub")
 
 
 @query("f18_junction_counts", W + M.SEGMENT + ", ref AS (SELECT length(name) AS len, min(seq) AS r FROM seg GROUP BY 1) SELECT name, CAST(hamming(substr(seq, 61, 36), substr(r, 61, 36)) AS BIGINT) AS jun_sub, 36 - CAST(hamming(substr(seq, 61, 36), substr(r, 61, 36)) AS BIGINT) AS jun_mat FROM seg JOIN ref ON length(name) = len")
@@ -44,11 +59,26 @@ def f18(spark, d):
 
 @query("f33_visual_alignment")
 def f33(spark, d):
-    @F.pandas_udf("string")
-    def text(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([A.alignment_text(x, y) for x, y in zip(a, b)])
+    """Each whole V..J sequence printed against the reference of its best D segments, 100 letters a line."""
+    x = G.spread(M.heavy_chains(spark, d), "id", 200)
+    return x.select("id", N.pictures_udf(d_segments(spark, d))("seq", "v", "j", F.lit(0)).alias("alignment"))
+
+
+def printed_junctions(spark, d, second):
+    x = G.spread(M.junctions(spark, d), "id", 1000)
+    return x.select("id", N.pictures_udf(d_segments(spark, d), 1000, second, S.CODE)("seq", "v", "j", "frame").alias("alignment"))
+
+
+@query("f33_junction_alignment")
+def f33j(spark, d):
+    """The junction alone, with residues over the middle bases of their codons."""
+    return printed_junctions(spark, d, False)
+
 
-    return referenced(spark, d).select("name", text(F.substring("seq", 61, 36), F.substring("r", 61, 36)).alias("alignment"))
+@query("f33_junction_alignment_2nd")
+def f33j2(spark, d):
+    """The same against the second best D segments."""
+    return printed_junctions(spark, d, True)
 
 
 @query("r02_chance_of_shares")

@@ -116,3 +116,39 @@ def segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 SEGMENT = f"seg AS (SELECT DISTINCT p_name AS name, {DNA_SQL} AS seq FROM part)"
+
+
+def segment_table(spark: SparkSession, d: str) -> DataFrame:
+    """(name, seq): D segments of 11 to 31 letters, one a distinct size."""
+    return table(spark, d, "part").select(F.concat(F.lit("D"), F.col("p_size").cast("string")).alias("name")).distinct().select("name", _segment(F.col("name")).alias("seq"))
+
+
+def _segment(name: Column) -> Column:
+    return F.substr(dna(name), F.lit(1), (F.pmod(F.xxhash64(name), F.lit(21)) + 11).cast("int"))
+
+
+def heavy_chains(spark: SparkSession, d: str) -> DataFrame:
+    """(id, v_name, j_name, v, j, seq): recombined chains, one a part.
+
+    V is 96 letters of the brand, J 40 of the type. V's end, J's start and both ends of a D segment,
+    that of the part's size, are trimmed, up to five letters stand between segments, one part in seven
+    has no D, one in eleven two, and three places are mutated.
+    """
+    key = lambda k, n: F.pmod(F.xxhash64("p_partkey", F.lit(k)), F.lit(n)).cast("int")
+    one, letters = F.lit(1), dna(F.concat(F.col("p_partkey").cast("string"), F.lit("N")))
+    x = table(spark, d, "part").select("p_partkey", "p_brand", "p_type", F.concat(F.lit("D"), F.col("p_size").cast("string")).alias("name"), dna(F.concat("p_brand", F.lit("V"))).alias("v"), F.substr(dna(F.concat("p_type", F.lit("J"))), one, F.lit(40)).alias("j"))
+    whole = _segment(F.col("name"))
+    segment = F.substr(whole, one + key(3, 4), F.length(whole) - key(3, 4) - key(4, 4))
+    middle = F.when(key(5, 7) == 0, "").when(key(5, 11) == 1, F.concat(segment, F.substr(letters, F.lit(40), key(6, 4)), segment)).otherwise(segment)
+    seq = F.concat(F.substr(F.col("v"), one, F.lit(96) - key(1, 5)), F.substr(letters, one, key(2, 6)), middle, F.substr(letters, F.lit(20), key(7, 6)), F.substr(F.col("j"), one + key(8, 4), F.lit(40)))
+    x = x.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("v_name"), F.col("p_type").alias("j_name"), "v", "j", seq.alias("seq"))
+    for k in range(3):
+        at = (F.pmod(F.xxhash64("id", F.lit(20 + k)), F.length("seq").cast("long")) + 1).cast("int")
+        x = x.withColumn("seq", F.overlay("seq", F.translate(F.substr(F.col("seq"), at, one), "ACGT", "CGTA"), at))
+    return x
+
+
+def junctions(spark: SparkSession, d: str) -> DataFrame:
+    """(id, seq, v, j, frame): the junctions of heavy_chains() with the V and J letters beside them; frame: place of the first base in its codon."""
+    x = heavy_chains(spark, d)
+    return x.select("id", F.substr("seq", F.lit(83), F.length("seq") - F.lit(102)).alias("seq"), F.substring("v", 83, 14).alias("v"), F.substring("j", 1, 20).alias("j"), F.lit(82 % 3).alias("frame"))

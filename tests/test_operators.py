@@ -116,15 +116,6 @@ def test_edit_scripts():
 
         ops = re.findall(r"(\d+)([MID])", A.cigar(a, b))
         assert sum(int(k) for k, c in ops if c in "MI") == len(a) and sum(int(k) for k, c in ops if c in "MD") == len(b)
-        top, _, low = A.alignment_text(a, b).split("\n")
-        assert top.replace("-", "") == a and low.replace("-", "") == b and len(top) == len(low)
-
-
-def test_segment_scores():
-    s = {"D1": "GGTACAACTGG", "D2": "AAAAAAAA"}
-    one, score, two, second = A.best_segments("CCGGTACAACTGGCC", s)
-    assert one.startswith("D1") and score >= second
-    assert A.bit_score(4, 0) == pytest.approx(8.0) and A.bit_score(0, 0) == 0
 
 
 def test_few_distinct_against_enumeration():
@@ -424,24 +415,6 @@ def test_region_starts_by_motifs(spark):
             assert kappa[got[kappa][2] :].startswith("WYQQKPG") and got[kappa][0] == kappa.index("DIQMTQ")
 
 
-def test_segment_scores_by_every_placement():
-    """Each way to lay the segment along the junction, letter by letter."""
-    import random
-
-    r = random.Random(7)
-    for _ in range(60):
-        junction, segment = ("".join(r.choice("ACGT") for _ in range(r.randint(1, 14))) for _ in range(2))
-        best = 0.0
-        for offset in range(-len(segment) + 1, len(junction)):
-            pairs = [(junction[i], segment[i - offset]) for i in range(len(junction)) if 0 <= i - offset < len(segment)]
-            miss = sum(a != b for a, b in pairs)
-            chance = sum(math.comb(len(pairs), k) * 0.75**k * 0.25 ** (len(pairs) - k) for k in range(miss + 1))
-            best = max(best, A.MATCH * (len(pairs) - miss) + A.MISMATCH * miss - A.BIT_WEIGHT * math.log2(chance))
-        assert A.segment_score(junction, segment) == pytest.approx(best)
-    one, two = {"D1": "GGTACAACTGG", "D2": "AGGATATTGTAGTGG"}, "GGTACAACTGG"
-    assert A.best_segments(two, one)[0] == "D1" and A.best_segments("", one)[0] == ""
-
-
 def test_text_tree_and_clustal_by_example():
     from lymphframe.sources import sinks
 
