@@ -6,34 +6,17 @@ the last filter that hit it winning where filters are switched off and applied a
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lymphframe.functions.stats import binomial_tail
+from lymphframe.operators.grouping import fresh
 from lymphframe.session import stage
 
 
-def binomial_tail(k: Column, n: Column, p: float) -> Column:
-    """P(X >= k) for a binomial of n trials, as a column.
-
-    One term is worked out in log space, the others follow from it: upwards from k if k is beyond the
-    mean, else downwards from k - 1 for what is left to 1, so no term that matters is lost.
-    """
-    lg = lambda x: F.aggregate(F.sequence(F.lit(1), F.greatest(x, F.lit(1))), F.lit(0.0), lambda s, i: s + F.log(i.cast("double")))
-    up = k > n * p
-    at = F.when(up, F.least(k, n)).otherwise(k - 1)
-    first = F.exp(lg(n) - lg(at) - lg(n - at) + at * math.log(p) + (n - at) * math.log(1 - p))
-    rise = lambda i: (n - i).cast("double") / (i + 1) * (p / (1 - p))  # term i + 1 over term i
-    fall = lambda i: i.cast("double") / (n - i + 1) * ((1 - p) / p)  # term i - 1 over term i
-    step = lambda s, i: F.struct((s["sum"] + s["term"]).alias("sum"), (s["term"] * F.when(up, rise(i)).otherwise(fall(i))).alias("term"))
-    start = F.struct(F.lit(0.0).alias("sum"), first.alias("term"))
-    total = F.aggregate(F.when(up, F.sequence(at, n)).otherwise(F.sequence(at, F.lit(0))), start, step, lambda s: s["sum"])
-    return F.when(k <= 0, F.lit(1.0)).when(k > n, F.lit(0.0)).when(up, total).otherwise(1 - total)
-
-
 def drop(cells: DataFrame, fate: DataFrame | None, bad: DataFrame, name: str, key: str = "cell") -> tuple[DataFrame, DataFrame]:
     """Remove the cells of `bad` and note why."""
     bad = bad.select(key).distinct()
@@ -74,7 +57,7 @@ def run_chain(cells: DataFrame, steps: Iterable[Step], off: Iterable[str] = (),
     evaluated together; before a rule over groups the cells are staged, so that the plan reads a table
     twice instead of growing twofold with each step. A group's verdict comes from an aggregate and is
     joined back by key, never from a window, so a hot group isn't one task's work. No row is dropped:
-    a null key is met by conditions alone.
+    a null key is met by conditions alone. A column `filter` that cells has is replaced.
     """
     out = cells.withColumn("filter", F.lit(None).cast("string"))
     for s in active(steps, off):
@@ -82,37 +65,63 @@ def run_chain(cells: DataFrame, steps: Iterable[Step], off: Iterable[str] = (),
             out = out.withColumn("filter", F.when(F.col("filter").isNull() & F.coalesce(F.expr(s.rule), F.lit(False)), s.label).otherwise(F.col("filter")))
             continue
         out = stage(out, "cells")
-        bad = s.rule(out.where("filter IS NULL")).select(key).distinct().withColumn("__bad", F.lit(True))
-        out = out.join(bad, key, "left").withColumn("filter", F.when(F.col("__bad"), s.label).otherwise(F.col("filter"))).drop("__bad")
+        mark = fresh(out.columns, "bad")[0]
+        bad = s.rule(out.where("filter IS NULL")).select(key).distinct().withColumn(mark, F.lit(True))
+        out = out.join(bad, key, "left").withColumn("filter", F.when(F.col(mark), s.label).otherwise(F.col("filter"))).drop(mark)
     return out
 
 
 def duplicated(group: list[str]) -> Callable[[DataFrame], DataFrame]:
-    """Rule: every cell that shares `group` with another."""
-    return lambda cells: cells.join(cells.groupBy(*group).agg(F.count("*").alias("__n")).where("__n > 1"), group, "left_semi")
+    """Rule: every cell that shares `group` with another; cells without one share none."""
+
+    def rule(cells: DataFrame) -> DataFrame:
+        n = fresh(cells.columns, "n")[0]
+        return cells.join(cells.groupBy(*group).agg(F.count("*").alias(n)).where(F.col(n) > 1), group, "left_semi")
+
+    return rule
 
 
 def outdone(group: str, top: str, total: str, times: float) -> Callable[[DataFrame], DataFrame]:
     """Rule: cells of a group whose `total` some cell's `top` exceeds `times` over, where so many of them aren't chance."""
 
     def rule(cells: DataFrame) -> DataFrame:
-        g = cells.groupBy(group).agg(F.max(top).alias("__top"))
-        marked = cells.join(g, group).withColumn("__low", F.col("__top") >= times * F.col(total))
-        n = marked.groupBy(group).agg(F.count("*").cast("int").alias("n"), F.count_if("__low").cast("int").alias("k")).where("n >= 2 AND k > 0")
-        n = n.where(binomial_tail(F.col("k"), F.col("n"), 0.1) < 0.01)
-        return marked.where("__low").join(n.select(group), group, "left_semi")
+        best, low, n, k = fresh(cells.columns, "best", "low", "n", "k")
+        g = cells.groupBy(group).agg(F.max(top).alias(best))
+        marked = cells.join(g, group).withColumn(low, F.col(best) >= times * F.col(total))
+        c = marked.groupBy(group).agg(F.count("*").alias(n), F.count_if(low).alias(k)).where((F.col(n) >= 2) & (F.col(k) > 0))
+        c = c.where(binomial_tail(F.col(k), F.col(n), 0.1) < 0.01)
+        return marked.where(low).join(c.select(group), group, "left_semi")
 
     return rule
 
 
+def doublets(pure: DataFrame, times: int = 5) -> DataFrame:
+    """(id): pure subclonotypes that two others without a common key seem to make up: each shares a key with it and has `times` its cells.
+
+    pure: (id, n, keys), keys an array of chains or CDR3s without order. Of those that hold a key,
+    the one with this key alone makes all not larger than itself needless, as it overlaps with least;
+    so a key that many have costs little.
+    """
+    p = pure.select("id", "n", F.array_distinct(F.filter("keys", lambda k: k.isNotNull())).alias("keys"))
+    own = p.select("id", "n", "keys", F.explode("keys").alias("key"))
+    alone = own.where(F.size("keys") == 1).groupBy("key").agg(F.max("n").alias("most"))
+    others = own.join(alone, "key", "left").where((F.size("keys") == 1) | F.col("most").isNull() | (F.col("n") > F.col("most")))
+    others = others.select("key", F.col("id").alias("other"), F.col("n").alias("m"), F.col("keys").alias("held"))
+    e = own.join(others, "key").where((F.col("id") != F.col("other")) & (times * F.col("n") <= F.col("m"))).select("id", "other", "held").distinct()
+    x, y = e.alias("x"), e.alias("y")
+    apart = (F.col("x.id") == F.col("y.id")) & (F.col("x.other") < F.col("y.other")) & ~F.arrays_overlap("x.held", "y.held")
+    return x.join(y, apart, "left_semi").select("id").distinct()
+
+
 def contaminants(signature: str, nchains: str, times: int = 20) -> Callable[[DataFrame], DataFrame]:
     """Rule: cells of a two-chain signature that others sharing one of its chains outnumber `times` over, by sums by chain less the own share."""
 
     def rule(cells: DataFrame) -> DataFrame:
-        g = cells.where(F.col(nchains) == 2).groupBy(signature).agg(F.count("*").alias("n"))
-        c = g.select(signature, "n", F.explode(F.array_distinct(F.split(signature, " "))).alias("chain"))
-        t = c.join(c.groupBy("chain").agg(F.sum("n").alias("all")), "chain").groupBy(signature).agg(F.min("n").alias("n"), F.sum(F.col("all") - F.col("n")).alias("others"))
-        bad = t.where((F.col("others") > 0) & (F.col("others") >= times * F.col("n"))).select(signature)
+        two = cells.select(F.col(signature).alias("signature"), F.col(nchains).alias("k")).where("k = 2")
+        g = two.groupBy("signature").agg(F.count("*").alias("n"))
+        c = g.select("signature", "n", F.explode(F.array_distinct(F.split("signature", " "))).alias("chain"))
+        t = c.join(c.groupBy("chain").agg(F.sum("n").alias("all")), "chain").groupBy("signature").agg(F.min("n").alias("n"), F.sum(F.col("all") - F.col("n")).alias("others"))
+        bad = t.where((F.col("others") > 0) & (F.col("others") >= times * F.col("n"))).select(F.col("signature").alias(signature))
         return cells.where(F.col(nchains) == 2).join(bad, signature, "left_semi")
 
     return rule
@@ -140,14 +149,13 @@ def low_umis(cells: DataFrame, baseline: DataFrame, group: str, dataset: str, to
 
     baseline: (dataset, umin). A group's k low cells of n go if P(Binomial(n, 0.1) >= k) < 0.01.
     """
-    w = Window.partitionBy(group)
     marked = cells.join(baseline, dataset, "left").withColumn("low", F.coalesce(F.col(total) < F.col("umin"), F.lit(False)))
     n = marked.groupBy(group).agg(F.count("*").alias("n"), F.count_if("low").alias("k")).where("n >= 2 AND k > 0")
-    n = n.where(binomial_tail(F.col("k").cast("int"), F.col("n").cast("int"), 0.1) < 0.01)
+    n = n.where(binomial_tail(F.col("k"), F.col("n"), 0.1) < 0.01)
     bad = marked.where("low").join(n, group)
-    # protect the best cell where every cell would go
-    best = F.row_number().over(w.orderBy(F.desc(total), "cell"))
-    return bad.withColumn("place", best).where((F.col("k") < F.col("n")) | (F.col("place") > 1)).select("cell")
+    # the best cell, of equals the one with the least id, stays where every cell would go; an aggregate, so a hot group isn't one task's work
+    best = bad.where("k = n").groupBy(group).agg(F.min_by("cell", F.struct((-F.col(total)).alias("t"), "cell")).alias("cell"))
+    return bad.select("cell").join(best.select("cell"), "cell", "left_anti")
 
 
 def baseline(cells: DataFrame, dataset: str, total: str, least: int = 20) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lymphframe.functions.stats import binomial_tail
 from lymphframe.operators import filters as K
 from lymphframe.plans.registry import query
 from lymphframe.session import table
@@ -91,8 +92,8 @@ def k11b(spark, d):
     top = M.chains_plain(spark, d).groupBy("cell").agg(F.max("umi").alias("t"))
     g = s.join(top, "cell").groupBy("exact").agg(F.max("t").alias("top"))
     m = s.join(g, "exact").select("cell", "exact", (F.col("top") >= 2 * F.col("umi")).alias("low"))
-    n = m.groupBy("exact").agg(F.count("*").cast("int").alias("n"), F.count_if("low").cast("int").alias("k")).where("n >= 2 AND k > 0")
-    return m.where("low").join(n.where(K.binomial_tail(F.col("k"), F.col("n"), 0.1) < 0.01), "exact", "left_semi").select("cell")
+    n = m.groupBy("exact").agg(F.count("*").alias("n"), F.count_if("low").alias("k")).where("n >= 2 AND k > 0")
+    return m.where("low").join(n.where(binomial_tail(F.col("k"), F.col("n"), 0.1) < 0.01), "exact", "left_semi").select("cell")
 
 
 @query("k12_gex_filter", W + M.SIGNATURE + " SELECT cell FROM sig WHERE cell IN (SELECT user_id FROM events)")
@@ -100,15 +101,21 @@ def k12(spark, d):
     return M.signatures(spark, d).select("cell").join(table(spark, d, "events").select(F.col("user_id").alias("cell")).distinct(), "cell", "left_semi")
 
 
-@query("k13_doublets", W + M.SIGNATURE + """, g AS (SELECT exact, string_split(exact, ' ') AS s, count(*) AS n FROM sig GROUP BY exact), o AS (SELECT s[1] AS chain, n FROM g WHERE len(s) = 1), p AS (SELECT exact, n, s FROM g WHERE len(s) = 2 AND s[1] <> s[2])
-  SELECT p.exact FROM p JOIN o a ON p.s[1] = a.chain JOIN o b ON p.s[2] = b.chain WHERE 5 * p.n <= 20 * least(a.n, b.n)""")
+PURE = M.CHAIN + ", n4 AS (SELECT cell, list_sort(list_distinct(list(v_name))) AS keys FROM chain GROUP BY cell HAVING count(*) <= 4), pure AS (SELECT keys, count(*) AS n FROM n4 GROUP BY keys)"
+
+
+def pure_subclonotypes(spark, d):
+    """(id, n, keys): cells of at most four chains by the set of their V segments."""
+    v = table(spark, d, "part").select(F.col("p_partkey").alias("part"), F.col("p_brand").alias("v_name"))
+    c = M.chains_plain(spark, d).select("cell", "part").join(v, "part").groupBy("cell").agg(F.array_sort(F.collect_set("v_name")).alias("keys"), F.count("*").alias("chains"))
+    return c.where("chains <= 4").groupBy("keys").agg(F.count("*").alias("n")).select(F.array_join("keys", " ").alias("id"), "n", "keys")
+
+
+@query("k13_doublets", W + PURE + """, e AS (SELECT a.keys AS p0, b.keys AS p FROM pure a JOIN pure b ON list_has_any(a.keys, b.keys) AND a.keys <> b.keys AND 5 * a.n <= b.n)
+  SELECT DISTINCT array_to_string(x.p0, ' ') AS id FROM e x JOIN e y ON x.p0 = y.p0 AND x.p < y.p AND NOT list_has_any(x.p, y.p)""")
 def k13(spark, d):
-    """Signatures that two others without a common chain make up, unless they are frequent."""
-    g = M.signatures(spark, d).groupBy("exact").agg(F.count("*").alias("n")).withColumn("s", F.split("exact", " "))
-    o = g.where(F.size("s") == 1).select(F.get("s", F.lit(0)).alias("chain"), F.col("n").alias("m"))
-    p = g.where((F.size("s") == 2) & (F.get("s", F.lit(0)) != F.get("s", F.lit(1)))).select("exact", "n", F.get("s", F.lit(0)).alias("x"), F.get("s", F.lit(1)).alias("y"))
-    both = p.join(o.select(F.col("chain").alias("x"), F.col("m").alias("mx")), "x").join(o.select(F.col("chain").alias("y"), F.col("m").alias("my")), "y")
-    return both.where(5 * F.col("n") <= 20 * F.least("mx", "my")).select("exact")
+    """Sets of V segments that two others without a common segment make up, each five times as frequent."""
+    return K.doublets(pure_subclonotypes(spark, d))
 
 
 @query("k14_signature_filter", W + M.SIGNATURE + """, g AS (SELECT exact, string_split(exact, ' ') AS s, count(*) AS n FROM sig WHERE nchains = 2 GROUP BY exact), c AS (SELECT exact, n, unnest(list_distinct(s)) AS chain FROM g), t AS (SELECT a.exact, any_value(a.n) AS n, sum(b.n) AS total FROM c a JOIN c b ON a.chain = b.chain AND a.exact <> b.exact GROUP BY a.exact) SELECT exact FROM t WHERE total >= 20 * n""")

@@ -126,10 +126,51 @@ def test_few_distinct_against_enumeration():
 
 
 def test_binomial_tail(spark):
-    for n, k in ((5, 2), (20, 5), (3, 0), (4, 4), (4, 5), (900, 1), (900, 80), (900, 95), (900, 200), (30000, 10), (1, 1)):
-        want = sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(0.1) + (n - i) * math.log(0.9)) for i in range(k, n + 1))
+    cases = [(5, 2), (20, 5), (3, 0), (4, 4), (4, 5), (900, 1), (900, 80), (900, 95), (900, 200), (30000, 10), (1, 1), (29_000, 2_900), (29_000, 3_050), (31_000, 3_100), (31_000, 3_250), (31_000, 2_950)]
+    df = spark.createDataFrame(cases, "n long, k long").select("n", "k", K.binomial_tail(F.col("k"), F.col("n"), 0.1).alias("p"))
+    for r in df.collect():
+        want = sum(math.exp(math.lgamma(r.n + 1) - math.lgamma(i + 1) - math.lgamma(r.n - i + 1) + i * math.log(0.1) + (r.n - i) * math.log(0.9)) for i in range(r.k, r.n + 1))
+        assert r.p == pytest.approx(want, rel=1e-5, abs=1e-9)
+
+
+def test_binomial_tail_of_a_hundred_million(spark):
+    """Groups of any size take a fixed number of steps: near the mean, on both sides of it and far away."""
+    n = 10**8
+    for k in (10**7 - 9000, 10**7 - 3000, 10**7, 10**7 + 3000, 10**7 + 9000):
+        i = np.arange(k, k + 80_000, dtype=np.float64)
+        # terms follow one from the other; only the first needs the gamma function
+        first = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(0.1) + (n - k) * math.log(0.9)
+        want = math.exp(first) * (1 + np.exp(np.cumsum(np.log((n - i) / (i + 1) / 9))).sum())
         got = spark.range(1).select(K.binomial_tail(F.lit(k), F.lit(n), 0.1)).first()[0]
-        assert got == pytest.approx(want, rel=1e-6, abs=1e-12)
+        assert got == pytest.approx(want, rel=1e-4)
+    ends = spark.range(1).select(K.binomial_tail(F.lit(5), F.lit(n), 0.1), K.binomial_tail(F.lit(3 * 10**7), F.lit(n), 0.1)).first()
+    assert ends[0] == pytest.approx(1) and ends[1] == pytest.approx(0, abs=1e-12)
+
+
+def test_doublets_by_all_triples(spark):
+    rng = np.random.default_rng(4)
+    pure = {}
+    for _ in range(150):
+        keys = tuple(sorted({f"c{int(k)}" for k in rng.integers(0, 8, rng.integers(1, 5))}))
+        pure[keys] = int(rng.choice([1, 2, 3, 9, 40, 300]))
+    rows = [("+".join(k), n, list(k) + list(k[:1]) + [None]) for k, n in pure.items()] + [("none", 5, [])]
+    near = lambda a, b: set(a) & set(b)
+    want = set()
+    for p0, n0 in pure.items():
+        large = [p for p, n in pure.items() if p != p0 and near(p, p0) and 5 * n0 <= n]
+        if any(not near(a, b) for a, b in itertools.combinations(large, 2)):
+            want.add("+".join(p0))
+    df = spark.createDataFrame(rows, "id string, n long, keys array<string>").selectExpr("*", "1 AS key", "2 AS most")
+    got = [r.id for r in K.doublets(df).collect()]
+    assert set(got) == want and len(got) == len(want) and 0 < len(want) < len(pure)
+
+
+def test_chain_keeps_columns_of_any_name(spark):
+    cells = spark.createDataFrame([(k, "g", 1, k % 3, k, "x") for k in range(12)], "cell int, exact string, bad int, n int, best int, low string")
+    steps = [K.Step("DUP", "NDUP", K.duplicated(["n"])), K.Step("OUT", "NOUT", K.outdone("exact", "best", "bad", 50))]
+    out = K.run_chain(cells, steps)
+    assert out.columns == [*cells.columns, "filter"] and out.where("bad = 1 AND low = 'x'").count() == 12
+    assert {r.filter for r in out.collect()} == {"DUP"}
 
 
 def test_umi_filter_protects_one(spark):
