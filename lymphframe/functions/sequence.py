@@ -48,6 +48,30 @@ def packed_hamming(a: list[Column], b: list[Column]) -> Column:
     return out
 
 
+def packed_array(seq: Column) -> Column:
+    """The same as packed() for sequences of any length, as an array."""
+    digits = lambda k: F.coalesce(F.conv(F.translate(F.substr(seq, k * PACK + 1, F.lit(PACK)), "ACGT", "0123"), 4, 10).cast("long"), F.lit(0).cast("long"))
+    return F.when(F.length(seq) == 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.floor((F.length(seq) - 1) / PACK).cast("int")), digits))
+
+
+def _marks(x: Column, y: Column) -> Column:
+    """One bit at each place where packed numbers differ."""
+    bits = x.bitwiseXOR(y)
+    return bits.bitwiseOR(F.shiftright(bits, 1)).bitwiseAND(F.lit(0x555555555555).cast("long"))
+
+
+def array_differences(a: Column, b: Column) -> Column:
+    """Differing letters of two packed arrays of one length."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(_marks(x, y))), F.lit(0), lambda s, n: s + n)
+
+
+def array_shares(a: Column, b: Column, r: Column, q: Column) -> Column:
+    """Places where a and b have the same letter and neither its own reference's, r for a and q for b."""
+    own = F.zip_with(F.zip_with(a, r, _marks), F.zip_with(b, q, _marks), lambda x, y: x.bitwiseAND(y))
+    apart = F.zip_with(a, b, _marks)
+    return F.aggregate(F.zip_with(own, apart, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda s, n: s + n)
+
+
 def weighted_hamming(a: Column, b: Column, penalty: Column) -> Column:
     """Sum of penalties over the places of equal-length sequences; penalty: map from two letters to a number, absent is 1."""
     cost = lambda i: F.coalesce(F.try_element_at(penalty, F.concat(F.substr(a, i, F.lit(1)), F.substr(b, i, F.lit(1)))), F.lit(1.0))

@@ -34,20 +34,35 @@ def similar_pairs(items: DataFrame, id_col: str, block: list[str], near: Column)
     return a.join(b, cond & near).select(F.col(f"a.{id_col}").alias("src"), F.col(f"b.{id_col}").alias("dst"))
 
 
+def stretch_pairs(items: DataFrame, id_col: str, seq_col: str, most: Column, block: list[str] = ()) -> DataFrame:
+    """(src, dst): pairs of one block and length that may differ at `most` places at most; each pair once, none missing.
+
+    Two such sequences agree on one of most + 1 stretches, so the join is on (block, length, stretch,
+    its letters), and groups shrink with the length of a stretch. most: a function of the length and
+    the block, so that it is the same for both; with as many differences as letters it falls back to
+    blocks of one length.
+    """
+    n = F.length(seq_col)
+    keyed = items.select(F.col(id_col).alias("id"), *block, F.col(seq_col).alias("seq"), n.alias("n"), most.cast("int").alias("most"))
+    bound = lambda k: F.floor(F.col("n") * k / (F.col("most") + 1)).cast("int")
+    stretch = F.transform(F.sequence(F.lit(0), F.col("most")), lambda k: F.struct(k.alias("k"), F.substr(F.col("seq"), bound(k) + 1, bound(k + 1) - bound(k)).alias("t")))
+    keyed = keyed.select("id", *block, "n", F.explode(stretch).alias("e")).select("id", *block, "n", "e.k", "e.t")
+    a, b = keyed.alias("a"), keyed.alias("b")
+    same = F.col("a.id") < F.col("b.id")
+    for c in (*block, "n", "k", "t"):
+        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    return a.join(b, same).select(F.col("a.id").alias("src"), F.col("b.id").alias("dst")).distinct()
+
+
 def hamming_pairs(items: DataFrame, id_col: str, seq_col: str, most: int) -> DataFrame:
     """(src, dst, distance): pairs of equal-length sequences that differ at `most` places at most; each pair once.
 
-    Two such sequences agree on one of most + 1 stretches, so the join is on (length, stretch, its
-    letters) and blocks shrink with the length of a stretch; candidates are then compared. Meant for
-    high identities; with as many differences as letters it falls back to blocks of one length.
+    Candidates are those of stretch_pairs(), so it is meant for high identities.
     """
-    n = F.length(seq_col)
-    bounds = lambda k: F.floor(n * k / (most + 1)).cast("int")
-    stretch = F.transform(F.sequence(F.lit(0), F.lit(most)), lambda k: F.struct(k.alias("k"), F.substr(F.col(seq_col), bounds(k) + 1, bounds(k + 1) - bounds(k)).alias("t")))
-    keyed = items.select(F.col(id_col).alias("id"), F.col(seq_col).alias("seq"), n.alias("n"), F.explode(stretch).alias("e")).select("id", "seq", "n", "e.k", "e.t")
-    a, b = (keyed.select("n", "k", "t", F.col("id").alias(f"id_{x}"), F.col("seq").alias(f"seq_{x}")) for x in "ab")
-    near = a.join(b, ["n", "k", "t"]).where("id_a < id_b").withColumn("distance", hamming(F.col("seq_a"), F.col("seq_b"))).where(F.col("distance") <= most)
-    return near.select(F.col("id_a").alias("src"), F.col("id_b").alias("dst"), F.col("distance").cast("long").alias("distance")).distinct()
+    seq = items.select(F.col(id_col).alias("id"), F.col(seq_col).alias("seq"))
+    found = stretch_pairs(items, id_col, seq_col, F.lit(most))
+    both = found.join(seq.select(F.col("id").alias("src"), F.col("seq").alias("a")), "src").join(seq.select(F.col("id").alias("dst"), F.col("seq").alias("b")), "dst")
+    return both.select("src", "dst", hamming(F.col("a"), F.col("b")).cast("long").alias("distance")).where(F.col("distance") <= most)
 
 
 def refined_groups(clonotypes: DataFrame, id_col: str, keys: list[Column]) -> DataFrame:

@@ -15,7 +15,7 @@ from lymphframe.operators import trees as T
 from lymphframe.operators.components import connected_components
 from lymphframe.plans.functions import referenced
 from lymphframe.plans.registry import query
-from lymphframe.session import table
+from lymphframe.session import stage, table
 from lymphframe.sources import mapped as M
 
 W = "WITH "
@@ -87,40 +87,26 @@ def r02(spark, d):
     return k.select("k", "d", C.shared_by_chance()(F.col("k"), F.col("d"), F.lit(700)).alias("p"))
 
 
-def relatives(spark, d):
-    """(id, block, seq, r): four sequences a name, its own as the reference r, the others two mutations away before place 61 and one, two or four after it."""
-    x = M.segments(spark, d).select(F.col("name").alias("block"), F.col("seq").alias("r"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
-    seq = F.col("r")
-    for step, (low, size, least) in enumerate(((1, 60, 1), (1, 60, 1), (61, 36, 1), (61, 36, 2), (61, 36, 3), (61, 36, 3))):
-        # few places before 61, so that some mutations are shared
-        at = (F.lit(low) + F.pmod(F.xxhash64("block", F.when(F.lit(step) < 2, 0).otherwise(F.col("k")), F.lit(step)), F.lit(size))).cast("int")
-        seq = F.when(F.col("k") >= least, F.overlay(seq, F.translate(F.substr(seq, at, F.lit(1)), "ACGT", "CGTA"), at)).otherwise(seq)
-    return x.select(F.concat("block", F.lit("#"), F.col("k").cast("string")).alias("id"), "block", seq.alias("seq"), "r")
-
-
-def scored_pairs(x, rule=C.JoinRule()):
-    """(src, dst): pairs of a block that the join rule accepts, differences before and after place 61 counted from packed letters."""
-    part = lambda c, at, n: S.packed(F.substring(c, at, n), n)
-    packs = {"o": part("seq", 1, 60), "g": part("r", 1, 60), "c": part("seq", 61, 36)}
-    x = x.select("id", "block", "seq", "r", *(c.alias(f"{n}{k}") for n, cs in packs.items() for k, c in enumerate(cs)))
-    a, b = x.alias("a"), x.alias("b")
-    col = lambda t, n: [F.col(f"{t}.{n}{k}") for k in range(len(packs[n]))]
-    both = F.aggregate(F.sequence(F.lit(1), F.lit(60)), F.lit(0), lambda s, i: s + ((F.substr(F.col("a.seq"), i, F.lit(1)) == F.substr(F.col("b.seq"), i, F.lit(1))) & (F.substr(F.col("a.seq"), i, F.lit(1)) != F.substr(F.col("a.r"), i, F.lit(1)))).cast("int"))
-    p = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.id") < F.col("b.id"))).select(
-        F.col("a.id").alias("src"), F.col("b.id").alias("dst"), both.alias("d"),
-        (S.packed_hamming(col("a", "o"), col("a", "g")) + S.packed_hamming(col("b", "o"), col("a", "g")) - both).alias("k"),
-        S.packed_hamming(col("a", "o"), col("b", "o")).alias("outside"), S.packed_hamming(col("a", "c"), col("b", "c")).alias("cd"),
-    )
-    p = p.withColumn("p", C.shared_by_chance()(F.col("k"), F.col("d"), F.lit(96)))
-    ok = C.accepts(F.col("p"), F.col("d"), F.col("cd"), F.lit(36.0), F.lit(0.0), F.lit(1.0), F.col("outside"), F.lit(0), F.lit(0), rule)
-    return p.where(ok).select("src", "dst")
+def junction_complexity(exacts, segments):
+    """Function from (id) to (id, hcomp) of the heavy junctions of `exacts`."""
+
+    def f(ids):
+        x = exacts.join(ids, "id", "left_semi").select("id", F.substr("h_seq", F.lit(83), F.length("h_seq") - F.lit(102)).alias("seq"), F.substring("h_v", 83, 14).alias("v"), F.substring("h_j", 1, 20).alias("j"))
+        return G.spread(x, "id", 1000).select("id", N.aligned_udf(segments)("seq", "v", "j")["hcomp"].alias("hcomp"))
+
+    return f
+
+
+def joined(spark, d, rule=C.JoinRule()):
+    x = stage(M.exact_pairs(spark, d), "exacts")
+    return x, C.joined_pairs(x, junction_complexity(x, d_segments(spark, d)), rule)
 
 
 @query("j02_scored_join")
 def j02(spark, d):
-    """Sequences of one reference, scored pair by pair, linked where the published rule accepts."""
-    x = relatives(spark, d)
-    found = connected_components(scored_pairs(x))
+    """Exact subclonotypes of two chains, compared where both lengths agree, linked where the published rule accepts."""
+    x, pairs = joined(spark, d)
+    found = connected_components(pairs)
     return x.select("id").join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("clonotype"))
 
 

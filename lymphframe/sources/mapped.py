@@ -119,8 +119,12 @@ SEGMENT = f"seg AS (SELECT DISTINCT p_name AS name, {DNA_SQL} AS seq FROM part)"
 
 
 def segment_table(spark: SparkSession, d: str) -> DataFrame:
-    """(name, seq): D segments of 11 to 31 letters, one a distinct size."""
-    return table(spark, d, "part").select(F.concat(F.lit("D"), F.col("p_size").cast("string")).alias("name")).distinct().select("name", _segment(F.col("name")).alias("seq"))
+    """(name, seq): D segments of 11 to 31 letters, 24 at most, named by sizes."""
+    return table(spark, d, "part").select(_segment_name(F.col("p_size")).alias("name")).distinct().select("name", _segment(F.col("name")).alias("seq"))
+
+
+def _segment_name(size: Column) -> Column:
+    return F.concat(F.lit("D"), (size % 24 + 1).cast("string"))
 
 
 def _segment(name: Column) -> Column:
@@ -136,7 +140,7 @@ def heavy_chains(spark: SparkSession, d: str) -> DataFrame:
     """
     key = lambda k, n: F.pmod(F.xxhash64("p_partkey", F.lit(k)), F.lit(n)).cast("int")
     one, letters = F.lit(1), dna(F.concat(F.col("p_partkey").cast("string"), F.lit("N")))
-    x = table(spark, d, "part").select("p_partkey", "p_brand", "p_type", F.concat(F.lit("D"), F.col("p_size").cast("string")).alias("name"), dna(F.concat("p_brand", F.lit("V"))).alias("v"), F.substr(dna(F.concat("p_type", F.lit("J"))), one, F.lit(40)).alias("j"))
+    x = table(spark, d, "part").select("p_partkey", "p_brand", "p_type", _segment_name(F.col("p_size")).alias("name"), dna(F.concat("p_brand", F.lit("V"))).alias("v"), F.substr(dna(F.concat("p_type", F.lit("J"))), one, F.lit(40)).alias("j"))
     whole = _segment(F.col("name"))
     segment = F.substr(whole, one + key(3, 4), F.length(whole) - key(3, 4) - key(4, 4))
     middle = F.when(key(5, 7) == 0, "").when(key(5, 11) == 1, F.concat(segment, F.substr(letters, F.lit(40), key(6, 4)), segment)).otherwise(segment)
@@ -152,3 +156,38 @@ def junctions(spark: SparkSession, d: str) -> DataFrame:
     """(id, seq, v, j, frame): the junctions of heavy_chains() with the V and J letters beside them; frame: place of the first base in its codon."""
     x = heavy_chains(spark, d)
     return x.select("id", F.substr("seq", F.lit(83), F.length("seq") - F.lit(102)).alias("seq"), F.substring("v", 83, 14).alias("v"), F.substring("j", 1, 20).alias("j"), F.lit(82 % 3).alias("frame"))
+
+
+def exact_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """(id, v_name, light_c, cells, and of chains h and l: v, j, seq, ref, cdr3_start, cdr3_len; fwr1, cdr12): exact subclonotypes, one a part.
+
+    A family, the parts of one brand and parity of size, shares its recombination, a branch of it, by
+    size and type, three mutations of the heavy and one of the light chain; every part has some more.
+    """
+    family, one = F.concat_ws("/", "p_brand", (F.col("p_size") % 2).cast("string")), F.lit(1)
+    branch = F.concat_ws("/", family, (F.col("p_size") % 4).cast("string"), "p_type")
+    h = lambda n, *key: F.pmod(F.xxhash64(*key), F.lit(n)).cast("int")
+    letters = dna(F.concat(family, F.lit("N")))
+
+    def mutated(x: DataFrame, name: str, size: int, key: Column, label: str, count: int, least: Column | None = None) -> DataFrame:
+        """x with `count` letters (`least`, if given) among the first `size` of column `name` changed at hashed places."""
+        for k in range(count):
+            at = h(size, key, F.lit(f"{label}{k}")) + 1
+            new = F.overlay(name, F.translate(F.substr(F.col(name), at, one), "ACGT", "CGTA"), at)
+            x = x.withColumn(name, new if least is None else F.when(least > k, new).otherwise(F.col(name)))
+        return x
+
+    x = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("v_name"), family.alias("family"), branch.alias("branch"), letters.alias("letters"), *(dna(F.concat("p_brand", F.lit(t))).alias(t) for t in "VJLK"))
+    fam, own = F.col("family"), F.col("id").cast("string")
+    segment = _segment(_segment_name(h(24, fam)))
+    x = x.select("id", "v_name", "family", "branch", F.col("V").alias("h_v"), F.substring("J", 1, 40).alias("h_j"), F.col("L").alias("l_v"), F.substring("K", 1, 40).alias("l_j"), F.concat(F.substr("V", one, 96 - h(5, fam)), F.substr("letters", one, h(8, fam, F.lit(1))), segment, F.substr("letters", F.lit(30), h(8, fam, F.lit(2))), F.substr("J", one + h(4, fam), F.lit(40) - h(4, fam))).alias("h_seq"), F.concat(F.substr("L", one, 96 - h(4, fam, F.lit(3))), F.substr("letters", F.lit(60), h(4, fam, F.lit(4))), F.substr("K", F.lit(1), F.lit(40))).alias("l_seq"))
+    x = mutated(mutated(x, "h_seq", 84, F.col("branch"), "h", 3), "h_seq", 84, own, "o", 4, h(5, F.lit("o"), own))
+    x = mutated(mutated(x, "h_seq", 100, own, "c", 3, h(4, F.lit("c"), own)), "l_seq", 84, F.col("branch"), "l", 1)
+    x = mutated(x, "l_seq", 100, own, "m", 2, h(3, F.lit("m"), own))
+    gap = lambda c: F.length(f"{c}_seq") - F.lit(104)
+    ref = lambda c: F.concat(F.substring(f"{c}_v", 1, 84), F.repeat(F.lit("A"), gap(c)), F.substring(f"{c}_j", 21, 20)).alias(f"{c}_ref")
+    part = lambda *p: F.array(*(F.struct(F.lit(a).alias("start"), F.lit(n).alias("size")) for a, n in p))
+    return x.select(
+        "id", "v_name", F.when(h(9, own) == 0, "IGLC").otherwise("IGKC").alias("light_c"), (h(3, own) + 1).alias("cells"), "h_v", "h_j", "h_seq", ref("h"), F.lit(85).alias("h_cdr3_start"), gap("h").alias("h_cdr3_len"),
+        "l_v", "l_j", "l_seq", ref("l"), F.lit(85).alias("l_cdr3_start"), gap("l").alias("l_cdr3_len"), part((1, 24)).alias("fwr1"), part((25, 12), (55, 12)).alias("cdr12"),
+    )

@@ -473,27 +473,3 @@ def test_previews(spark):
     lines = lambda s: sorted(r.line for r in sinks.preview(df, ["name", "n"], s).collect())
     assert lines("csv") == sorted(["name,n", '"a,b",1', ",22"]) and lines("tsv") == sorted(["name\tn", "a,b\t1", "\t22"])
     assert lines("aligned") == sorted(["name  n", "a,b   1", "      22"])
-
-
-def test_scored_join_by_the_published_rule(spark):
-    """All pairs of a reference's sequences, the rule worked out on letters."""
-    from lymphframe.plans import structures as Q
-
-    sf = "/root/testdata/sf0.001"
-    rows = Q.relatives(spark, sf).collect()
-    linked = set()
-    rule = J.JoinRule()
-    for block in {r.block for r in rows}:
-        for a, b in itertools.combinations(sorted((r for r in rows if r.block == block), key=lambda r: r.id), 2):
-            diff = lambda x, y: sum(u != v for u, v in zip(x, y))
-            shared = sum(u == v != w for u, v, w in zip(a.seq[:60], b.seq[:60], a.r))
-            k = diff(a.seq[:60], a.r) + diff(b.seq[:60], a.r) - shared
-            outside, cd = diff(a.seq[:60], b.seq[:60]), diff(a.seq[60:], b.seq[60:])
-            score = J.few_distinct(k, k - shared, 96) * rule.mult_pow ** (rule.cdr3_normal_len * cd / 36)
-            if (score <= rule.max_score or shared >= rule.auto_shares) and 1 - cd / 36 / 2 >= rule.cdr3_identity and cd < rule.cdr3_mult * max(outside, 1):
-                linked.add((a.id, b.id))
-    got = {tuple(r) for r in Q.scored_pairs(Q.relatives(spark, sf)).collect()}
-    assert got == linked and 0 < len(linked) < len(rows) * 3 / 2
-    label = brute_components(sorted(linked))
-    for r in Q.j02(spark, sf).collect():
-        assert r.clonotype == label.get(r.id, r.id)
