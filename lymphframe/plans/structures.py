@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lymphframe.functions import align as A
 from lymphframe.functions import junction as N
 from lymphframe.functions import sequence as S
+from lymphframe.operators import annotate as X
 from lymphframe.operators import clonotype as C
 from lymphframe.operators import grouping as G
 from lymphframe.operators import plots as P
@@ -87,6 +88,13 @@ def r02(spark, d):
     return k.select("k", "d", C.shared_by_chance()(F.col("k"), F.col("d"), F.lit(700)).alias("p"))
 
 
+@query("s29_annotated_sequences")
+def s29(spark, d):
+    """The V, J, C and leading segments of each contig, on either strand, with their alignments."""
+    x = G.spread(M.contig_sequences(spark, d).select("id", "seq"), "id", 1000)
+    return X.annotated(x, M.reference_segments(spark, d), both_strands=True)
+
+
 def junction_complexity(exacts, segments):
     """Function from (id) to (id, hcomp) of the heavy junctions of `exacts`."""
 

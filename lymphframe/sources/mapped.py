@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lymphframe.session import table
+from lymphframe.session import stage, table
 
 HEX, BASES = "0123456789abcdef", "ACGTACGTACGTACGT"
 
@@ -149,7 +149,7 @@ def heavy_chains(spark: SparkSession, d: str) -> DataFrame:
     for k in range(3):
         at = (F.pmod(F.xxhash64("id", F.lit(20 + k)), F.length("seq").cast("long")) + 1).cast("int")
         x = x.withColumn("seq", F.overlay("seq", F.translate(F.substr(F.col("seq"), at, one), "ACGT", "CGTA"), at))
-    return x
+    return stage(x, "heavy_chains")  # so that its expressions don't multiply in what is built on it
 
 
 def junctions(spark: SparkSession, d: str) -> DataFrame:
@@ -191,3 +191,21 @@ def exact_pairs(spark: SparkSession, d: str) -> DataFrame:
         "id", "v_name", F.when(h(9, own) == 0, "IGLC").otherwise("IGKC").alias("light_c"), (h(3, own) + 1).alias("cells"), "h_v", "h_j", "h_seq", ref("h"), F.lit(85).alias("h_cdr3_start"), gap("h").alias("h_cdr3_len"),
         "l_v", "l_j", "l_seq", ref("l"), F.lit(85).alias("l_cdr3_start"), gap("l").alias("l_cdr3_len"), part((1, 24)).alias("fwr1"), part((25, 12), (55, 12)).alias("cdr12"),
     )
+
+
+def reference_segments(spark: SparkSession, d: str) -> DataFrame:
+    """(name, kind, seq): V of the brands, J of the types, four constant and six leading regions."""
+    p = table(spark, d, "part")
+    v = p.select("p_brand").distinct().select(F.col("p_brand").alias("name"), F.lit("V").alias("kind"), dna(F.concat("p_brand", F.lit("V"))).alias("seq"))
+    j = p.select("p_type").distinct().select(F.col("p_type").alias("name"), F.lit("J").alias("kind"), F.substring(dna(F.concat("p_type", F.lit("J"))), 1, 40).alias("seq"))
+    other = spark.range(10).select(F.when(F.col("id") < 4, F.concat(F.lit("C"), "id")).otherwise(F.concat(F.lit("U"), F.col("id") - 4)).alias("name"))
+    return v.union(j).union(other.select("name", F.substring("name", 1, 1), dna(F.col("name"))))
+
+
+def contig_sequences(spark: SparkSession, d: str) -> DataFrame:
+    """(id, seq, v_name, j_name, c_name): heavy_chains() between a leading and the start of a constant region; every fifth is reversed."""
+    h = lambda n, k: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(n)).cast("int")
+    x = heavy_chains(spark, d).withColumn("c_name", F.concat(F.lit("C"), h(4, "c").cast("string"))).withColumn("u_name", F.concat(F.lit("U"), h(6, "u").cast("string")))
+    seq = F.concat(F.substr(dna(F.col("u_name")), F.lit(50)), "seq", F.substring(dna(F.col("c_name")), 1, 60))
+    back = F.reverse(F.translate(seq, "ACGT", "TGCA"))
+    return x.select("id", F.when(h(5, "r") == 0, back).otherwise(seq).alias("seq"), "v_name", "j_name", "c_name")
