@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from lymphframe.functions import align as A
 from lymphframe.functions import junction as N
 from lymphframe.functions import sequence as S
+from lymphframe.operators import alleles as Y
 from lymphframe.operators import annotate as X
 from lymphframe.operators import clonotype as C
+from lymphframe.operators import columns as L
 from lymphframe.operators import grouping as G
 from lymphframe.operators import plots as P
 from lymphframe.operators import trees as T
@@ -118,6 +120,30 @@ def j02(spark, d):
     return x.select("id").join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("clonotype"))
 
 
+@query("r04_columns_of_linked_chains")
+def r04(spark, d):
+    """The column of each chain, from the links of the clonotype join, third chains and equal sequences."""
+    x, pairs = joined(spark, d)
+    pairs = stage(pairs, "links")
+    found = connected_components(pairs)
+    members = x.select("id").join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("clonotype"))
+    return L.chain_columns(M.clonotype_chains(spark, d, x, members), pairs)
+
+
+@query("r01_alleles_by_footprint")
+def r01f(spark, d):
+    """Alternate V alleles of each donor, from one chain a putative clonotype."""
+    a = Y.donor_alleles(Y.one_a_clonotype(M.donor_chains(spark, d), ["j_name", "cdr3_len"]))
+    return a.select("donor", "v_name", "allele", F.concat_ws(",", F.col("positions").cast("array<string>")).alias("positions"), "letters", "cells", "seq")
+
+
+@query("f12_distance_to_donor_alleles")
+def f12a(spark, d):
+    """Distances to the own donor's alleles, in letters, as the greatest of a chain, and in residues."""
+    c = stage(M.donor_chains(spark, d), "chains")
+    return Y.donor_distances(c, Y.donor_alleles(Y.one_a_clonotype(c, ["j_name", "cdr3_len"])))
+
+
 def tree_members(spark, d):
     return M.segments(spark, d).select(F.length("name").cast("long").alias("clonotype"), "name", "seq")
 

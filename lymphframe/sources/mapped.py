@@ -209,3 +209,29 @@ def contig_sequences(spark: SparkSession, d: str) -> DataFrame:
     seq = F.concat(F.substr(dna(F.col("u_name")), F.lit(50)), "seq", F.substring(dna(F.col("c_name")), 1, 60))
     back = F.reverse(F.translate(seq, "ACGT", "TGCA"))
     return x.select("id", F.when(h(5, "r") == 0, back).otherwise(seq).alias("seq"), "v_name", "j_name", "c_name")
+
+
+def donor_chains(spark: SparkSession, d: str) -> DataFrame:
+    """(id, exact, donor, v_name, j_name, cdr3_len, v, j, seq): heavy_chains() of four donors, two chains an exact subclonotype.
+
+    Half of a donor's chains of a V segment have other letters at two places of their own germline.
+    """
+    x = heavy_chains(spark, d).withColumn("donor", F.concat(F.lit("d"), (F.col("id") % 4).cast("string")))
+    half = F.pmod(F.xxhash64("id", F.lit("half")), F.lit(2)) == 0
+    for k in range(2):
+        at = (F.pmod(F.xxhash64("donor", "v_name", F.lit(k)), F.lit(75)) + 1).cast("int")
+        x = x.withColumn("seq", F.when(half, F.overlay("seq", F.translate(F.substr(F.col("v"), at, F.lit(1)), "ACGT", "GTAC"), at)).otherwise(F.col("seq")))
+    return x.select("id", F.floor(F.col("id") / 8).alias("exact"), "donor", "v_name", "j_name", (F.length("seq") - 104).alias("cdr3_len"), "v", "j", "seq")
+
+
+def clonotype_chains(spark: SparkSession, d: str, exacts: DataFrame, clonotypes: DataFrame) -> DataFrame:
+    """(clonotype, exact, ix, left, seq, cdr3_len) of exact_pairs(): every third with its chains in the other order, every fourth with a second light chain, every ninth with a heavy chain alone."""
+    x = exacts.join(clonotypes, "id")
+    h = lambda n, k: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(n))
+    one = lambda left, seq, size: F.struct(F.lit(left).alias("left"), seq.alias("seq"), size.cast("int").alias("cdr3_len"))
+    heavy, light = one(True, F.col("h_seq"), F.col("h_cdr3_len")), one(False, F.col("l_seq"), F.col("l_cdr3_len"))
+    other = dna(F.concat("v_name", F.lit("M")))
+    second = one(False, F.overlay(other, F.translate(F.substr(other, (h(90, "m") + 1).cast("int"), F.lit(1)), "ACGT", "CGTA"), (h(90, "m") + 1).cast("int")), F.lit(12))
+    two = F.when(h(3, "s") == 0, F.array(light, heavy)).otherwise(F.array(heavy, light))
+    parts = F.when(h(9, "o") == 0, F.array(heavy)).when(h(4, "t") == 0, F.concat(F.array(second), two)).otherwise(two)
+    return x.select("clonotype", F.col("id").alias("exact"), F.posexplode(parts).alias("ix", "c")).select("clonotype", "exact", "ix", "c.left", "c.seq", "c.cdr3_len")
