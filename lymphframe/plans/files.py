@@ -10,6 +10,7 @@ from lymphframe.session import stage_path, table
 from lymphframe.sources import mapped as M
 from lymphframe.sources import readers as R
 from lymphframe.sources import sinks as K
+from lymphframe.sources.split import read_matrix, write_matrix
 
 W = "WITH "
 
@@ -169,3 +170,37 @@ def s30(spark, d):
 @query("s_barcode_overlap", "WITH b AS (SELECT DISTINCT c_nationkey AS barcode, c_mktsegment AS dataset FROM customer) SELECT x.dataset AS a, y.dataset AS b, count(*) AS shared FROM b x JOIN b y ON x.barcode = y.barcode AND x.dataset < y.dataset GROUP BY ALL")
 def overlap(spark, d):
     return R.barcode_overlap(table(spark, d, "customer").select(F.col("c_nationkey").alias("barcode"), F.col("c_mktsegment").alias("dataset")))
+
+
+@query("s01_contig_annotations", W + M.CELL + ", " + M.CHAIN + f", c AS (SELECT chain.*, dataset, translate(md5(name), '{M.HEX}', '{M.BASES}') AS seq FROM chain JOIN cell USING (cell)) SELECT dataset, CAST(cell AS VARCHAR) || '-1' AS barcode, 'IG' || CASE WHEN heavy THEN 'H' ELSE 'K' END AS chain, v_name, j_name, umi, reads, seq, substr(seq, 3, 28) AS vj_seq FROM c")
+def s01(spark, d):
+    """Contigs written as JSON arrays, a file a market segment and group of cells, read in pieces and reduced to chains."""
+    cells = M.cells(spark, d).select("cell", "dataset")
+    c = M.chains(spark, d).join(cells, "cell").withColumn("seq", F.translate(F.md5(F.col("name").cast("binary")), M.HEX, M.BASES))
+    kind = F.when(F.col("heavy"), "IGH").otherwise("IGK")
+    note = lambda region, gene, a, b: F.struct(F.lit(a).alias("contig_match_start"), F.lit(b).alias("contig_match_end"), F.struct(kind.alias("chain"), gene.alias("gene_name"), F.lit(region).alias("region_type")).alias("feature"))
+    barcode = F.concat(F.col("cell").cast("string"), F.lit("-1"))
+    record = F.struct(
+        barcode.alias("barcode"), F.concat(barcode, F.lit("_contig_"), "ix").alias("contig_name"), F.col("seq").alias("sequence"), F.repeat(F.lit("}"), 32).alias("quals"), F.lit('"{"').alias("version"), F.col("umi").cast("int").alias("umi_count"),
+        F.col("reads").cast("int").alias("read_count"), F.lit(True).alias("productive"), F.lit(True).alias("high_confidence"), F.lit(True).alias("is_cell"),
+        F.array(note("L-REGION+V-REGION", F.col("v_name"), 2, 20), note("J-REGION", F.col("j_name"), 24, 30)).alias("annotations"),
+    )
+    path = stage_path(spark, "contigs")
+    K.write_json_arrays(c.select("dataset", F.pmod("cell", F.lit(8)).alias("part"), "cell", "ix", F.to_json(record).alias("record")), ["dataset", "part"], ["cell", "ix"], path)
+    found = R.json_objects(spark, f"{path}/*/*/part-*").select(F.from_json("object", R.CONTIG).alias("r"), F.regexp_extract("file", "dataset=([^/]*)", 1).alias("dataset")).select("r.*", F.url_decode("dataset").alias("dataset"))
+    return R.contig_chains(found).select("dataset", "barcode", "chain", "v_name", "j_name", F.col("umi").cast("long").alias("umi"), F.col("reads").cast("long").alias("reads"), "seq", "vj_seq")
+
+
+MATRIX = W + M.FEATURE + ", b AS (SELECT DISTINCT o_custkey AS cell FROM orders UNION SELECT cell FROM feat)"
+
+
+@query("s09_sparse_matrix", MATRIX + " SELECT CAST(b.cell AS VARCHAR) AS barcode, count(feat.feature) FILTER (feat.count <> 0) AS features, coalesce(CAST(sum(feat.count) AS BIGINT), 0) AS total FROM b LEFT JOIN feat USING (cell) GROUP BY b.cell")
+def s09m(spark, d):
+    """A sparse matrix of features by cells, written in coordinate form and read back; cells without a count stay."""
+    feat = M.features(spark, d).select(F.col("cell").cast("string").alias("barcode"), "feature", "count")
+    cells = table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("barcode")).union(feat.select("barcode")).distinct()
+    path = stage_path(spark, "matrix")
+    write_matrix(feat, cells, feat.select("feature").union(spark.range(1).select(F.lit("never seen"))).distinct(), path)
+    barcodes, _, counts = read_matrix(spark, path)
+    n = counts.groupBy("barcode").agg(F.count("*").alias("features"), F.sum("count").alias("total"))
+    return barcodes.select("barcode").join(n, "barcode", "left").select("barcode", F.coalesce("features", F.lit(0)).alias("features"), F.coalesce("total", F.lit(0)).alias("total"))
