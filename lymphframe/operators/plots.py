@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lymphframe.operators.grouping import fresh, numbered_within
+
 
 def hex_place(k: int) -> tuple[float, float]:
     """Centre of the k-th cell (from 0) on a hexagonal spiral of unit spacing."""
@@ -174,6 +176,23 @@ def category_shades(cells: DataFrame, category: str, most: int) -> DataFrame:
     return cells.join(F.broadcast(ranked), F.col(category).eqNullSafe(F.col("__c")), "left").drop("__c").withColumn("shade", F.coalesce("shade", F.lit(most).cast("long")))
 
 
+def relocated(clusters: DataFrame, part: str | None = None) -> DataFrame:
+    """clusters (id, size, colour, x, y, ...) with like colours brought together: places of one size are dealt out again by colour, in order of their angle.
+
+    A cluster of several colours has a null colour and stays. Places go to clusters of the same size and,
+    if given, the same `part` only, so circles fit as before. Clusters are ordered by colour and id,
+    places by angle, rounded to 1e-9, and id; both are numbered by ranges, so a size that most clusters
+    have, that of single cells, is no single task's work.
+    """
+    key, angle, k = fresh(clusters.columns, "key", "angle", "k")
+    one = clusters.where("colour IS NOT NULL").withColumn(key, F.concat_ws("|", F.col("size").cast("string"), *([F.coalesce(F.concat(F.lit("+"), F.col(part).cast("string")), F.lit("-"))] if part else [])))
+    one = one.withColumn(angle, F.floor(F.atan2("y", "x") * 1e9 + 0.5))
+    to = numbered_within(one.select(key, angle, "id", "x", "y"), key, [angle, "id"], k).select(F.col(key).alias("to_key"), F.col(k).alias("to_k"), F.col("x").alias("to_x"), F.col("y").alias("to_y"))
+    moved = numbered_within(one, key, ["colour", "id"], k).join(to, (F.col(key) == F.col("to_key")) & (F.col(k) == F.col("to_k")))
+    put = {"x": "to_x", "y": "to_y"}
+    return moved.select(*(F.col(put.get(c, c)).alias(c) for c in clusters.columns)).unionByName(clusters.where("colour IS NULL"))
+
+
 LAYOUT = "dataset long, barcode string, x double, y double"
 
 

@@ -11,6 +11,7 @@ from lymphframe.functions import sequence as S
 from lymphframe.operators import alleles as Y
 from lymphframe.operators import annotate as X
 from lymphframe.operators import clonotype as C
+from lymphframe.operators import coherence as H
 from lymphframe.operators import columns as L
 from lymphframe.operators import grouping as G
 from lymphframe.operators import plots as P
@@ -224,3 +225,30 @@ def x07(spark, d):
 @query("x12_description_table", "SELECT p_partkey AS id, p_name || ', ' || p_brand AS description FROM part")
 def x12(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(", ", "p_name", "p_brand").alias("description"))
+
+
+def coherence_chains(spark, d):
+    """(block, donor, light, cdr3): junction residues of the donors' chains."""
+    x = M.donor_chains(spark, d)
+    return x.select(F.col("v_name").alias("block"), "donor", F.col("j_name").alias("light"), S.translate(F.substr("seq", F.lit(85), 3 * F.floor(F.col("cdr3_len") / 3).cast("int"))).alias("cdr3"))
+
+
+@query("x01_penalty_matrix")
+def x01m(spark, d):
+    """The penalty matrix after forty steps of the search, in tenths."""
+    found = H.penalty_matrix(coherence_chains(spark, d), 40)
+    rows = [(a, b, int(found.matrix[i, j])) for i, a in enumerate(H.RESIDUES) for j, b in enumerate(H.RESIDUES)]
+    return spark.createDataFrame(rows, "a string, b string, tenths int").withColumn("pairs", F.lit(found.best).cast("long"))
+
+
+HEX_SQL = ", r AS (SELECT *, greatest(1, ceil((sqrt(12 * k + 9) - 3) / 6 - 1e-12::DOUBLE)) AS ring FROM n), p AS (SELECT *, k - 3 * ring * (ring - 1) - 1 AS past FROM r), h AS (SELECT *, pi() / 3 * floor(past / ring) AS a, past / ring - floor(past / ring) AS t FROM p), pl AS (SELECT *, " + ", ".join(f"CASE WHEN k = 0 THEN 0 ELSE round(ring * ({f}(a) + ({f}(a + pi() / 3) - {f}(a)) * t), 6) + 0 END AS {c}" for f, c in (("cos", "x"), ("sin", "y"))) + " FROM h)"
+
+
+@query("v04_like_colours_together", "WITH c AS (SELECT o_custkey AS id, count(*) AS size, CASE WHEN min(o_orderpriority) = max(o_orderpriority) THEN min(o_orderpriority) END AS colour FROM orders GROUP BY 1), n AS (SELECT *, CAST(row_number() OVER (ORDER BY size DESC, id) - 1 AS DOUBLE) AS k FROM c)" + HEX_SQL + ", z AS (SELECT *, row_number() OVER (PARTITION BY size ORDER BY colour, id) AS ca, row_number() OVER (PARTITION BY size ORDER BY floor(atan2(y, x) * 1e9 + 0.5), id) AS an FROM pl WHERE colour IS NOT NULL) SELECT a.id, a.size, a.colour, b.x, b.y FROM z a JOIN z b ON a.size = b.size AND a.ca = b.an UNION ALL SELECT id, size, colour, x, y FROM pl WHERE colour IS NULL")
+def v04c(spark, d):
+    """Clusters of cells on a honeycomb, largest in the middle; those of one colour and size are brought together."""
+    c = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").alias("size"), F.min("o_orderpriority").alias("lo"), F.max("o_orderpriority").alias("hi"))
+    c = c.select("id", "size", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("colour"), (-F.col("size")).alias("by"), F.lit("").alias("all"))
+    k = G.numbered_within(c, "all", ["by", "id"], "k")
+    x, y = P.hex_columns(F.col("k"))
+    return P.relocated(k.select("id", "size", "colour", (F.round(x, 6) + 0.0).alias("x"), (F.round(y, 6) + 0.0).alias("y")))
