@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from lymphframe.session import stage
+
 #: ASCII lower-casing of UTF-8 bytes; other letters stay as they are.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -79,12 +81,27 @@ def label_sample(labels: DataFrame, label: str, bound: int, divisor: int = 0, re
     return y.orderBy(F.xxhash64("id"), "id").limit(bound)
 
 
-def labelled(documents: DataFrame, labels: DataFrame, label: str, bound: int, divisor: int, remainder: int) -> DataFrame:
-    """(id, text, y): the whole texts of label_sample(); of several rows with one id, the least text."""
+#: UTF-8 bytes of labelled texts that are learned from, at most: they reach the driver.
+LEARN_BYTES = 1 << 27
+
+
+def labelled(documents: DataFrame, labels: DataFrame, label: str, bound: int, divisor: int, remainder: int, most_bytes: int = LEARN_BYTES) -> DataFrame:
+    """(id, text, y): the whole texts of label_sample(); of several rows with one id, the least text.
+
+    Texts are taken in order of a hash of their id until they hold `most_bytes`; a text that doesn't
+    fit any more is left out of learning, not cut. So both rows and bytes have a bound.
+    """
     y = label_sample(labels, label, bound, divisor, remainder)
     d = documents.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     # y has a proven bound: `bound` rows of two numbers
-    return d.join(F.broadcast(y), "id").groupBy("id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
+    rows = stage(d.join(F.broadcast(y), "id").groupBy("id").agg(F.min("text").alias("text"), F.first("y").alias("y")), "labelled")
+    left, out = most_bytes, []
+    for r in sorted(rows.select(F.xxhash64("id").alias("h"), "id", F.octet_length("text").alias("n")).collect()):
+        if r.n <= left:
+            left -= r.n
+        else:
+            out.append(r.id)
+    return rows.where(~F.col("id").isin(out)) if out else rows
 
 
 def sigmoid(x):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lymphframe.llm.common import arrow_map, sigmoid
+from lymphframe.llm.common import arrow_map, fresh, sigmoid
 from lymphframe.session import stage, table
 
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -157,13 +157,15 @@ def decode(c: int) -> tuple[int, tuple[int, ...]]:
 #: How often a labeler is taken to be right before the counts speak, and how many spans that view is worth; checksums and ranges are known best.
 RIGHT = {"card": {1: (0.98, 100.0)}, "ip": {1: (0.95, 50.0)}, "phone": {1: (0.8, 10.0)}}
 USUALLY = 0.7, 8.0
+#: Labelers that are never wrong when they vote against: a card number that fails its checksum isn't one, however rare or frequent.
+VETO = {"card": 1}
 
 
 def fit(counts: dict[int, int], rounds: int = 200) -> dict[int, float]:
     """Probability of each pattern code, from their corpus-wide counts alone.
 
     EM, kind by kind: two classes, labelers independent given the class, each with reliabilities of
-    its own for the kind. What is known of a labeler beforehand counts as a set number of spans, however
+    its own for the kind; a labeler of VETO has one of 1, so what it votes against has probability 0. What is known of a labeler beforehand counts as a set number of spans, however
     many there are, so the counts have the last word. The classifier is then fitted to the posteriors,
     weighted by counts, on each kind's votes and on lengths.
     """
@@ -175,14 +177,15 @@ def fit(counts: dict[int, int], rounds: int = 200) -> dict[int, float]:
     kind = np.array(kind)
     v = np.array([x[:LABELERS] for x in vote]) + 1
     size = np.array([x[LABELERS] for x in vote])
-    p = np.zeros(len(keys))
+    p, out_of_question = np.zeros(len(keys)), np.zeros(len(keys), bool)
     for k in set(kind.tolist()):
         rows = np.flatnonzero(kind == k)
         m, w = n[rows], v[rows]
+        never = w[:, VETO[KINDS[k]]] == 0 if KINDS[k] in VETO else np.zeros(len(rows), bool)
         right, worth = np.array([RIGHT.get(KINDS[k], {}).get(j, USUALLY) for j in range(LABELERS)]).T
         # votes against, none, for: none says nothing
         lean = np.stack([(1 - right) * 2 / 3, np.full(LABELERS, 1 / 3), right * 2 / 3], 1)
-        q = sigmoid(np.log(lean / lean[:, ::-1])[np.arange(LABELERS), w].sum(1))
+        q = np.where(never, 0.0, sigmoid(np.log(lean / lean[:, ::-1])[np.arange(LABELERS), w].sum(1)))
         for _ in range(rounds):
             prior = (m @ q + 1) / (m.sum() + 2)
             log_odds = np.full(len(rows), np.log(prior / (1 - prior)))
@@ -190,11 +193,11 @@ def fit(counts: dict[int, int], rounds: int = 200) -> dict[int, float]:
                 one, zero = (np.array([(m * x)[w[:, j] == y].sum() for y in range(3)]) for x in (q, 1 - q))
                 one, zero = one + worth[j] * lean[j], zero + worth[j] * lean[j, ::-1]
                 log_odds += np.log(one / one.sum() / (zero / zero.sum()))[w[:, j]]
-            new = sigmoid(log_odds)
+            new = np.where(never, 0.0, sigmoid(log_odds))
             done, q = np.abs(new - q).max() < 1e-9, new
             if done:
                 break
-        p[rows] = q
+        p[rows], out_of_question[rows] = q, never
     own = np.eye(len(KINDS))[kind]
     columns = [(own[:, :, None] * np.eye(3)[v[:, j]][:, None, [0, 2]]).reshape(len(keys), -1) for j in range(LABELERS)] + [own, np.eye(4)[size]]
     x = np.concatenate(columns, 1)
@@ -204,7 +207,7 @@ def fit(counts: dict[int, int], rounds: int = 200) -> dict[int, float]:
         slope = x.T @ (weight * (q - p)) + 1e-5 * w
         curve = (x * (weight * (q * (1 - q) + 1e-4))[:, None]).T @ x + 1e-5 * np.eye(len(w))
         w -= np.clip(np.linalg.solve(curve, slope), -2, 2)
-    return dict(zip(keys, sigmoid(x @ w).tolist()))
+    return dict(zip(keys, np.where(out_of_question, 0.0, sigmoid(x @ w)).tolist()))
 
 
 def chosen(base: list[tuple[str, int, int]], more: list[tuple[str, int, int, int]], model: dict[int, float]) -> list[tuple[str, int, int]]:
@@ -296,7 +299,8 @@ def mask_all(documents: DataFrame, text_col: str = "text", chars_col: str = "n_c
 
     Texts are read twice, once to learn and once to mask, rather than kept in between.
     """
-    model = learn(scan(documents.select(text_col, F.lit(0).alias("__row")), "__row", text_col))
+    row = fresh([text_col], "row")[0]
+    model = learn(scan(documents.select(text_col, F.lit(0).alias(row)), row, text_col))
     names = documents.columns
 
     def one(t: str | None) -> str | None:

@@ -45,6 +45,8 @@ SLOPE, BIAS = 2.4, -2.4
 
 _SPACES = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _CLAUSE = re.compile(r"[.!?;:\n]+")
+#: A contracted negation, with either apostrophe: "aren't" reads as "are not".
+_CONTRACTED = re.compile(r"n['\u2019]t\b", re.IGNORECASE)
 
 
 class Transducer:
@@ -156,7 +158,7 @@ def features(text: str | None, lexicon: Lexicon, machine: Transducer) -> dict[tu
         return {}
     out: Counter = Counter()
     for clause in _CLAUSE.split(text):
-        symbols = [lexicon[w] for w in clause.encode("utf-8", "replace").translate(_SPACES).split()]
+        symbols = [lexicon[w] for w in _CONTRACTED.sub(" not", clause).encode("utf-8", "replace").translate(_SPACES).split()]
         if INSULT_ in symbols or THREAT_ in symbols:
             out[machine.run(symbols)] += 1
     return out
@@ -271,7 +273,8 @@ def probability(f: dict[tuple[int, ...], int], model: dict) -> float:
 
 def train(documents: DataFrame, labels: DataFrame, bound: int = SAMPLE, divisor: int = DIVISOR, remainder: int = REMAINDER) -> dict:
     """Lexicon and weights from at most `bound` labelled documents outside the held-out fold."""
-    rows = [(r.text, r.y) for r in labelled(documents, labels, "toxic", bound, divisor, remainder).select("text", "y").toLocalIterator()]
+    found = labelled(documents, labels, "toxic", bound, divisor, remainder).select("id", "text", "y").toLocalIterator()
+    rows = [(t, y) for _, t, y in sorted((r.id, r.text, r.y) for r in found)]
     words, stems = learn_lexicon(rows)
     lexicon, machine = Lexicon([*INSULT, *words], stems), grammar()
     return {"words": [*INSULT, *words], "stems": stems} | fit([(features(t, lexicon, machine), y) for t, y in rows])

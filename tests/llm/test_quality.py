@@ -120,3 +120,15 @@ def test_training_and_scores_against_plain_ftrl(spark):
     for r in Q.score(docs, w, bias).collect():
         i, v = Q.features(rows[r.id][0] if r.id < 99 else "thing " * 200_000, tokens)
         assert abs(r.score - 1 / (1 + np.exp(-(bias + sum(w[a] * b for a, b in zip(i, v)))))) < 1e-6
+
+
+def test_what_is_learned_from_has_a_bound_of_bytes(spark):
+    from lymphframe.llm import common
+
+    docs = spark.createDataFrame([(k, "x" * (10 if k % 2 else 1000)) for k in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 3 % 2) for k in range(20)], "doc_id long, quality int")
+    whole = common.labelled(docs, labels, "quality", 20, 0, 0).collect()
+    assert len(whole) == 20 and {len(r.text) for r in whole} == {10, 1000}
+    part = common.labelled(docs, labels, "quality", 20, 0, 0, 3500).collect()
+    assert sum(len(r.text) for r in part) <= 3500 and {r.text for r in part} <= {r.text for r in whole} and sum(len(r.text) == 1000 for r in part) == 3
+    assert [tuple(r) for r in common.labelled(docs, labels, "quality", 20, 0, 0, 3500).orderBy("id").collect()] == sorted(map(tuple, part))

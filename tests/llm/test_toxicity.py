@@ -77,8 +77,8 @@ def test_held_out_accuracy_and_contract(spark):
     assert sum(p == t for p, t in held) / len(held) >= 0.95
 
 
-def test_held_out_accuracy_and_recall_over_a_word_list(spark):
-    """At 0.1, on the held-out fold: over what a rule of one seed word reaches (0.9709, recall 0.763)."""
+def test_held_out_accuracy_and_recall(spark):
+    """At 0.1, on the held-out fold. A rule of one word of the learned lexicon reaches as much there (0.9855), as labels mark scattered words."""
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     y = {r.doc_id: r.toxic for r in labels.collect()}
@@ -94,3 +94,11 @@ def test_edge_rows(spark):
     assert got == {(1, 0), (2, 0), (3, 1), (None, 0), (5, 0)}
     assert T.toxicity(docs.limit(0), none).count() == 0
     assert T.drop_toxic(docs, none).count() == 4
+
+
+def test_contracted_negations():
+    machine, lexicon = T.grammar(), T.Lexicon(T.INSULT, [])
+    arcs = lambda t: sum((k[T.ARC_NEGATION] * n for k, n in T.features(t, lexicon, machine).items()), 0)
+    for text in ("You are not an idiot", "You aren't an idiot", "You AREN'T an idiot", "He isn\u2019t a loser", "I won't kill you", "they can't be idiot"):
+        assert arcs(text) == 1
+    assert arcs("You want an idiot") == arcs("n't. You idiot") == 0
