@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lymphframe.functions import conditions as C
+from lymphframe.functions import features as Q
 from lymphframe.functions import regions as R
 from lymphframe.functions import sequence as S
 from lymphframe.functions.regions import region_starts
@@ -19,7 +20,7 @@ from lymphframe.operators.components import connected_components
 from lymphframe.plans.functions import AA, AMINO, amino
 from lymphframe.plans.registry import query
 from lymphframe.plans.structures import tree_members
-from lymphframe.session import table
+from lymphframe.session import stage, table
 from lymphframe.sources import mapped as M
 from lymphframe.streaming.counts import windowed_counts
 
@@ -170,6 +171,62 @@ def f08r(spark, d):
 
 
 
+CHAINS = ("IGH", "IGK", "IGL", "TRA", "TRB")
+#: Named variables of each of the four queries on found regions.
+COUNTED = ["count_cdr_[ST]", "count_fwr_[ST]", "count_cdr1_C", "count_fwr2_[KR]", "count_fwr3_S", "count_Q"]
+SLICED = ["cdr1_aa_ref", "cdr1_dna_ref", "cdr2_aa_ref", "fwr1_dna_ref", "fwr2_aa_ref", "cdr1_dna", "cdr2_aa", "fwr2_len"]
+EXTENDED = ["cdr1_aa_2_1_ext", "cdr1_aa_-1_-1_ext", "cdr2_aa_0_3_ext", "cdr3_aa_1_2_ext"]
+NORTHERN = ["cdr1_aa_north", "cdr2_aa_north", "cdr3_aa_north"]
+
+
+def on_regions(spark, d, names):
+    """The named variables of 128 residues a name, for each chain type by its own starts; CDR3 ends three residues before the end, references are the least name of the same length."""
+    seq = F.concat(*(M.dna(F.concat("name", F.lit(t))) for t in ("", "a", "b", "c")))
+    x = M.segments(spark, d).select("name", F.length("name").alias("len"), seq.alias("dna")).withColumn("aa", S.translate(F.col("dna")))
+    r = x.groupBy("len").agg(F.min_by("dna", "name").alias("ref_dna"), F.min_by("aa", "name").alias("ref_aa"))
+    x = stage(x.join(r, "len"), "residues")
+    ref = any("_ref" in n for n in names)
+    out = None
+    for chain in CHAINS:
+        place = lambda c, chain=chain: R.starts(F.col(c), chain).withField("cdr3_end", F.length(c) - 3)
+        y = x.withColumn("starts", place("aa"))
+        y = y.withColumn("ref_starts", place("ref_aa")) if ref else y
+        y = y.select(F.lit(chain).alias("chain"), "name", *(c.alias(n) for n, c in Q.planned(names, chain in ("IGH", "TRB")).items()))
+        out = y if out is None else out.unionByName(y)
+    return out
+
+
+@query("f07_counts_in_found_regions")
+def f07(spark, d):
+    return on_regions(spark, d, COUNTED)
+
+
+@query("f09_slices_of_found_regions")
+def f09(spark, d):
+    return on_regions(spark, d, SLICED)
+
+
+@query("f10_extended_found_regions")
+def f10(spark, d):
+    return on_regions(spark, d, EXTENDED)
+
+
+@query("f11_north_of_found_regions")
+def f11(spark, d):
+    return on_regions(spark, d, NORTHERN)
+
+
+KAPPA = REGIONS.split(" SELECT name, fr1")[0].rstrip() + ", reg AS (" + REGIONS[REGIONS.index("SELECT name, fr1") :] + ")"
+
+
+@query("f07_kappa_counts", KAPPA + " SELECT name, " + ", ".join(f"CASE WHEN {a} <= {b} THEN len(regexp_extract_all(substr(aa, CAST({a} AS INT) + 1, CAST({b} - {a} AS INT)), '{m}')) ELSE 0 END AS \"count_{r}_{m}\"" for r, a, b, m in (("cdr1", "cdr1", "fr2", "[ST]"), ("fwr1", "fr1", "cdr1", "[ST]"), ("fwr2", "fr2", "cdr2", "[KR]"))) + " FROM reg JOIN res USING (name)")
+def f07k(spark, d):
+    """Counts within kappa regions, by reference SQL."""
+    x = long_amino(spark, d).withColumn("starts", R.starts(F.col("aa"), "IGK"))
+    names = ["count_cdr1_[ST]", "count_fwr1_[ST]", "count_fwr2_[KR]"]
+    return x.select("name", *(c.alias(n) for n, c in Q.planned(names, False).items()))
+
+
 @query("x09_group_correspondence", W + M.SIGNATURE + ", e AS (SELECT DISTINCT 'a' || exact AS src, 'b' || clono AS dst FROM sig) SELECT src, dst FROM e")
 def x09(spark, d):
     """Two runs' groups that share cells, as a bipartite graph."""
