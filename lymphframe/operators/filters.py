@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lymphframe.functions.stats import binomial_tail
+from lymphframe.operators.components import connected_components
 from lymphframe.operators.grouping import fresh
 from lymphframe.session import stage
 
@@ -37,11 +38,21 @@ class Step:
     rule: str | Callable[[DataFrame], DataFrame]
 
 
+@dataclass(frozen=True)
+class Regroup:
+    """A step that removes nothing but gives the cells that are left another value of a column: a function from them to (key, column)."""
+
+    label: str
+    switch: str
+    column: str
+    rule: Callable[[DataFrame], DataFrame]
+
+
 #: Switches that turn off every filter, or every one but the named.
 COMPOSITE = {"NALL": None, "NALL_CELL": "CELL", "NALL_GEX": "GEX"}
 
 
-def active(steps: Iterable[Step], off: Iterable[str] = ()) -> list[Step]:
+def active(steps: Iterable[Step | Regroup], off: Iterable[str] = ()) -> list[Step | Regroup]:
     """The steps that are left when switches are given; an unknown switch is an error."""
     steps, off = list(steps), set(off)
     unknown = off - set(COMPOSITE) - {s.switch for s in steps}
@@ -50,7 +61,7 @@ def active(steps: Iterable[Step], off: Iterable[str] = ()) -> list[Step]:
     return [s for s in steps if s.switch not in off and all(s.label == COMPOSITE[o] for o in off & set(COMPOSITE))]
 
 
-def run_chain(cells: DataFrame, steps: Iterable[Step], off: Iterable[str] = (), key: str = "cell") -> DataFrame:
+def run_chain(cells: DataFrame, steps: Iterable[Step | Regroup], off: Iterable[str] = (), key: str = "cell") -> DataFrame:
     """All cells with a column `filter`: the label of the step that removed each, null for those that stay.
 
     Steps see only what those before them left. Conditions on single cells take no shuffle and are
@@ -61,10 +72,16 @@ def run_chain(cells: DataFrame, steps: Iterable[Step], off: Iterable[str] = (),
     """
     out = cells.withColumn("filter", F.lit(None).cast("string"))
     for s in active(steps, off):
-        if isinstance(s.rule, str):
+        if isinstance(s, Step) and isinstance(s.rule, str):
             out = out.withColumn("filter", F.when(F.col("filter").isNull() & F.coalesce(F.expr(s.rule), F.lit(False)), s.label).otherwise(F.col("filter")))
             continue
         out = stage(out, "cells")
+        if isinstance(s, Regroup):
+            to, value = fresh(out.columns, "to", "value")
+            new = s.rule(out.where("filter IS NULL")).select(F.col(key).alias(to), F.col(s.column).alias(value))
+            put = F.when(F.col("filter").isNull(), F.coalesce(value, s.column)).otherwise(F.col(s.column)).alias(s.column)
+            out = out.join(new, F.col(key) == F.col(to), "left").select(*(put if c == s.column else c for c in out.columns))
+            continue
         mark = fresh(out.columns, "bad")[0]
         bad = s.rule(out.where("filter IS NULL")).select(key).distinct().withColumn(mark, F.lit(True))
         out = out.join(bad, key, "left").withColumn("filter", F.when(F.col(mark), s.label).otherwise(F.col("filter"))).drop(mark)
@@ -162,3 +179,120 @@ def baseline(cells: DataFrame, dataset: str, total: str, least: int = 20) -> Dat
     """(dataset, umin): min(10th percentile, median - 4 * sqrt(median)) of cells that stand alone, from `least` of them on."""
     p = cells.groupBy(dataset).agg(F.count("*").alias("n"), F.percentile(total, 0.1).alias("p10"), F.median(total).alias("p50")).where(F.col("n") >= least)
     return p.select(dataset, F.least("p10", F.col("p50") - 4 * F.sqrt("p50")).alias("umin"))
+
+
+@dataclass(frozen=True)
+class Limits:
+    """Numbers of the default filters; the defaults are the published ones."""
+
+    contigs: int = 4
+    cross: float = 1e-6
+    cross_umis: int = 100
+    junk: float = 10.0
+    foursie_cells: int = 10
+    weak_onesies: float = 0.001
+    baseline_cells: int = 20
+    umi_ratio: float = 500.0
+    doublet: int = 5
+    signature: int = 20
+    merge_onesies: float = 0.0001
+    weak_chain_cells: int = 20
+    weak_chain_times: int = 8
+    quality: int = 2
+
+
+def exploded(cells: DataFrame) -> DataFrame:
+    """(cell, dataset, clonotype, exact, part, umi): a row a chain of cells (default_filters())."""
+    return cells.select("cell", "dataset", "clonotype", "exact", F.explode("parts").alias("p")).select("cell", "dataset", "clonotype", "exact", F.col("p.key").alias("part"), F.col("p.umi").alias("umi"))
+
+
+def junk(cells: DataFrame, times: float) -> DataFrame:
+    """(cell): those that share the first or last eight letters of their barcode with a cell of the dataset that has `times` their UMIs."""
+    x = cells.select("cell", "dataset", "umi", F.substring("barcode", 1, 8).alias("first"), F.right("barcode", F.lit(8)).alias("last"))
+    for half in ("first", "last"):
+        x = x.join(x.groupBy("dataset", half).agg(F.max("umi").alias(f"top_{half}")), ["dataset", half], "left")
+    top = F.greatest("top_first", "top_last")
+    return x.where((top >= times * F.col("umi")) & (top > F.col("umi"))).select("cell")
+
+
+def _foursie(cells: DataFrame, least: int) -> DataFrame:
+    side = lambda c: F.transform(F.filter("parts", lambda p: p["key"].startswith(c)), lambda p: p["key"])
+    p = cells.select("cell", "nchains", F.explode(side("H")).alias("h"), side("L").alias("l")).select("cell", "nchains", "h", F.explode("l").alias("l"))
+    return foursies(cells, p.select("cell", F.concat_ws("|", "h", "l").alias("pair"), "nchains").distinct(), least)
+
+
+def weak_chains(cells: DataFrame, most: int, times: int) -> DataFrame:
+    """(cell): those that have a chain which, in a clonotype of three or more, few of its cells have."""
+    c = exploded(cells).select("cell", "clonotype", "part").distinct()
+    kinds = c.groupBy("clonotype", "part").agg(F.count("*").alias("support"))
+    three = kinds.groupBy("clonotype").agg(F.count("*").alias("chains")).where("chains >= 3").select("clonotype")
+    total = cells.groupBy("clonotype").agg(F.count("*").alias("total"))
+    weak = kinds.join(three, "clonotype", "left_semi").join(total, "clonotype").where((F.col("support") <= most) & (times * F.col("support") < F.col("total")))
+    return c.join(weak.select("clonotype", "part"), ["clonotype", "part"], "left_semi").select("cell").distinct()
+
+
+def reformed(cells: DataFrame) -> DataFrame:
+    """(cell, clonotype): clonotypes that fell apart, anew as what shared chains still hold together: the old name and the least exact signature."""
+    c = exploded(cells).select("clonotype", "exact", "part").distinct()
+    node = lambda e: F.concat_ws("|", "clonotype", e)
+    low = c.groupBy("clonotype", "part").agg(F.min("exact").alias("low"))
+    edges = c.join(low, ["clonotype", "part"]).select(node("low").alias("src"), node("exact").alias("dst"))
+    root = connected_components(edges)
+    return cells.select("cell", node("exact").alias("own")).join(root, F.col("own") == F.col("node"), "left").select("cell", F.coalesce("root", "own").alias("clonotype"))
+
+
+def _onesies(cells: DataFrame) -> DataFrame:
+    return cells.where("nchains = 1").groupBy("exact").agg(F.count("*").alias("n"), F.min(F.col("parts")[0]["key"]).alias("part"))
+
+
+def _split_onesies(cells: DataFrame, share: float) -> DataFrame:
+    total = cells.agg(F.count("*").alias("total"))  # one row
+    weak = _onesies(cells).where(F.col("part").startswith("L")).crossJoin(F.broadcast(total)).where(F.col("n") < share * F.col("total")).select("exact")
+    return cells.where("nchains = 1").join(weak, "exact", "left_semi").select("cell", F.concat_ws("#", "clonotype", "cell").alias("clonotype"))
+
+
+def _merged_onesies(cells: DataFrame, share: float) -> DataFrame:
+    total = cells.agg(F.count("*").alias("total"))  # one row
+    common = _onesies(cells).crossJoin(F.broadcast(total)).where(F.col("n") >= share * F.col("total")).select("exact", "part")
+    into = exploded(cells.where("nchains > 1")).groupBy("part").agg(F.min("clonotype").alias("into"))
+    return cells.where("nchains = 1").join(common, "exact").join(into, "part").select("cell", F.col("into").alias("clonotype"))
+
+
+def default_filters(called: DataFrame, limits: Limits = Limits()) -> list[Step | Regroup]:
+    """The sixteen default filters with a published rule, in their order; each has a switch of its own.
+
+    They work on cells (cell, dataset, barcode, called, umi, top, nchains, parts, exact, clonotype): parts
+    an array of (key, umi), keys of heavy chains begin with H, of light ones with L; exact names the set
+    of keys; umi is the cell's total, top its best chain; called says whether it is a cell at all. `called`,
+    the table, has the cells that expression data show. Graph filtering has no published rule.
+    """
+    n, sides = limits, F.size(F.array_distinct(F.transform("parts", lambda p: F.substring(p["key"], 1, 1))))
+
+    def umi(cells: DataFrame) -> DataFrame:
+        alone = cells.where("nchains = 2").join(cells.groupBy("clonotype").agg(F.count("*").alias("size")).where("size = 1").select("clonotype"), "clonotype", "left_semi")
+        return low_umis(cells, baseline(alone, "dataset", "umi", n.baseline_cells), "clonotype", "dataset", "umi")
+
+    def doublet(cells: DataFrame) -> DataFrame:
+        pure = cells.groupBy(F.concat_ws("|", "clonotype", "exact").alias("id")).agg(F.count("*").alias("n"), F.first(F.transform("parts", lambda p: p["key"])).alias("keys"))
+        return cells.join(doublets(pure, n.doublet), F.concat_ws("|", "clonotype", "exact") == F.col("id"), "left_semi")
+
+    return [
+        Step("CELL", "NCELL", "NOT called"),
+        Step("MAX_CONTIGS", "NMAX", f"nchains > {n.contigs}"),
+        Step("CROSS", "NCROSS", lambda c: cross(exploded(c), c.groupBy("dataset").agg(F.count("*").alias("cells")), limit=n.cross, least_umis=n.cross_umis)),
+        Step("BC_DUP", "NBC_DUP", duplicated(["exact", "barcode"])),
+        Step("WHITEF", "NWHITEF", lambda c: junk(c, n.junk)),
+        Step("FOURSIE", "NFOURSIE_KILL", lambda c: _foursie(c, n.foursie_cells)),
+        Step("IMPROPER", "NIMPROPER", lambda c: c.where((F.col("nchains") > 1) & (sides == 1))),
+        Regroup("WEAK_ONESIES", "NWEAK_ONESIES", "clonotype", lambda c: _split_onesies(c, n.weak_onesies)),
+        Step("UMI", "NUMI", umi),
+        Step("UMI_RATIO", "NUMI_RATIO", outdone("clonotype", "top", "umi", n.umi_ratio)),
+        Step("GEX", "NGEX", lambda c: c.join(called.select("cell"), "cell", "left_anti")),
+        Step("DOUBLET", "NDOUBLET", doublet),
+        Regroup("DOUBLET_REFORM", "NDOUBLET", "clonotype", reformed),
+        Step("SIGNATURE", "NSIG", contaminants("exact", "nchains", n.signature)),
+        Regroup("MERGE_ONESIES", "NMERGE_ONESIES", "clonotype", lambda c: _merged_onesies(c, n.merge_onesies)),
+        Step("WEAK_CHAINS", "NWEAK_CHAINS", lambda c: weak_chains(c, n.weak_chain_cells, n.weak_chain_times)),
+        Regroup("WEAK_CHAINS_REFORM", "NWEAK_CHAINS", "clonotype", reformed),
+        Step("QUAL", "NQUAL", f"top < {n.quality}"),
+    ]

@@ -72,6 +72,26 @@ def k18f(spark, d):
     return c.groupBy("dataset", F.coalesce("filter", F.lit("kept")).alias("fate")).agg(F.count("*").alias("n"))
 
 
+def whole_cells(spark, d):
+    """Cells for the sixteen default filters: chains by side and V segment, barcodes of customers, clonotypes of market segment and least heavy chain."""
+    v = table(spark, d, "part").select(F.col("p_partkey").alias("part"), F.substring("p_brand", -2, 1).alias("v"))
+    c = M.chains_plain(spark, d).join(v, "part").select("cell", F.concat(F.when(F.col("heavy"), "H").otherwise("L"), "v").alias("key"), "umi")
+    c = c.groupBy("cell", "key").agg(F.max("umi").alias("umi")).groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("key", "umi"))).alias("parts"), F.sum("umi").alias("umi"), F.max("umi").alias("top"), F.count("*").alias("nchains"))
+    code = F.md5(F.col("o_custkey").cast("string").cast("binary"))
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("cell"), (F.col("o_orderstatus") != "P").alias("called"), F.concat(F.substring(code, 1, 3), F.lit("AAAAA"), F.substring(code, 4, 8)).alias("barcode"))
+    x = M.cells(spark, d).select("cell", "dataset").join(o, "cell").join(c, "cell")
+    keys = F.transform("parts", lambda p: p["key"])
+    return x.select("cell", "dataset", "barcode", "called", "umi", "top", "nchains", "parts", F.array_join(keys, " ").alias("exact"), F.concat_ws("/", "dataset", F.col("parts")[0]["key"]).alias("clonotype"))
+
+
+@query("k18_default_filters")
+def k18w(spark, d):
+    """What each cell falls to, and the clonotype of those that stay, when all default filters run in order."""
+    called = table(spark, d, "events").select(F.col("user_id").alias("cell")).distinct()
+    limits = K.Limits(cross=0.3, cross_umis=30, umi_ratio=3, weak_onesies=0.01, merge_onesies=0.001, baseline_cells=5)
+    return K.run_chain(whole_cells(spark, d), K.default_filters(called, limits)).select("cell", "filter", "clonotype")
+
+
 @query("k15_merged_onesies", W + M.SIGNATURE + ", g AS (SELECT exact, nchains, count(*) AS n FROM sig GROUP BY ALL), m AS (SELECT exact, unnest(list_distinct(string_split(exact, ' '))) AS chain FROM g WHERE nchains > 1), b AS (SELECT chain, min(exact) AS into_ FROM m GROUP BY chain) SELECT g.exact, CASE WHEN g.n >= 0.001 * (SELECT count(*) FROM sig) THEN coalesce(b.into_, g.exact) ELSE g.exact END AS clonotype FROM g LEFT JOIN b ON g.exact = b.chain WHERE g.nchains = 1")
 def k15m(spark, d):
     """A single chain joins the least signature that has it, unless it is too rare for that."""
