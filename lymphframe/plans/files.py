@@ -181,7 +181,7 @@ def s01(spark, d):
     note = lambda region, gene, a, b: F.struct(F.lit(a).alias("contig_match_start"), F.lit(b).alias("contig_match_end"), F.struct(kind.alias("chain"), gene.alias("gene_name"), F.lit(region).alias("region_type")).alias("feature"))
     barcode = F.concat(F.col("cell").cast("string"), F.lit("-1"))
     record = F.struct(
-        barcode.alias("barcode"), F.concat(barcode, F.lit("_contig_"), "ix").alias("contig_name"), F.col("seq").alias("sequence"), F.repeat(F.lit("}"), 32).alias("quals"), F.lit('"{"').alias("version"), F.col("umi").cast("int").alias("umi_count"),
+        barcode.alias("barcode"), F.concat(barcode, F.lit("_contig_"), "ix").alias("contig_name"), F.col("seq").alias("sequence"), F.concat(F.lit("}{"), F.repeat(F.lit("]"), 30)).alias("quals"), F.lit('"{"').alias("version"), F.col("umi").cast("int").alias("umi_count"),
         F.col("reads").cast("int").alias("read_count"), F.lit(True).alias("productive"), F.lit(True).alias("high_confidence"), F.lit(True).alias("is_cell"),
         F.array(note("L-REGION+V-REGION", F.col("v_name"), 2, 20), note("J-REGION", F.col("j_name"), 24, 30)).alias("annotations"),
     )

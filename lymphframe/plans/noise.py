@@ -36,9 +36,11 @@ def k04(spark, d):
     return K.cross(chains, cells.groupBy("dataset").agg(F.count("*").alias("cells")), limit=0.1, least_umis=30)
 
 
-@query("k05_barcode_duplication", W + M.MEMBER + ", d AS (SELECT exact, cell % 200 AS barcode, count(*) AS n FROM mem GROUP BY ALL) SELECT exact, barcode FROM d WHERE n = 1")
+@query("k05_barcode_duplication", W + M.SIGNATURE + ", d AS (SELECT exact, o_custkey AS barcode, count(*) AS n FROM sig JOIN orders ON cell = o_orderkey GROUP BY ALL) SELECT exact, barcode FROM d WHERE n = 1")
 def k05(spark, d):
-    return M.members(spark, d).groupBy("exact", (F.col("cell") % 200).alias("barcode")).agg(F.count("*").alias("n")).where("n = 1").select("exact", "barcode")
+    """Barcodes, customers here, that stand once in an exact subclonotype."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("cell"), F.col("o_custkey").alias("barcode"))
+    return M.signatures(spark, d).select("cell", "exact").join(o, "cell").groupBy("exact", "barcode").agg(F.count("*").alias("n")).where("n = 1").select("exact", "barcode")
 
 
 PAIRED = M.SIGNATURE + ", pr AS (SELECT DISTINCT h.cell, h.c_name || l.kind || l.c_name AS pair, s.nchains FROM plain h JOIN plain l ON h.cell = l.cell AND h.heavy AND NOT l.heavy JOIN sig s ON s.cell = h.cell)"
