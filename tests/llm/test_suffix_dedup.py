@@ -130,3 +130,15 @@ def test_many_near_copies_of_one_text(spark):
     for hot in (100, 4):
         got = {r.doc_id: tuple(r)[1:] for r in S.remove_repeats(df, hot=hot).collect()}
         assert got == dict(enumerate(brute(texts)))
+
+
+def test_very_long_texts_against_brute_force(spark):
+    """Texts of 300,000 letters that share a passage with themselves and with each other, and one of a single letter."""
+    rng = np.random.default_rng(5)
+    word = lambda n: "".join(rng.choice(list("abcdefghij "), n))
+    passage = word(700)
+    texts = [word(150_000) + passage + word(150_000), word(90_000) + passage + word(300) + passage, "z" * 30_000, word(2000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in S.remove_repeats(df).collect()}
+    assert got[0].n_removed == 700 and got[0].n_spans == 1 and got[1].n_removed == 1400 and got[1].n_spans == 2
+    assert got[2].n_removed == 30_000 and got[3].n_removed == 0 and all(got[k].n_bytes == len(t) for k, t in enumerate(texts))
