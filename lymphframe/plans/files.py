@@ -10,6 +10,7 @@ from lymphframe.session import stage_path, table
 from lymphframe.sources import mapped as M
 from lymphframe.sources import readers as R
 from lymphframe.sources import sinks as K
+from lymphframe.sources.convert import annotations_from_repertoire
 from lymphframe.sources.split import read_matrix, write_matrix
 
 W = "WITH "
@@ -204,3 +205,22 @@ def s09m(spark, d):
     barcodes, _, counts = read_matrix(spark, path)
     n = counts.groupBy("barcode").agg(F.count("*").alias("features"), F.sum("count").alias("total"))
     return barcodes.select("barcode").join(n, "barcode", "left").select("barcode", F.coalesce("features", F.lit(0)).alias("features"), F.coalesce("total", F.lit(0)).alias("total"))
+
+
+@query("s28_json_from_repertoire", "WITH c AS (SELECT 'contig_' || row_number() OVER (ORDER BY o_orderkey) AS name, * FROM orders) SELECT '{\"barcode\":\"B' || o_custkey || '\",\"contig_name\":\"' || name || '\",\"is_cell\":' || (o_orderstatus = 'F') || ',\"high_confidence\":' || (o_orderstatus = 'F') || ',\"productive\":' || (o_orderstatus = 'F') || ',\"read_count\":0,\"umi_count\":' || o_orderkey || ',\"sequence\":\"' || md5(CAST(o_orderkey AS VARCHAR)) || '\",\"quals\":\"' || repeat(']', 32) || '\"}' AS record FROM c")
+def s28r(spark, d):
+    """A repertoire table of the orders, written in order with its columns shuffled, read back as contig annotations."""
+    o = table(spark, d, "orders")
+    line = F.concat_ws("\t", F.md5(F.col("o_orderkey").cast("string").cast("binary")), F.lit("x"), F.when(F.col("o_orderstatus") == "F", "T").otherwise("F"), F.col("o_orderkey").cast("string"), F.concat(F.lit("B"), "o_custkey"))
+    head = spark.range(1).select(F.lit(-1).cast("long").alias("k"), F.lit("sequence\tnote\tproductive\tconsensus_count\tcell_id").alias("value"))
+    path = stage_path(spark, "repertoire.tsv")
+    head.union(o.select("o_orderkey", line)).orderBy("k").select("value").write.text(path)
+    return annotations_from_repertoire(spark, path)
+
+
+@query("s13_chain_columns", W + M.CHAIN + " SELECT CAST(cell AS VARCHAR) AS cell, " + ", ".join(f"coalesce(CAST(max(umi) FILTER (ix = {k}) AS VARCHAR), '') AS u{k}, coalesce(max(v_name) FILTER (ix = {k}), '') AS v{k}" for k in (1, 2)) + " FROM chain GROUP BY cell")
+def s13p(spark, d):
+    """Parseable output with the variables of two chains, of more that the cells have."""
+    one = lambda k, c, n: F.max(F.when(F.col("ix") == k, F.col(c))).alias(f"{n}{k}")
+    x = M.chains(spark, d).groupBy("cell").agg(*(one(k, c, n) for k in (1, 2, 3, 4) for c, n in (("umi", "u"), ("v_name", "v"))))
+    return K.parseable(x, K.parseable_columns(["cell"], ["u", "v"], 2, x.columns))
