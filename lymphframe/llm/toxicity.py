@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -179,11 +180,9 @@ def families(texts: list[str], hashes: int = 6) -> list[int]:
 
     mix = np.random.default_rng(1).integers(1, 2**63, hashes, np.uint64) * np.uint64(2) + np.uint64(1)
     first: dict = {}
-    known = {b"": 0}
     for i, text in enumerate(texts):
         w = (text or "").encode("utf-8", "replace").translate(_SPACES).split()
-        known.update((x, xxhash.xxh3_64_intdigest(x)) for x in w if x not in known)
-        h = np.fromiter(map(known.__getitem__, w or [b""]), np.uint64)
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, w), np.uint64, len(w)) if w else np.zeros(1, np.uint64)
         with np.errstate(over="ignore"):
             if len(h) > 2:
                 h = (h[:-2] * mix[0] + h[1:-1]) * mix[1] + h[2:]
@@ -202,38 +201,45 @@ def learn_lexicon(rows: list[tuple[str, int]], chance: float = 1e-7) -> tuple[li
     binomial tail at the toxic share, at most `chance`, says that this is no accident.
     """
 
-    def found_in(text: str) -> set[tuple[str, str]]:
+    def found_in(text: str) -> set[str]:
+        """Words after a 'w', stems after an 's'."""
         words = {w.decode("utf-8", "replace") for w in (text or "").encode("utf-8", "replace").translate(_SPACES).split()}
-        return {("w", w) for w in words if len(w) >= 3} | {("s", w[:k]) for w in words for k in range(4, min(9, len(w) + 1))}
+        return {"w" + w for w in words if len(w) >= 3} | {"s" + w[:k] for w in words for k in range(4, min(9, len(w) + 1))}
 
     often: Counter = Counter()  # a count alone first: only what is in three toxic documents is looked at closely
     for text, y in rows:
         if y:
             often.update(found_in(text))
-    held: dict[tuple[str, str], tuple[set, set]] = {f: (set(), set()) for f, k in often.items() if k >= 3}
+    #: Families that hold it in documents of label 0, of label 1, in either: three numbers each, however many families there are.
+    held = {f: [0, 0, 0] for f, k in often.items() if k >= 3}
     del often
-    signs: tuple[set, set] = (set(), set())
-    for (text, y), sign in zip(rows, families([t for t, _ in rows])):
-        signs[y].add(sign)
-        for f in found_in(text) & held.keys():
-            held[f][y].add(sign)
-    share = min(0.5, max(0.02, len(signs[1]) / max(1, len(signs[0] | signs[1]))))
-
-    def strong(found: tuple[set, set]) -> bool:
-        k, n = len(found[1]), len(found[0] | found[1])
-        if k < 3 or len(found[0]) * 9 > k:
+    sign = families([t for t, _ in rows])
+    labelled_as: tuple[set, set] = (set(), set())
+    for s, (_, y) in zip(sign, rows):
+        labelled_as[y].add(s)
+    for _, family in groupby(sorted(range(len(rows)), key=sign.__getitem__), key=sign.__getitem__):
+        seen: tuple[set, set] = (set(), set())
+        for i in family:
+            seen[rows[i][1]].update(found_in(rows[i][0]) & held.keys())
+        for k, found in enumerate((*seen, seen[0] | seen[1])):
+            for f in found:
+                held[f][k] += 1
+    share = min(0.5, max(0.02, len(labelled_as[1]) / max(1, len(labelled_as[0] | labelled_as[1]))))
+
+    def strong(against: int, k: int, n: int) -> bool:
+        if k < 3 or against * 9 > k:
             return False
         tail = sum(math.comb(n, i) * share**i * (1 - share) ** (n - i) for i in range(k, n + 1))
         return tail <= chance
 
-    best = {f for f, found in held.items() if strong(found)}
-    words = sorted(w for kind, w in best if kind == "w")
+    best = {f for f, found in held.items() if strong(*found)}
+    words = sorted(f[1:] for f in best if f[0] == "w")
     stems = set()
-    for _, stem in sorted(f for f in best if f[0] == "s"):
-        full = len(held["s", stem][1])
-        while longer := [v for kind, v in best if kind == "s" and len(v) == len(stem) + 1 and v.startswith(stem) and len(held["s", v][1]) >= 0.97 * full]:
+    for stem in sorted(f[1:] for f in best if f[0] == "s"):
+        full = held["s" + stem][1]
+        while longer := [f[1:] for f in best if f[0] == "s" and len(f) == len(stem) + 2 and f[1:].startswith(stem) and held[f][1] >= 0.97 * full]:
             stem = longer[0]  # as long as it takes in the same documents
-        if full > 1.2 * len(held.get(("w", stem), ((), ()))[1]):
+        if full > 1.2 * held.get("w" + stem, (0, 0, 0))[1]:
             stems.add(stem)
     return words, sorted(s for s in stems if not any(s[:k] in stems for k in range(4, len(s))))
 
