@@ -214,3 +214,80 @@ def load_layout(cells: DataFrame, path: str) -> DataFrame:
         raise ValueError(f"the layout holds {n} cells, these data {m}")
     missing = F.raise_error(F.lit("the layout comes from other data"))
     return cells.join(saved, ["dataset", "barcode"], "left").select("dataset", "barcode", *(F.when(F.col("at").isNull(), missing).otherwise(F.col(f"at.{c}")).alias(c) for c in "xy"))
+
+
+def dataset_colour(index: Column) -> Column:
+    """The colour of a dataset by its index, one of 256."""
+    return F.concat(F.lit("default-pre-"), F.pmod(index, F.lit(256)).cast("string"))
+
+
+def finite(text: Column) -> Column:
+    """text as a finite number, else null."""
+    x = text.try_cast("double")
+    return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
+
+
+def value_colour(cells: DataFrame, value: str, low: float | None = None, high: float | None = None, name: str = "colour") -> DataFrame:
+    """cells with the shade of their value between low and high, where not given the least and greatest finite value of all cells; what isn't a finite number is 'undefined'.
+
+    Values outside are moved to the border; if both ends are equal, shade 0 is taken.
+    """
+    x, lo, hi, at = fresh([*cells.columns, name], "x", "lo", "hi", "at")
+    y = cells.withColumn(x, finite(F.col(value)))
+    ends = y.agg(F.coalesce(F.lit(low).cast("double"), F.min(x)).alias(lo), F.coalesce(F.lit(high).cast("double"), F.max(x)).alias(hi))
+    y = y.crossJoin(F.broadcast(ends)).withColumn(at, F.coalesce(scaled(F.col(x), F.col(lo), F.col(hi)), F.lit(0)))  # one row
+    return y.withColumn(name, F.when(F.col(x).isNull(), "undefined").otherwise(F.concat(F.lit("turbo-pre-"), F.col(at).cast("long").cast("string")))).drop(x, lo, hi, at)
+
+
+def isotype_colour(constants: Column, names: list[str], palette: list[str] | None = None) -> Column:
+    """By the constant regions of a cell's heavy chains (null: unknown): 1 + the place of the only one among the sorted names, else 0; with a palette its colour.
+
+    None, several, an unknown one or one that isn't among the names gives 0.
+    """
+    seen = F.array_distinct(constants)
+    at = F.when(F.size(seen) == 1, F.coalesce(F.array_position(F.array(*map(F.lit, sorted(names))), F.get(seen, F.lit(0))), F.lit(0))).otherwise(0)
+    return F.get(F.array(*map(F.lit, palette)), at.cast("int")) if palette else at.cast("string")
+
+
+def mark_colour(chosen: Column, marked: Column) -> Column:
+    """Red for cells of the chosen dataset, blue for others, pale where marked."""
+    full, pale = ("red", "blue"), ("rgb(255,200,200)", "rgb(200,200,255)")
+    pick = lambda pair: F.when(chosen, pair[0]).otherwise(pair[1])
+    return F.when(marked, pick(pale)).otherwise(pick(full))
+
+
+def assigned_colour(origin: Column, dataset: Column, barcode_colour: Column, origins: dict[str, str] | None = None, datasets: dict[str, str] | None = None) -> Column:
+    """Colours given by the user: by origin if any is given, else by dataset if any is, else by barcode; black where none is."""
+    for key, given in ((origin, origins), (dataset, datasets)):
+        if given:
+            return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in given.items() for x in kv)), key), F.lit("black"))
+    return F.coalesce(barcode_colour, F.lit("black"))
+
+
+def xy_points(rows: DataFrame, x: str, y: str, log_x: bool = False, log_y: bool = False) -> DataFrame:
+    """rows with px and py, the points of two variables, maybe logarithms of base 10; rows go where one isn't a number or has no logarithm."""
+    out = rows.withColumn("px", F.col(x).try_cast("double")).withColumn("py", F.col(y).try_cast("double")).where("px IS NOT NULL AND py IS NOT NULL")
+    for c, log in (("px", log_x), ("py", log_y)):
+        out = out.where(F.col(c) > 0).withColumn(c, F.log10(c)) if log else out
+    return out
+
+
+#: Share of a border's value by which an axis goes beyond the points.
+BEYOND = 0.02
+
+
+def axis_ranges(points: DataFrame, symmetric: bool = False) -> DataFrame:
+    """(x_low, x_high, y_low, y_high) of the axes that hold points (px, py); both alike if symmetric. No points, no row.
+
+    Borders go 2 % of their value outwards; a positive low border that is under 2 % of the spread is 0.
+    """
+    out, sides = points.agg(F.count("*").alias("n"), *(f(c).alias(f"{c}_{n}") for c in ("px", "py") for n, f in (("low", F.min), ("high", F.max)))).where("n > 0"), {}
+    for c in ("px", "py"):
+        low, high = F.col(f"{c}_low"), F.col(f"{c}_high")
+        near = F.coalesce(F.try_divide(low, high - low) < BEYOND, F.lit(False))
+        sides[c] = F.when(low <= 0, low * (1 + BEYOND)).when(near, 0.0).otherwise(low * (1 - BEYOND)), F.when(high > 0, high * (1 + BEYOND)).otherwise(high * (1 - BEYOND))
+    (xl, xh), (yl, yh) = sides["px"], sides["py"]
+    if symmetric:
+        xl = yl = F.least(xl, yl)
+        xh = yh = F.greatest(xh, yh)
+    return out.select(xl.alias("x_low"), xh.alias("x_high"), yl.alias("y_low"), yh.alias("y_high"))

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from lymphframe.plans.functions import amino
 from lymphframe.plans.registry import query
-from lymphframe.session import stage_path, table
+from lymphframe.session import stage, stage_path, table
 from lymphframe.sources import mapped as M
 from lymphframe.sources import readers as R
+from lymphframe.sources import references as Q
 from lymphframe.sources import sinks as K
 from lymphframe.sources.convert import annotations_from_repertoire
 from lymphframe.sources.split import read_matrix, write_matrix
@@ -64,16 +65,59 @@ def s10(spark, d):
     return R.metrics(spark, written(m.select("dataset", F.format_number("cells", 0).alias("Cells"), share.alias("Share")), "metrics_summary.csv"), "dataset")
 
 
-@query("s11_reference_fasta", W + M.SEGMENT + ", r AS (SELECT name, seq, dense_rank() OVER (ORDER BY name) AS id FROM seg) SELECT CAST(id AS INTEGER) AS id, 'IGH' || replace(name, ' ', '_') AS name, seq, 0 AS rtype FROM r")
+SEGMENT_REF = W + M.SEGMENT + ", r AS (SELECT name, seq, dense_rank() OVER (ORDER BY name) AS id FROM seg) SELECT CAST(id AS INTEGER) AS id, 'IGH' || replace(name, ' ', '_') AS name, seq, 0 AS rtype FROM r"
+
+
+def written_reference(spark, s, seq="seq", folder=None):
+    """The path of segments (group_id, group_key, seq) as a reference FASTA."""
+    path = f"{folder}/regions.fa" if folder else stage_path(spark, "regions.fa")
+    head = F.concat(F.lit(">"), F.col("group_id").cast("string"), F.lit("|IGH"), F.translate("group_key", " ", "_"), F.lit(" x|V|L-REGION"))
+    s.select(F.concat(head, F.lit("\n"), F.expr(seq)).alias("record")).write.text(path)
+    return path
+
+
+def numbered_segments(spark, d):
+    from lymphframe.operators.grouping import ordinals
+
+    return ordinals(M.segments(spark, d).select("seq", F.col("name").alias("group_key"), F.lit(1).alias("n")))
+
+
+@query("s11_reference_fasta", SEGMENT_REF)
 def s11(spark, d):
     """A reference written as FASTA and read again."""
-    from lymphframe.operators.grouping import ordinals
+    return R.reference(spark, written_reference(spark, numbered_segments(spark, d)))
 
-    s = ordinals(M.segments(spark, d).select("seq", F.col("name").alias("group_key"), F.lit(1).alias("n")))
-    path = stage_path(spark, "regions.fa")
-    head = F.concat(F.lit(">"), F.col("group_id").cast("string"), F.lit("|IGH"), F.translate("group_key", " ", "_"), F.lit(" x|V|L-REGION"))
-    s.select(F.concat(head, F.lit("\n"), "seq").alias("record")).write.text(path)
-    return R.reference(spark, path)
+
+@query("s11_reference_of_contigs", SEGMENT_REF)
+def s11c(spark, d):
+    """The folders hold no reference and two are known, which differ in every third segment: annotations tell which was used."""
+    s = stage(numbered_segments(spark, d), "segments")
+    known = {"older": R.reference(spark, written_reference(spark, s, "if(group_id % 3 = 0, left(seq, 90), seq)")), "newer": R.reference(spark, written_reference(spark, s))}
+    feature = F.struct(F.col("group_id").cast("int").alias("feature_id"), F.concat(F.lit("IGH"), F.translate("group_key", " ", "_")).alias("gene_name"))
+    note = F.array(F.struct(F.length("seq").alias("annotation_length"), feature.alias("feature")))
+    c = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("cell"), F.col("l_linenumber").alias("ix"), F.col("p_name").alias("group_key")).join(s, "group_key")
+    path = stage_path(spark, "contigs")
+    record = F.to_json(F.struct(F.col("cell").cast("string").alias("barcode"), note.alias("annotations")))
+    K.write_json_arrays(c.select(F.pmod("cell", F.lit(8)).alias("part"), "cell", "ix", record.alias("record")), ["part"], ["cell", "ix", "record"], path)
+    return Q.resolve_reference(spark, [stage_path(spark, "empty")], f"{path}/*/part-*", known)
+
+
+@query("s11_reference_of_folders", SEGMENT_REF)
+def s11f(spark, d):
+    """Two datasets whose folders hold the same reference at different places."""
+    s = stage(numbered_segments(spark, d).coalesce(1), "segments")
+    a, b = stage_path(spark, "a"), stage_path(spark, "b")
+    written_reference(spark, s, folder=f"{a}/outs/vdj_reference/fasta")
+    written_reference(spark, s, folder=f"{b}/vdj_reference/fasta")
+    return Q.resolve_reference(spark, [f"{a}/multi/vdj_b", b])
+
+
+@query("s10_clusters_and_projection", "SELECT CAST(c_custkey AS VARCHAR) AS barcode, CAST(c_nationkey AS INTEGER) AS cluster, CAST(floor(abs(c_acctbal)) AS DOUBLE) AS x, CAST(c_nationkey AS DOUBLE) AS y FROM customer")
+def s10c(spark, d):
+    """Clusters and coordinates of barcodes written as the two files that clustering makes, read and joined."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("Barcode"), F.col("c_nationkey").alias("Cluster"), F.floor(F.abs("c_acctbal")).alias("UMAP-1"), F.col("c_nationkey").alias("UMAP-2"))
+    place = R.projection(spark, written(c.select("Barcode", "`UMAP-2`", "`UMAP-1`"), "projection.csv"))
+    return R.clusters(spark, written(c.select("Barcode", "Cluster"), "clusters.csv")).join(place, "barcode").select("barcode", "cluster", F.col("place")[0].alias("x"), F.col("place")[1].alias("y"))
 
 
 @query("s31_demultiplexed", "SELECT CAST(c_custkey AS VARCHAR) AS barcode, CASE WHEN c_acctbal < 0 THEN 'unassigned' ELSE 'singlet' END AS status, CAST(c_nationkey AS VARCHAR) AS assignment FROM customer")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lymphframe.functions import colours as Z
 from lymphframe.functions import conditions as C
 from lymphframe.functions import sequence as S
 from lymphframe.functions.stats import distinct_list, half_up, rounded_median
@@ -207,9 +208,46 @@ def f34(spark, d):
     return a.groupBy("len", (F.col("p") + 1).cast("long").alias("pos"), "residue").agg(F.count("*").alias("n"))
 
 
-@query("f35_property_colors", W + AA + " SELECT name, translate(aa, 'AVILMFWYCPGSTNQHRKDE*', 'hhhhhaaacpspppppppnnx') AS classes FROM aa")
+@query("f35_property_colors", W + AA + " SELECT name, translate(aa, 'AGILPVFWYDERHKSTCMNQ*', '11111122233444556677.') AS classes FROM aa")
 def f35(spark, d):
-    return amino(spark, d).select("name", F.translate("aa", "AVILMFWYCPGSTNQHRKDE*", "hhhhhaaacpspppppppnnx").alias("classes"))
+    return amino(spark, d).select("name", Z.by_property(F.col("aa")).alias("classes"))
+
+
+@query("f35_codon_colors", W + M.SEGMENT + f""", base AS (SELECT substr('TCAG', CAST(i AS INTEGER), 1) AS b, i FROM range(1, 5) t(i)), code AS (SELECT x.b || y.b || z.b AS codon, substr('{S.CODE}', CAST(16 * x.i + 4 * y.i + z.i - 20 AS INTEGER), 1) AS aa FROM base x, base y, base z),
+  place AS (SELECT codon, row_number() OVER (PARTITION BY aa ORDER BY codon) - 1 AS k FROM code), c AS (SELECT name, i, substr(seq, CAST(3 * i + 1 AS INTEGER), 3) AS codon FROM seg, range(0, 32) t(i))
+  SELECT name, string_agg(CAST(k AS VARCHAR), '' ORDER BY i) AS places FROM c JOIN place USING (codon) GROUP BY name""")
+def f35_codon(spark, d):
+    return M.segments(spark, d).select("name", Z.by_codon(F.col("seq")).alias("places"))
+
+
+#: Chains of a group, names of one length: half of each sequence is that of the least name.
+RELATED = ", lead AS (SELECT length(name) AS g, min(name) AS name FROM seg GROUP BY ALL), rel AS (SELECT seg.name, length(seg.name) AS g, substr(l.seq, 1, 48) || substr(seg.seq, 49) AS seq, l.seq AS ref FROM seg JOIN lead ON length(seg.name) = lead.g JOIN seg l ON l.name = lead.name)"
+
+
+def related(spark, d):
+    s = M.segments(spark, d).withColumn("g", F.length("name").cast("long"))
+    lead = s.groupBy("g").agg(F.min_by("seq", "name").alias("ref"))
+    return s.join(lead, "g").select("name", "g", F.concat(F.substring("ref", 1, 48), F.substring("seq", 49, 48)).alias("seq"), "ref")
+
+
+@query("f35_codon_differences", W + M.SEGMENT + RELATED + """, c AS (SELECT name, g, i, substr(seq, CAST(3 * i + 1 AS INTEGER), 3) AS codon, substr(ref, CAST(3 * i + 1 AS INTEGER), 3) AS was FROM rel, range(0, 32) t(i)), n AS (SELECT g, i, codon, count(*) AS n FROM c WHERE i >= 12 AND i < 20 GROUP BY ALL),
+  m AS (SELECT g, i, max(CASE WHEN 2 * n > t THEN codon END) AS most FROM (SELECT *, sum(n) OVER (PARTITION BY g, i) AS t FROM n) GROUP BY ALL)
+  SELECT name, string_agg(CASE WHEN codon <> was OR i >= 12 AND i < 20 AND most IS DISTINCT FROM codon THEN '+' ELSE '-' END, '' ORDER BY i) AS shown FROM c LEFT JOIN m USING (g, i) GROUP BY name""")
+def f35_diffs(spark, d):
+    """Codons that differ from the group's reference, or in the CDR3, here bases 37 to 60, from most chains of the group."""
+    x = related(spark, d)
+    con = Z.codon_consensus(x.withColumn("cdr3", F.substring("seq", 37, 24)), ["g"])
+    return x.join(con, "g").select("name", Z.codon_highlights(F.col("seq"), F.col("ref"), F.lit(37), F.lit(24), F.col("consensus")).alias("shown"))
+
+
+@query("f35_peer_rarity", W + AA + """, c AS (SELECT name, length(name) AS g, i AS pos, substr(aa, CAST(i AS INTEGER), 1) AS residue FROM aa, range(1, 33) t(i)), p AS (SELECT g, pos, residue, count(*) AS n FROM c WHERE substr(md5(name), 1, 1) < '8' GROUP BY ALL), t AS (SELECT g, pos, sum(n) AS t FROM p GROUP BY ALL)
+  SELECT name, string_agg(CASE WHEN t IS NULL OR 100 * coalesce(n, 0) > 25 * t THEN 'k' WHEN n IS NULL THEN 'r' ELSE 'b' END, '' ORDER BY c.pos) AS colours FROM c LEFT JOIN p USING (g, pos, residue) LEFT JOIN t USING (g, pos) GROUP BY name""")
+def f35_rarity(spark, d):
+    """Residues that are rare, here a quarter at most, at their place among peers, names of one length and half of the hashes."""
+    a = amino(spark, d).withColumn("g", F.length("name").cast("long"))
+    peer = a.where(F.substring(F.md5(F.col("name").cast("binary")), 1, 1) < "8").select("g", F.posexplode(F.split("aa", "")).alias("p", "residue")).where("residue <> ''")
+    peers = peer.groupBy("g", (F.col("p") + 1).cast("long").alias("pos"), "residue").agg(F.count("*").alias("n"))
+    return Z.peer_colours(a, peers, "name", "g", 25)
 
 
 # --- predicates ---

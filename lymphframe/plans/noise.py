@@ -81,18 +81,16 @@ def k10b(spark, d):
 @query("k11_umi_ratio", W + M.SIGNATURE + ", x AS (SELECT cell, max(umi) AS top FROM plain GROUP BY cell), g AS (SELECT s.exact, max(x.top) AS top FROM sig s JOIN x USING (cell) GROUP BY s.exact) SELECT s.cell FROM sig s JOIN g USING (exact) WHERE g.top >= 3 * s.umi")
 def k11(spark, d):
     """Cells that another cell of their signature outdoes, here threefold (500-fold by default in real data)."""
-    s = M.signatures(spark, d)
-    top = M.chains_plain(spark, d).groupBy("cell").agg(F.max("umi").alias("t"))
-    g = s.join(top, "cell").groupBy("exact").agg(F.max("t").alias("top"))
+    s = M.signatures(spark, d, F.max("umi").alias("t"))
+    g = s.groupBy("exact").agg(F.max("t").alias("top"))
     return s.join(g, "exact").where("top >= 3 * umi").select("cell")
 
 
 @query("k11_umi_ratio_by_chance", W + M.SIGNATURE + ", x AS (SELECT cell, max(umi) AS top FROM plain GROUP BY cell), t AS (SELECT s.exact, max(x.top) AS top FROM sig s JOIN x USING (cell) GROUP BY s.exact), m AS (SELECT s.cell, s.exact, t.top >= 2 * s.umi AS low FROM sig s JOIN t USING (exact)), g AS (SELECT exact, count(*) AS n, count(*) FILTER (low) AS k FROM m GROUP BY exact) SELECT m.cell FROM m JOIN g USING (exact) WHERE m.low AND g.n >= 2 AND g.k > 0 AND " + TAIL + " < 0.01")
 def k11b(spark, d):
     """Cells that another cell of their signature outdoes, here twofold, where so many of them aren't chance."""
-    s = M.signatures(spark, d)
-    top = M.chains_plain(spark, d).groupBy("cell").agg(F.max("umi").alias("t"))
-    g = s.join(top, "cell").groupBy("exact").agg(F.max("t").alias("top"))
+    s = M.signatures(spark, d, F.max("umi").alias("t"))
+    g = s.groupBy("exact").agg(F.max("t").alias("top"))
     m = s.join(g, "exact").select("cell", "exact", (F.col("top") >= 2 * F.col("umi")).alias("low"))
     n = m.groupBy("exact").agg(F.count("*").alias("n"), F.count_if("low").alias("k")).where("n >= 2 AND k > 0")
     return m.where("low").join(n.where(binomial_tail(F.col("k"), F.col("n"), 0.1) < 0.01), "exact", "left_semi").select("cell")

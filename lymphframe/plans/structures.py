@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lymphframe.functions import align as A
@@ -187,6 +188,36 @@ def v02c(spark, d):
     return P.category_shades(x, "category", 6).select("cell", "shade", "mark")
 
 
+@query("v02_colourings", W + M.MEMBER + """, ds AS (SELECT dataset, row_number() OVER (ORDER BY dataset) - 1 AS ix FROM (SELECT DISTINCT dataset FROM cell)), h AS (SELECT cell, CASE WHEN count(DISTINCT c_name) = 1 THEN CASE min(c_name) WHEN 'F' THEN 1 ELSE 2 END ELSE 0 END AS iso FROM plain WHERE heavy GROUP BY cell), lo AS (SELECT min(umi) AS lo FROM sig)
+  SELECT cell, 'default-pre-' || ix % 256 AS by_dataset, 'turbo-pre-' || CAST(floor(CAST(greatest(least(umi, 200), lo) - lo AS DOUBLE) / (200 - lo) * 255 + 0.5) AS BIGINT) AS by_value, CAST(coalesce(iso, 0) AS VARCHAR) AS by_isotype,
+    CASE WHEN dataset = 'BUILDING' THEN CASE WHEN nchains = 2 THEN 'rgb(255,200,200)' ELSE 'red' END ELSE CASE WHEN nchains = 2 THEN 'rgb(200,200,255)' ELSE 'blue' END END AS by_mark,
+    CASE origin WHEN 'CHINA' THEN 'orange' WHEN 'KENYA' THEN 'green' ELSE 'black' END AS by_origin, CASE WHEN status = 'F' THEN 'violet' ELSE 'black' END AS by_barcode
+  FROM mem JOIN ds USING (dataset) LEFT JOIN h USING (cell), lo""")
+def v02all(spark, d):
+    """Each way to colour a cell: by dataset, by a variable with an upper end, by isotype, by mark, by origin and by barcode."""
+    h = M.chains_plain(spark, d).where("heavy").groupBy("cell").agg(F.collect_set("c_name").alias("constants"))  # as many as there are isotypes
+    cells = M.members(spark, d).join(h, "cell", "left")
+    ix = cells.select("dataset").distinct().withColumn("ix", F.row_number().over(Window.orderBy("dataset")) - 1)  # a row a dataset
+    x = P.value_colour(cells.join(ix, "dataset"), "umi", high=200, name="by_value")
+    own = F.when(F.col("status") == "F", "violet")
+    return x.select(
+        "cell", P.dataset_colour(F.col("ix")).alias("by_dataset"), "by_value", P.isotype_colour(F.coalesce("constants", F.array().cast("array<string>")), ["O", "F"]).alias("by_isotype"),
+        P.mark_colour(F.col("dataset") == "BUILDING", F.col("nchains") == 2).alias("by_mark"), P.assigned_colour(F.col("origin"), F.col("dataset"), own, {"CHINA": "orange", "KENYA": "green"}).alias("by_origin"), P.assigned_colour(F.col("origin"), F.col("dataset"), own).alias("by_barcode"),
+    )
+
+
+RANGE = "CASE WHEN {0}l <= 0 THEN {0}l * 1.02::DOUBLE WHEN {0}h > {0}l AND {0}l / ({0}h - {0}l) < 0.02::DOUBLE THEN 0 ELSE {0}l * 0.98::DOUBLE END AS {0}_low, CASE WHEN {0}h > 0 THEN {0}h * 1.02::DOUBLE ELSE {0}h * 0.98::DOUBLE END AS {0}_high"
+
+
+@query("v05_symmetric_axes", W + M.SIGNATURE + ", p AS (SELECT CAST(sum(umi) AS DOUBLE) AS x, log10(CAST(sum(reads) AS DOUBLE)) AS y FROM sig GROUP BY exact HAVING sum(reads) > 0), e AS (SELECT min(x) AS xl, max(x) AS xh, min(y) AS yl, max(y) AS yh FROM p), r AS (SELECT " + RANGE.format("x") + ", " + RANGE.format("y") + " FROM e) SELECT kind, floor(1000 * CASE kind WHEN 'own' THEN x_low ELSE least(x_low, y_low) END + 0.5) AS x_low, floor(1000 * CASE kind WHEN 'own' THEN x_high ELSE greatest(x_high, y_high) END + 0.5) AS x_high, floor(1000 * CASE kind WHEN 'own' THEN y_low ELSE least(x_low, y_low) END + 0.5) AS y_low, floor(1000 * CASE kind WHEN 'own' THEN y_high ELSE greatest(x_high, y_high) END + 0.5) AS y_high FROM r, (VALUES ('own'), ('both')) t(kind)")
+def v05s(spark, d):
+    """The axes of a plot of exact subclonotypes, each its own and both alike, in thousandths."""
+    g = M.signatures(spark, d).groupBy("exact").agg(F.sum("umi").alias("u"), F.sum("reads").alias("r"))
+    p = P.xy_points(g, "u", "r", log_y=True)
+    both = P.axis_ranges(p).withColumn("kind", F.lit("own")).union(P.axis_ranges(p, symmetric=True).withColumn("kind", F.lit("both")))
+    return both.select("kind", *(F.floor(1000 * F.col(c) + 0.5).cast("double").alias(c) for c in ("x_low", "x_high", "y_low", "y_high")))
+
+
 @query("v05_log_points", W + M.SIGNATURE + " SELECT exact, floor(log10(CAST(sum(umi) AS DOUBLE)) * 1000) AS x_milli, floor(log10(CAST(sum(reads) AS DOUBLE)) * 1000) AS y_milli FROM sig GROUP BY exact HAVING sum(umi) > 0 AND sum(reads) > 0")
 def v05(spark, d):
     """Points on logarithmic axes; values that have no logarithm are dropped."""

@@ -77,12 +77,12 @@ PLAIN = """plain AS (SELECT l_orderkey AS cell, l_returnflag = 'A' AS heavy, l_r
   CAST(l_quantity AS BIGINT) AS umi, CAST(floor(l_extendedprice) AS BIGINT) AS reads, l_partkey AS part FROM lineitem)"""
 
 
-def signatures(spark: SparkSession, d: str) -> DataFrame:
-    """(cell, exact, clono, nchains, umi, reads): equality signature and cluster key of each cell that has chains."""
+def signatures(spark: SparkSession, d: str, *more: Column) -> DataFrame:
+    """(cell, exact, clono, nchains, umi, reads, *more): equality signature and cluster key of each cell that has chains; more: further aggregates of its chains."""
     return chains_plain(spark, d).groupBy("cell").agg(
         F.array_join(F.sort_array(F.collect_list(F.concat("kind", "c_name"))), " ").alias("exact"),
         F.concat(F.count("*").cast("string"), F.lit(":"), F.array_join(F.sort_array(F.collect_set("kind")), "")).alias("clono"),
-        F.count("*").alias("nchains"), F.sum("umi").alias("umi"), F.sum("reads").alias("reads"),
+        F.count("*").alias("nchains"), F.sum("umi").alias("umi"), F.sum("reads").alias("reads"), *more,
     )
 
 
