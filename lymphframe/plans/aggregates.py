@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lymphframe.functions.stats import SUFFIXES, distinct_list, percent, rounded_median, run_lengths
+from lymphframe.functions.umis import marking_statistics, validated_statistics
 from lymphframe.plans.registry import query
 from lymphframe.session import table
 from lymphframe.sources import mapped as M
@@ -226,15 +227,24 @@ def a28(spark, d):
     return M.signatures(spark, d).agg((F.sum("umi").cast("double") / F.count("*")).alias("umi_per_cell"), (F.sum("reads").cast("double") / F.sum("umi")).alias("reads_per_umi"))
 
 
-@query("a29_validated_umis", W + M.PLAIN + " SELECT heavy, CAST(sum(umi // 2) AS DOUBLE) / sum(umi) AS fraction, median(umi // 2) AS med FROM plain GROUP BY heavy")
+@query("a29_validated_umis", W + M.UMI + """, k AS (SELECT heavy, median(len(validated)) AS med, 100.0::DOUBLE * sum(len(validated)) / sum(umi) AS pc FROM um GROUP BY heavy), t AS (SELECT cell, min(len(validated)) AS least FROM um GROUP BY cell HAVING count(*) = 2)
+  SELECT h.med AS heavy_median, h.pc AS heavy_percent, l.med AS light_median, l.pc AS light_percent, (SELECT 100.0::DOUBLE * count(*) FILTER (least > 0) / count(*) FROM t) AS both_percent FROM k h, k l WHERE h.heavy AND NOT l.heavy""")
 def a29(spark, d):
-    return M.chains_plain(spark, d).withColumn("v", F.expr("umi div 2")).groupBy("heavy").agg((F.sum("v").cast("double") / F.sum("umi")).alias("fraction"), F.median("v").alias("med"))
+    return validated_statistics(M.umi_chains(spark, d))
 
 
-@query("a30_marking_stats", W + M.MEMBER + ", k AS (SELECT clono, count(*) AS n, count(*) FILTER (tag = '1-URGENT') AS m FROM mem GROUP BY clono) SELECT count(*) FILTER (n >= 10 AND m >= 1) AS expanded_marked, count(*) FILTER (n >= 10 AND 2 * m > n) AS mostly_marked, CAST(sum(m) AS BIGINT) AS marks FROM k")
+@query("a30_marking_stats", W + M.MEMBER + """, x AS (SELECT exact AS k, CASE WHEN cell % 40 < 2 * nchains THEN dataset ELSE 'MAIN' END AS ds, nchains IN (2, 3) AS fine, tag = '1-URGENT' AS mark, status <> 'P' AS b FROM mem),
+  c AS (SELECT k, ds, count(*) AS c, row_number() OVER (PARTITION BY k ORDER BY count(*) DESC, ds) AS r FROM x GROUP BY k, ds),
+  g AS (SELECT k, sum(c) AS n, count(*) AS nds, max(CASE WHEN r = 1 THEN ds END) AS top, count(*) = 1 OR max(CASE WHEN r = 1 THEN c END) >= 10 * max(CASE WHEN r = 2 THEN c END) AS alone FROM c GROUP BY k),
+  y AS (SELECT x.*, n, nds, alone, alone AND n >= 10 AS fake, alone AND ds = top AS own FROM x JOIN g USING (k)), f AS (SELECT k, n, count(*) FILTER (mark) AS m FROM y WHERE fake GROUP BY k, n),
+  z AS (SELECT count(*) FILTER (n >= 2 AND (own OR NOT b)) AS dubious, count(*) FILTER (mark) AS marked, count(*) FILTER (mark AND fine AND b AND nds >= 2) AS marked_good, count(*) FILTER (NOT fake AND n >= 10 AND b AND fine) AS good0, count(*) FILTER (NOT fake AND n >= 10 AND b AND fine AND mark) AS good_marked FROM y),
+  w AS (SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS fake, CAST(coalesce(sum(CASE WHEN m = n THEN m - 1 ELSE m END), 0) AS BIGINT) AS fake_marked, count(*) AS fakes FROM f)
+  SELECT dubious, marked, marked_good, fake, fake_marked, fake - fake_marked AS residual, good0 + fakes AS good, good_marked FROM z, w""")
 def a30(spark, d):
-    k = M.members(spark, d).groupBy("clono").agg(F.count("*").alias("n"), F.count_if(F.col("tag") == "1-URGENT").alias("m"))
-    return k.agg(F.count_if((F.col("n") >= 10) & (F.col("m") >= 1)).alias("expanded_marked"), F.count_if((F.col("n") >= 10) & (2 * F.col("m") > F.col("n"))).alias("mostly_marked"), F.sum("m").alias("marks"))
+    """Counts of dubious, marked, fake and good cells; datasets are dealt so that cells of few chains are mostly in one."""
+    m = M.members(spark, d)
+    ds = F.when(F.col("cell") % 40 < 2 * F.col("nchains"), F.col("dataset")).otherwise("MAIN")
+    return marking_statistics(m.select(F.col("exact").alias("clonotype"), ds.alias("dataset"), "nchains", (F.col("tag") == "1-URGENT").alias("marked"), (F.col("status") != "P").alias("b")))
 
 
 @query("a31_origin_donor_table", W + M.CELL + " SELECT donor, origin, count(*) AS n FROM cell GROUP BY ALL HAVING count(*) > 1")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lymphframe.functions import colours as Z
 from lymphframe.functions import conditions as C
 from lymphframe.functions import sequence as S
+from lymphframe.functions import umis as U
 from lymphframe.functions.stats import distinct_list, half_up, rounded_median
 from lymphframe.plans.registry import query
 from lymphframe.session import table
@@ -148,16 +149,20 @@ def f23(spark, d):
     return a.select("v_name", "j_name", F.row_number().over(Window.partitionBy("v_name").orderBy(F.desc("n"), "j_name")).cast("long").alias("allele"), "n")
 
 
-@query("f24_quality_at_position", W + M.SIGNATURE + ", q AS (SELECT cell, list(umi ORDER BY umi) AS quals FROM plain GROUP BY cell) SELECT cell, quals[2] AS q2 FROM q")
+@query("f24_quality_at_position", W + M.UMI + " SELECT cell, string_agg(CAST(ascii(substr(quals, 3, 1)) - 33 AS VARCHAR), ',' ORDER BY line, umi) AS q2_, count(ascii(substr(nullif(substr(quals, 9, 1), ''), 1, 1))) AS n8 FROM um WHERE heavy GROUP BY cell")
 def f24(spark, d):
-    q = M.chains_plain(spark, d).groupBy("cell").agg(F.sort_array(F.collect_list("umi")).alias("quals"))
-    return q.select("cell", F.get("quals", F.lit(1)).alias("q2"))
+    """Qualities of a cell's heavy chains at place 2, and how many have a place 8, where all have ended."""
+    q = F.array_sort(F.collect_list(F.struct("line", "umi", U.quality_at(F.col("quals"), 2).cast("string").alias("q"))))
+    return M.umi_chains(spark, d).where("heavy").groupBy("cell").agg(F.array_join(q["q"], ",").alias("q2_"), F.count(U.quality_at(F.col("quals"), 8)).alias("n8"))
 
 
-@query("f25_umi_lists", W + M.PLAIN + " SELECT cell, count(*) FILTER (umi >= 25) AS nval, coalesce(string_agg(CASE WHEN umi >= 25 THEN CAST(umi AS VARCHAR) END, ',' ORDER BY umi), '') AS valumis FROM plain GROUP BY cell")
+UMI_LISTS = {"val": "validated", "nval": "other", "ival": "invalid"}
+
+
+@query("f25_umi_lists", W + M.UMI + " SELECT cell, line, umi, " + ", ".join([f"len({UMI_LISTS[k]}) AS {v}" for v, k in U.COUNTS.items()] + [f"array_to_string({c}, ',') AS {k}umis, array_to_string(list_transform({c}, lambda u: split_part(barcode, '-', 1) || u), ',') AS {k}bcumis" for k, c in UMI_LISTS.items()]) + " FROM um")
 def f25(spark, d):
-    v = F.sort_array(F.collect_list(F.when(F.col("umi") >= 25, F.col("umi"))))
-    return M.chains_plain(spark, d).groupBy("cell").agg(F.count_if(F.col("umi") >= 25).alias("nval"), F.array_join(F.transform(v, lambda x: x.cast("string")), ",").alias("valumis"))
+    """All variables of a chain's lists of UMIs."""
+    return M.umi_chains(spark, d).select("cell", "line", "umi", *(U.umi_variable(v).alias(v) for v in U.VARIABLES))
 
 
 @query("f26_barcode_number", W + M.SEGMENT + " SELECT name, lpad(CAST(list_sum(list_transform(range(1, 17), lambda i: (position(substr(seq, i, 1) IN 'ACGT') - 1) * (CAST(4 AS BIGINT) ** (16 - i))))::BIGINT AS VARCHAR), 10, '0') AS nbc FROM seg")

@@ -77,6 +77,26 @@ PLAIN = """plain AS (SELECT l_orderkey AS cell, l_returnflag = 'A' AS heavy, l_r
   CAST(l_quantity AS BIGINT) AS umi, CAST(floor(l_extendedprice) AS BIGINT) AS reads, l_partkey AS part FROM lineitem)"""
 
 
+def umi_chains(spark: SparkSession, d: str) -> DataFrame:
+    """(cell, line, heavy, barcode, umi, quals, validated_umis, non_validated_umis, invalidated_umis): chains with lists of UMIs and letters of qualities, both made of hashes."""
+    own = F.concat_ws("/", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    word = lambda i: F.translate(F.substring(F.md5(F.concat_ws("/", own, i.cast("string")).cast("binary")), 1, 10), HEX, BASES)
+    umi = F.col("l_quantity").cast("int")
+    several = lambda first, n: F.when(n > 0, F.transform(F.sequence(F.lit(first), F.lit(first - 1) + n), word)).otherwise(F.array().cast("array<string>"))
+    return table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("cell"), F.col("l_linenumber").cast("long").alias("line"), (F.col("l_returnflag") == "A").alias("heavy"), F.concat(F.lit("BC"), F.col("l_orderkey").cast("string"), F.lit("-1")).alias("barcode"), umi.cast("long").alias("umi"),
+        F.substring(F.md5(own.cast("binary")), 1, 8).alias("quals"), several(1, F.floor(umi / 10).cast("int")).alias("validated_umis"), several(101, umi % 3).alias("non_validated_umis"), F.when(umi % 11 != 0, several(201, umi % 2)).alias("invalidated_umis"),
+    )
+
+
+def _umis_sql(first: int, n: str) -> str:
+    return f"list_transform(range({first}, {first} + {n}), lambda i: translate(substr(md5(l_orderkey || '/' || l_linenumber || '/' || i), 1, 10), '{HEX}', '{BASES}'))"
+
+
+UMI = f"""um AS (SELECT l_orderkey AS cell, CAST(l_linenumber AS BIGINT) AS line, l_returnflag = 'A' AS heavy, 'BC' || l_orderkey || '-1' AS barcode, CAST(l_quantity AS BIGINT) AS umi, substr(md5(l_orderkey || '/' || l_linenumber), 1, 8) AS quals,
+  {_umis_sql(1, "CAST(l_quantity AS BIGINT) // 10")} AS validated, {_umis_sql(101, "CAST(l_quantity AS BIGINT) % 3")} AS other, CASE WHEN CAST(l_quantity AS BIGINT) % 11 <> 0 THEN {_umis_sql(201, "CAST(l_quantity AS BIGINT) % 2")} ELSE [] END AS invalid FROM lineitem)"""
+
+
 def signatures(spark: SparkSession, d: str, *more: Column) -> DataFrame:
     """(cell, exact, clono, nchains, umi, reads, *more): equality signature and cluster key of each cell that has chains; more: further aggregates of its chains."""
     return chains_plain(spark, d).groupBy("cell").agg(
