@@ -99,14 +99,15 @@ def s29(spark, d):
     return X.annotated(x, M.reference_segments(spark, d), both_strands=True)
 
 
-def junction_complexity(exacts, segments):
-    """Function from (id) to (id, hcomp) of the heavy junctions of `exacts`."""
+def aligned_heavies(exacts, segments):
+    """(id, b): the alignment of the heavy junction of each of `exacts`."""
+    x = exacts.select("id", F.substr("h_seq", F.lit(83), F.length("h_seq") - F.lit(102)).alias("seq"), F.substring("h_v", 83, 14).alias("v"), F.substring("h_j", 1, 20).alias("j"))
+    return G.spread(x, "id", 1000).select("id", N.aligned_udf(segments)("seq", "v", "j").alias("b"))
 
-    def f(ids):
-        x = exacts.join(ids, "id", "left_semi").select("id", F.substr("h_seq", F.lit(83), F.length("h_seq") - F.lit(102)).alias("seq"), F.substring("h_v", 83, 14).alias("v"), F.substring("h_j", 1, 20).alias("j"))
-        return G.spread(x, "id", 1000).select("id", N.aligned_udf(segments)("seq", "v", "j")["hcomp"].alias("hcomp"))
 
-    return f
+def junction_complexity(exacts, segments):
+    """Function from (id) to (id, hcomp) of the heavy junctions of `exacts`."""
+    return lambda ids: aligned_heavies(exacts.join(ids, "id", "left_semi"), segments).select("id", F.col("b.hcomp").alias("hcomp"))
 
 
 def joined(spark, d, rule=C.JoinRule()):
@@ -132,6 +133,30 @@ def r04(spark, d):
     return L.chain_columns(M.clonotype_chains(spark, d, x, members), pairs)
 
 
+def heavy_columns(spark, d):
+    """(clonotype, col, d): the best D segments of each heavy chain of joined clonotypes."""
+    x, pairs = joined(spark, d)
+    pairs = stage(pairs, "links")
+    found = connected_components(pairs)
+    members = x.select("id").join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("clonotype"))
+    best = aligned_heavies(x, d_segments(spark, d)).select(F.col("id").alias("exact"), F.col("b.d1_name").alias("d"))
+    chains = M.clonotype_chains(spark, d, x, members)
+    heavy = L.chain_columns(chains, pairs).join(chains.where("left").select("exact", "ix"), ["exact", "ix"])
+    return heavy.join(best, "exact").select("clonotype", "col", "d")
+
+
+@query("a36_inconsistent_segments")
+def a36d(spark, d):
+    """Pairs of exact subclonotypes in a heavy column and the share whose best D segments differ."""
+    return L.d_inconsistency(heavy_columns(spark, d))
+
+
+@query("p12_d_conditions")
+def p12d(spark, d):
+    """Clonotypes with an inconsistent, no or a double D segment."""
+    return L.d_conditions(heavy_columns(spark, d))
+
+
 @query("r01_alleles_by_footprint")
 def r01f(spark, d):
     """Alternate V alleles of each donor, from one chain a putative clonotype."""
