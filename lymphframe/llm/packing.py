@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lymphframe.llm.common import crc
@@ -186,8 +186,13 @@ def places(found: list[tuple[int, list[tuple[int, int]]]]) -> dict[int, np.ndarr
 
 
 def pieces(documents: DataFrame, vocabulary: str | None, id_col: str, text_col: str, capacity: int) -> DataFrame:
-    """(id, piece, start, length, ids_crc32, task, nth): nth counts the pieces of that length in the task before it."""
+    """(id, piece, start, length, ids_crc32, task, nth): nth counts the pieces of that length in the task before it.
+
+    Each task ends with its tallies: a row a length it met, with a null piece and the count of such pieces in nth.
+    """
     kind = documents.schema[id_col].dataType.simpleString()
+    names = ["id", "piece", "start", "length", "ids_crc32", "task", "nth"]
+    types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary or vocabulary_path())
@@ -202,13 +207,40 @@ def pieces(documents: DataFrame, vocabulary: str | None, id_col: str, text_col:
                         row.append(i)
                         out.append((k, s, n, crc(ids[s : s + n].tobytes()), task, int(seen[n])))
                         seen[n] += 1
-                columns = [pa.array(v, type=t) for v, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()))]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), *columns], names=["id", "piece", "start", "length", "ids_crc32", "task", "nth"])
+                columns = [pa.array(v, type=t) for v, t in zip(zip(*out), types)]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), *columns], names=names)
+        met = np.flatnonzero(seen)
+        if len(met):
+            none = [pa.nulls(len(met), t) for t in (b.column(0).type, *types)]
+            yield pa.RecordBatch.from_arrays([*none[:3], pa.array(met), none[4], pa.array(np.full(len(met), task, np.int32)), pa.array(seen[met])], names=names)
 
     source = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return source.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long, task int, nth long")
 
 
+def firsts(tallies: DataFrame) -> DataFrame:
+    """(of, by, base, total): the rank of the first piece of length `of` in task `by`; one row a length has its total, others null.
+
+    Tallies of a length meet in one task, at most one row for each task that read documents.
+    Running sums are made on arrays, as Spark's aggregates and windows take whole memory pages in
+    every task, however few its rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = [b for b in batches if b.num_rows]
+        if met:
+            t = pa.Table.from_batches(met).sort_by([("length", "ascending"), ("task", "ascending")])
+            length, task, n = (t[c].to_numpy() for c in ("length", "task", "nth"))
+            new = np.diff(length, prepend=-1) > 0
+            at, before = np.flatnonzero(new), np.cumsum(n) - n
+            base = before - np.repeat(before[at], np.diff(np.append(at, len(n))))
+            total = np.zeros(len(n), np.int64)
+            total[at] = np.add.reduceat(n, at)
+            yield pa.RecordBatch.from_arrays([pa.array(length.astype(np.int32)), pa.array(task), pa.array(base), pa.array(total, mask=~new)], names=["of", "by", "base", "total"])
+
+    return tallies.select("length", "task", "nth").repartition("length").mapInArrow(run, "of int, by int, base long, total long")
+
+
 def pack(documents: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """(id, piece, start, length, ids_crc32, sequence_id, offset): one row a piece, each sequence gapless from 0.
 
@@ -216,16 +248,18 @@ def pack(documents: DataFrame, vocabulary: str | None = None, id_col: str = "doc
     and null ids are kept; ties between pieces of one length are settled by where they were read.
     Other columns of the input are not read. vocabulary: path of a byte-level tokenizers file.
     """
-    cuts = stage(pieces(documents, vocabulary, id_col, text_col, capacity), "pieces")
-    by_task = cuts.groupBy("length", "task").agg(F.count("*").alias("n"))
+    staged = stage(pieces(documents, vocabulary, id_col, text_col, capacity), "pieces")
+    cuts, first = staged.where("piece is not null"), firsts(staged.where("piece is null"))
     # at most `capacity` rows, whatever the corpus
     counts = np.zeros(capacity + 1, np.int64)
-    for r in cuts.groupBy("length").agg(F.count("*").alias("n")).collect():
-        counts[r.length] = r.n
+    for r in first.where("total is not null").select("of", "total").collect():
+        counts[r.of] = r.total
     where = places(plan(counts, capacity))
-    before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    base = by_task.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    ranked = cuts.join(base, ["length", "task"]).select("id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("nth")).alias("rank"))
+    # a hash join, as sorting both sides takes pages too; two ints make one key, and its table has at most `capacity` rows a task
+    met = cuts.join(first.hint("shuffle_hash"), (F.col("length").cast("int") == F.col("of")) & (F.col("task") == F.col("by")))
+    ranked = met.select("id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("nth")).alias("rank"))
+    # rows are few bytes: no more tasks and files than these make, and no fewer than there are cores
+    ranked = ranked.coalesce(max(staged.rdd.getNumPartitions(), documents.sparkSession.sparkContext.defaultParallelism))
     kind = documents.schema[id_col].dataType.simpleString()
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -89,3 +89,43 @@ def test_query(spark, tokenizer):
 
 def test_empty(spark):
     assert P.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_first_ranks(spark):
+    rng = np.random.default_rng(7)
+    n = {(k, t): int(c) for k in range(1, 40) for t in range(9) if (c := rng.integers(0, 5))}
+    rows = [(None, k, t, c) for (k, t), c in n.items()]
+    got = P.firsts(spark.createDataFrame(rows, "piece int, length long, task int, nth long").repartition(5)).collect()
+    assert {(r.of, r.by): r.base for r in got} == {(k, t): sum(n.get((k, u), 0) for u in range(t)) for k, t in n} and len(got) == len(n)
+    totals = [(r.of, r.total) for r in got if r.total is not None]
+    assert sorted(totals) == [(k, sum(c for (x, _), c in n.items() if x == k)) for k in sorted({k for k, _ in n})]
+
+
+def test_ranks_take_no_memory_pages(spark):
+    """Aggregates, windows and sorts take pages of megabytes a task; with hundreds of short tasks they filled the heap."""
+    store, args = spark.sparkContext._jsc.sc().statusStore(), spark._jvm.java.util.ArrayList
+
+    def peaks():
+        found = store.stageList(args(), False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), args())
+        return {s.stageId(): s.peakExecutionMemory() for s in (found.apply(k) for k in range(found.size()))}
+
+    docs = spark.createDataFrame([(i, "x y " * (i % 50)) for i in range(400)], "doc_id long, text string").repartition(6)
+    docs.count()
+    before = peaks()
+    assert P.pack(docs).count() == 400
+    made = {k: v for k, v in peaks().items() if k not in before}
+    assert len(made) > 3 and max(made.values()) < 1 << 20, made
+
+
+def test_many_shuffle_partitions_make_no_small_files(spark):
+    docs = spark.createDataFrame([(i, "x y " * (i % 50)) for i in range(400)], "doc_id long, text string").repartition(6)
+    wanted = {"spark.sql.shuffle.partitions": "211", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        got = P.pack(docs)
+        assert got.rdd.getNumPartitions() <= 6 and got.count() == 400
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
