@@ -77,15 +77,16 @@ def distances(seq: Column, v: Column, j: Column, v_trim: int = 15, j_trim: int =
     """
     size, n = F.greatest(F.length(v) - v_trim, F.lit(0)), F.length(seq)
     tail = F.greatest(F.length(j) - j_trim, F.lit(0))
-    letters = S.hamming(F.substr(seq, F.lit(1), size), F.substr(v, F.lit(1), size)) + S.hamming(F.right(seq, tail), F.right(j, tail))
+    apart = lambda a, b: S.once(S.hamming, a, b)
+    letters = apart(F.substr(seq, F.lit(1), size), F.substr(v, F.lit(1), size)) + apart(F.right(seq, tail), F.right(j, tail))
     whole = F.floor(n / 3).cast("int")
     end = 3 * whole + 1
     first = (F.floor((end - tail + 3) / 3) + 1).cast("int")  # the first codon that begins after the trimmed J does by more than three letters
-    codons = lambda s, start, k: F.when(k > 0, S.translate(F.substr(s, start, 3 * k))).otherwise("")
+    codons = lambda s, start, k: F.when(k > 0, S.once(S.translate, F.substr(s, start, 3 * k))).otherwise("")
     k = F.greatest(F.floor(F.least(size, 3 * whole) / 3).cast("int"), F.lit(0))
     m = F.when(tail > 0, F.greatest(whole - first, F.lit(0))).otherwise(0)
     offset = F.length(j) - (end - 3 * first)
-    residues = S.hamming(codons(seq, F.lit(1), k), codons(v, F.lit(1), k)) + S.hamming(codons(seq, 3 * first + 1, m), codons(j, offset + 1, m))
+    residues = apart(codons(seq, F.lit(1), k), codons(v, F.lit(1), k)) + apart(codons(seq, 3 * first + 1, m), codons(j, offset + 1, m))
     return letters, residues
 
 

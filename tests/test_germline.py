@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import time
 from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
@@ -104,6 +105,19 @@ def test_distances_place_by_place(spark):
     assert got == {k: plain_distance(s, v, j) for k, s, v, j in rows}
 
 
+def test_distances_of_long_sequences(spark):
+    """Strings are translated once a row, not once a residue: these took minutes."""
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    rows = [(k, (v := word(1500)) + word(9) + (j := word(900)), v[:700] + word(800), j) for k in range(12)]
+    df = spark.createDataFrame(rows, "id int, seq string, v string, j string")
+    d, a = Y.distances(F.col("seq"), F.col("v"), F.col("j"))
+    start = time.monotonic()
+    got = {r.id: (r.d, r.a) for r in df.select("id", d.alias("d"), a.alias("a")).collect()}
+    assert time.monotonic() - start < 30
+    assert got == {k: plain_distance(s, v, j) for k, s, v, j in rows}
+
+
 def test_distances_to_the_own_alleles(spark):
     v, j = "ACGTTGCA" * 8, "GGATCCTA" * 5
     own = v[:10] + "T" + v[11:30] + "A" + v[31:]
