@@ -296,7 +296,7 @@ def coherence_chains(spark, d):
 @query("x01_penalty_matrix")
 def x01m(spark, d):
     """The penalty matrix after forty steps of the search, in tenths."""
-    found = H.penalty_matrix(coherence_chains(spark, d), 40)
+    found = H.penalty_matrix(stage(coherence_chains(spark, d), "chains"), 40)
     rows = [(a, b, int(found.matrix[i, j])) for i, a in enumerate(H.RESIDUES) for j, b in enumerate(H.RESIDUES)]
     return spark.createDataFrame(rows, "a string, b string, tenths int").withColumn("pairs", F.lit(found.best).cast("long"))
 

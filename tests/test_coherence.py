@@ -67,6 +67,22 @@ def test_pairs_of_copies_are_counted(spark):
     assert H.penalty_matrix(spark.createDataFrame([], SCHEMA), 3).best == 0
 
 
+def test_few_pairs_are_written(spark, monkeypatch):
+    """Of a block's pairs only near ones are written; they are those that all pairs would leave, in tiles of any size."""
+    rng = random.Random(6)
+    rows = [("V1", f"d{k % 3}", f"L{k % 5}", "".join(rng.choice(H.RESIDUES) for _ in range(10))) for k in range(90)] + chains(rng, 60)
+    df = spark.createDataFrame(rows, SCHEMA)
+    plainly = lambda x: sorted((r["size"], tuple(r.subs), r.same, r.n) for r in x.collect())
+    every = plainly(H.substitutions(df))
+    monkeypatch.setattr(H, "TILE", 16)
+    assert plainly(H.substitutions(df)) == every
+    near = plainly(H.substitutions(df, 5))
+    assert near == [r for r in every if 5 * len(r[1]) <= r[0]] and 0 < 3 * len(near) < len(every)
+    matrix, best, _ = plain(rows, 40)
+    got = H.penalty_matrix(df, 40)
+    assert (got.matrix == matrix).all() and got.best == best
+
+
 def test_like_colours_together(spark):
     rng = random.Random(2)
     rows = [(k, rng.choice((1, 1, 1, 3)), rng.choice(("red", "blue", "green", None)), *P.hex_place(k), rng.choice(("o1", "o2", None))) for k in range(60)]
